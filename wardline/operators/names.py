@@ -6,7 +6,6 @@ share, followed by the exact test on the candidates, so no text is ever compared
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,58 +72,25 @@ def _pieces(b: int, k: int) -> list[tuple[int, int]]:
     return [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(k)]
 
 
-def _shares(b: int) -> int:
-    """How many undamaged pieces a key is made of: two for short names (more selective), one for long names."""
-    return 2 if b <= 16 else 1
-
-
 def blocking_layout(lengths: list[tuple[int, int]], ratio: float) -> tuple[list[tuple], list[tuple]]:
-    """Where to cut names and windows of given (words, letters).
+    """Where to cut names and windows, for names of given (words, letters).
 
-    A name of b letters within an insert/delete budget d of a window keeps at least s of d+s pieces undamaged, each moved
-    by no more than the budget allows (the pigeonhole partition scheme of Pass-Join, Li et al., PVLDB 2011, on insert and
-    delete distance). Name rows are (words, b, pieces, offsets, lengths); window rows add the window length and shifts."""
+    A name of b letters within an insert/delete budget d of a window keeps at least one of d+1 pieces undamaged, moved by
+    no more than the budget allows (the pigeonhole partition scheme of Pass-Join, Li et al., PVLDB 2011, for insert and
+    delete distance): x edits before the piece and the rest of the length difference behind it must fit into d. Name rows
+    are (words, b, offset, length), window rows (words, a, b, offset, length, position in the window)."""
     name_rows, window_rows = set(), set()
     for n, b in lengths:
-        s = _shares(b)
         for a in range(1, 2 * b + 2):
             d = _budget(a, b, ratio)
             if d < 0:
                 continue
-            k = d + s
-            if k > b:
-                k, combo = b, min(s, b - d)
-                if combo < 1:
-                    continue
-            else:
-                combo = s
-            cut = _pieces(b, k)
-            for chosen in combinations(range(k), combo):
-                tag = ".".join(map(str, chosen))
-                name_rows.add((n, b, k, tag, [cut[c] for c in chosen].__repr__()))
-                for shifts in _shifts(len(chosen), a - b, d):
-                    at = [cut[c][0] + sh for c, sh in zip(chosen, shifts)]
-                    if all(0 <= p and p + cut[c][1] <= a for c, p in zip(chosen, at)):
-                        window_rows.add((n, a, b, k, tag, at[0] + 1, cut[chosen[0]][1],
-                                         at[-1] + 1 if combo == 2 else 1, cut[chosen[-1]][1] if combo == 2 else 0))
-    names = []
-    for n, b, k, tag, _ in name_rows:
-        cut, chosen = _pieces(b, k), [int(x) for x in tag.split(".")]
-        p, q = cut[chosen[0]], cut[chosen[-1]] if len(chosen) == 2 else (0, 0)
-        names.append((n, b, k, tag, p[0] + 1, p[1], q[0] + 1, q[1]))
-    return sorted(names), sorted(window_rows)
-
-
-def _shifts(count: int, drift: int, d: int):
-    """Moves of the chosen pieces, in order, that a budget of d edits and a final drift of a-b allow."""
-    for x in range(-d, d + 1):
-        if count == 1:
-            if abs(x) + abs(drift - x) <= d:
-                yield (x,)
-        else:
-            for y in range(-d, d + 1):
-                if abs(x) + abs(y - x) + abs(drift - y) <= d:
-                    yield (x, y)
+            for off, size in _pieces(b, min(d + 1, b)):
+                name_rows.add((n, b, off, size))
+                for x in range(-d, d + 1):
+                    if abs(x) + abs(a - b - x) <= d and 0 <= off + x <= a - size:
+                        window_rows.add((n, a, b, off, size, off + x))
+    return sorted(name_rows), sorted(window_rows)
 
 
 def _letter_bound(w: Column, n: Column, ratio: float) -> Column:
@@ -155,13 +121,12 @@ def similar_windows(windows: DataFrame, names: DataFrame, ratio: float = fixed.F
         return windows.select("window", F.lit(None).cast("string").alias("name")).filter(F.lit(False))
     name_cuts, window_cuts = blocking_layout(lengths, ratio)
     # layouts depend on name lengths only, never on the data volume
-    ndf = F.broadcast(spark.createDataFrame(name_cuts, "n int, b int, k int, tag string, p int, pl int, q int, ql int"))
-    wdf = F.broadcast(spark.createDataFrame(window_cuts, "n int, a int, b int, k int, tag string, p int, pl int, q int, ql int"))
-    cut = "concat_ws('|', substring({0}, p, pl), substring({0}, q, ql))"
-    nk = nm.join(ndf, ["n", "b"]).select("name", "n", "b", "k", "tag", F.expr(cut.format("name")).alias("key"))
+    ndf = F.broadcast(spark.createDataFrame(pd.DataFrame(name_cuts, columns=["n", "b", "off", "size"], dtype="int32")))
+    wdf = F.broadcast(spark.createDataFrame(pd.DataFrame(window_cuts, columns=["n", "a", "b", "off", "size", "at"], dtype="int32")))
+    nk = nm.join(ndf, ["n", "b"]).select("name", "n", "b", "off", F.expr("substring(name, off + 1, size)").alias("piece"))
     wk = windows.withColumn("a", F.length("window")).join(wdf, ["n", "a"]).select(
-        "window", "n", "b", "k", "tag", F.expr(cut.format("window")).alias("key"))
-    cand = wk.join(nk, ["n", "b", "k", "tag", "key"]).filter(_letter_bound(F.col("window"), F.col("name"), ratio))
+        "window", "n", "b", "off", F.expr("substring(window, at + 1, size)").alias("piece"))
+    cand = wk.join(nk, ["n", "b", "off", "piece"]).filter(_letter_bound(F.col("window"), F.col("name"), ratio))
     pairs = cand.select("window", "name").distinct()
     return pairs.filter(_ratio_udf(ratio)("window", "name"))
 

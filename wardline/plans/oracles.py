@@ -129,7 +129,7 @@ def _label_cte() -> str:
  labelled AS (SELECT table_name, schema_name, column_name, CASE WHEN regexp_full_match(f, '[0-9]{{7,10}}') THEN 'phi' WHEN {hint(fixed.PHI_NAME_HINTS)} THEN 'phi' WHEN {hint(fixed.PII_NAME_HINTS)} THEN 'pii'
   WHEN p THEN 'phi' WHEN a THEN 'pii' END AS label, CASE WHEN regexp_full_match(f, '[0-9]{{7,10}}') THEN true WHEN {hint(fixed.PHI_NAME_HINTS)} OR {hint(fixed.PII_NAME_HINTS)} THEN false ELSE st END AS strong FROM found),
  tlabels AS (SELECT table_name, schema_name, CASE WHEN schema_name = 'operational' AND NOT bool_or(strong) THEN 'general' WHEN bool_or(coalesce(label = 'phi', false)) THEN 'phi'
-  WHEN bool_or(coalesce(label = 'pii', false)) THEN 'pii' ELSE 'general' END AS label, bool_or(column_name = 'unit') AS u FROM labelled GROUP BY ALL)"""
+  WHEN bool_or(coalesce(label = 'pii', false)) THEN 'pii' ELSE 'general' END AS label, bool_or(column_name = 'unit') AS u FROM labelled GROUP BY table_name, schema_name)"""
 
 
 _APPLIED = """old AS (SELECT CASE n_regionkey WHEN 0 THEN 'customer' WHEN 1 THEN 'orders' ELSE 'nation' END AS table_name, lower(n_name) AS column_name,
@@ -137,7 +137,7 @@ _APPLIED = """old AS (SELECT CASE n_regionkey WHEN 0 THEN 'customer' WHEN 1 THEN
  applied AS (SELECT * FROM old WHERE NOT (tag_name = 'classification' AND table_name IN (SELECT table_name FROM tlabels))
   UNION ALL SELECT table_name, column_name, 'classification', label FROM labelled WHERE label IS NOT NULL)"""
 
-_NEW = "CASE WHEN doc_id % 3 = 0 THEN upper(text) ELSE text END"
+_NEW = "CASE WHEN doc_id % 3 = 0 THEN text || ' (v2)' ELSE text END"
 _VERSIONS = f"""o AS (SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, {_NEW} AS text FROM documents WHERE doc_id % 5 <> 0)"""
 _BNAMES = """nm AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '[a-z'']+')[1:2], ' ') AS name FROM benchmark),
  dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM documents)"""

@@ -129,7 +129,7 @@ def null_content(spark, sf):
 def _two_versions(spark, sf):
     d = B.table(spark, sf, "documents")
     old = d.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("chunk_id"), "text")
-    new = d.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 3 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    new = d.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" (v2)"))).otherwise(F.col("text")).alias("text"))
     return old, new
 
 
