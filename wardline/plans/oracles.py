@@ -300,4 +300,31 @@ def oracle_sql() -> dict[str, str]:
     q["lineage_asof"] = """WITH r AS (SELECT event_id, 'endpoint-' || event_id % 3 AS endpoint, ts FROM events), v AS (SELECT 'endpoint-' || event_id % 3 AS endpoint, event_id AS version, ts AS f FROM events WHERE event_type = 'signup')
  SELECT r.event_id, r.endpoint, v.version FROM r ASOF LEFT JOIN v ON r.endpoint = v.endpoint AND r.ts >= v.f"""
     q["decision_rows"] = f"""WITH {ROUTED} SELECT question_id, CASE WHEN phi THEN 'phi_private' ELSE 'general_external' END AS decision, CASE WHEN phi THEN 'private-model' ELSE 'external-model' END AS endpoint, tables AS matched_tables, 'v2' AS prompt_version, reason FROM routed"""
+    see2 = ("ck.side = qt.side AND (qt.side = 'general' OR (SELECT s.sees_all FROM scopes s WHERE s.user_email = qt.user_email) OR EXISTS (SELECT 1 FROM reader_units r "
+            "WHERE r.user_email = qt.user_email AND r.unit = ck.unit))")
+    brute = ranked("finding", "both_chunks", see2, ", user_email, side").replace("SELECT DISTINCT chunk_id, unit,", "SELECT DISTINCT chunk_id, unit, side,").replace(
+        "(SELECT chunk_id, unit, unnest", "(SELECT chunk_id, unit, side, unnest")
+    answered = f"""{PHI}, {GENERAL}, {SCOPES}, {ROUTED.replace(ENC + ', ', '')},
+ step AS (SELECT *, {screen('question')} AS stop, phi OR {kinds('question')} <> '' AS phi2, CASE WHEN {leak} THEN '{fixed.FLAG_LEAK}' ELSE '' END AS flags FROM routed),
+ cq AS (SELECT question_id, user_email, regexp_extract(question, 'are in (\\w+)\\?', 1) AS said FROM step WHERE stop IS NULL AND phi2 AND regexp_matches(question, {lit(fixed.COUNT_PATTERN)}, 'i')),
+ finding AS (SELECT question_id, user_email, question, CASE WHEN phi2 THEN 'phi' ELSE 'general' END AS side FROM step WHERE stop IS NULL AND question_id NOT IN (SELECT question_id FROM cq)),
+ both_chunks AS (SELECT chunk_id, unit, 'phi' AS side, content FROM phi_chunks UNION ALL SELECT chunk_id, NULL, 'general', content FROM general_chunks), {brute},
+ hits AS (SELECT question_id, count(*) AS n, array_to_string(list(chunk_id ORDER BY rank), ',') AS sources FROM ranked GROUP BY 1),
+ vis AS (SELECT q.question_id, q.said, c.unit, regexp_extract(c.content, 'Patient (.+?) \\(MRN', 1) AS name FROM cq q JOIN scopes s USING (user_email) JOIN phi_chunks c
+  ON s.sees_all OR EXISTS (SELECT 1 FROM reader_units r WHERE r.user_email = q.user_email AND r.unit = c.unit)),
+ us AS (SELECT question_id, max(CASE WHEN lower(unit) = lower(said) THEN unit END) AS unit_scope FROM vis GROUP BY 1),
+ cn AS (SELECT v.question_id, count(DISTINCT name) AS entities, count(*) AS n FROM vis v JOIN us USING (question_id) WHERE unit_scope IS NULL OR unit = unit_scope GROUP BY 1),
+ ans AS (SELECT s.question_id, CASE WHEN stop IS NULL THEN 'ok' ELSE 'blocked' END AS status, CASE WHEN stop IS NULL THEN CASE WHEN phi2 THEN 'phi' ELSE 'general' END END AS path,
+  CASE WHEN stop IS NULL THEN intent END AS intent, CASE WHEN stop IS NOT NULL THEN NULL WHEN cq.question_id IS NOT NULL THEN '{fixed.MODEL_COUNT}' WHEN h.n IS NULL THEN '{fixed.MODEL_NO_RECORDS}'
+  WHEN phi2 AND h.n > 1 THEN '{fixed.MODEL_LISTED}' WHEN phi2 THEN 'private-model' ELSE 'external-model' END AS model,
+  CASE WHEN stop IS NOT NULL THEN 0 WHEN cq.question_id IS NOT NULL THEN coalesce(cn.n, 0) ELSE coalesce(h.n, 0) END AS matched_chunks, h.sources, CASE WHEN stop IS NULL THEN flags END AS flags, stop AS error,
+  CASE WHEN cq.question_id IS NOT NULL THEN coalesce(entities, 0) || ' patient' || CASE WHEN entities = 1 THEN '' ELSE 's' END || ' with encounters on record' || coalesce(' in ' || unit_scope, '') || {lit(fixed.COUNT_SUFFIX)} END AS count_answer
+  FROM step s LEFT JOIN cq USING (question_id) LEFT JOIN hits h USING (question_id) LEFT JOIN us USING (question_id) LEFT JOIN cn USING (question_id))"""
+    waits = "coalesce(model IN ('private-model', 'external-model'), false)"
+    q["answer_batch"] = f"WITH {answered} SELECT *, {waits} AS waits FROM ans"
+    held = f"{waits} AND path = 'general' AND question_id % 3 = 1"
+    q["finish_batch"] = f"""WITH {answered}, r AS (SELECT question_id, CASE WHEN {held} THEN 'blocked' ELSE status END AS status, CASE WHEN {held} THEN NULL ELSE path END AS path, CASE WHEN {held} THEN NULL ELSE model END AS model,
+  CASE WHEN {held} THEN NULL WHEN {waits} AND question_id % 3 > 0 THEN concat_ws(',', nullif(flags, ''), '{fixed.FLAG_UNGROUNDED}') ELSE flags END AS flags,
+  CASE WHEN {held} THEN replace({lit(fixed.REPLY_LEAK_MSG)}, '%s', 'mrn_like') ELSE error END AS error, CASE WHEN {held} THEN 0 ELSE matched_chunks END AS matched FROM ans)
+ SELECT status, path, model, flags, error, count(*) AS questions, sum(matched)::BIGINT AS matched FROM r GROUP BY 1, 2, 3, 4, 5"""
     return q

@@ -555,3 +555,33 @@ def lineage_asof(spark, sf):
 @query
 def decision_rows(spark, sf):
     return lineage.decision_rows(route.route(B.questions(spark, sf), _registry(spark, sf)), "v2", B.PRIVATE, B.EXTERNAL)
+
+
+# ------------------------------------------------------------------ end to end
+def _sources(spark, sf):
+    from wardline.plans.answer import Sources
+
+    return Sources(phi_chunks(spark, sf), general_chunks(spark, sf), _registry(spark, sf), B.groups(spark, sf), B.staff(spark, sf), B.PRIVATE, B.EXTERNAL)
+
+
+@query
+def answer_batch(spark, sf):
+    from wardline.plans.answer import answer_batch as answer
+
+    a = answer(B.questions(spark, sf), _sources(spark, sf))
+    return a.select("question_id", "status", "path", "intent", "model", "matched_chunks", joined("sources", "sources"), joined("flags", "flags"), "error",
+                    F.when(F.col("model") == fixed.MODEL_COUNT, F.col("answer")).alias("count_answer"), F.col("prompt").isNotNull().alias("waits"))
+
+
+@query
+def finish_batch(spark, sf):
+    """Replies of three kinds for all questions that wait for a model: no fact, an id, an unsupported number."""
+    from wardline.plans import answer as A
+
+    src = _sources(spark, sf)
+    done = A.answer_batch(B.questions(spark, sf), src)
+    k = F.col("question_id")
+    replies = B.questions(spark, sf).select(k, F.when(k % 3 == 0, "No numbers here at all.").when(k % 3 == 1, "It is 424242424.").otherwise("It is 77777.").alias("reply"))
+    f = A.finish_batch(done, replies, src)
+    return f.filter(F.col("status") != "failed").groupBy("status", "path", "model", joined("flags", "flags"), "error").agg(
+        F.count(F.lit(1)).alias("questions"), F.sum("matched_chunks").alias("matched"))
