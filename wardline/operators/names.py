@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardline import fixed
 from wardline.functions import text as X
-from wardline.session import small_lookup
+from wardline.session import cut
 
 _EPS = 1e-9
 
@@ -93,20 +93,14 @@ def blocking_layout(lengths: list[tuple[int, int]], ratio: float) -> tuple[list[
     return sorted(name_rows), sorted(window_rows)
 
 
-def _letter_bound(w: Column, n: Column, ratio: float) -> Column:
-    """Upper bound of the similarity from letter counts alone, cheap enough to run before the exact test."""
-    common = F.lit(0)
-    for ch in "abcdefghijklmnopqrstuvwxyz' ":
-        cw = F.length(w) - F.length(F.replace(w, F.lit(ch)))
-        cn = F.length(n) - F.length(F.replace(n, F.lit(ch)))
-        common = common + F.least(cw, cn)
-    return 2.0 * common >= (ratio - _EPS) * (F.length(w) + F.length(n))
-
-
 def _ratio_udf(ratio: float):
     @F.pandas_udf("boolean")
     def similar(window: pd.Series, name: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, w, n).ratio() >= ratio for w, n in zip(window, name)], dtype=bool)
+        def close(w, n):
+            m = SequenceMatcher(None, w, n)
+            return m.quick_ratio() >= ratio and m.ratio() >= ratio      # the first is an upper bound of the second
+
+        return pd.Series([close(w, n) for w, n in zip(window, name)], dtype=bool)
 
     return similar
 
@@ -126,7 +120,7 @@ def similar_windows(windows: DataFrame, names: DataFrame, ratio: float = fixed.F
     nk = nm.join(ndf, ["n", "b"]).select("name", "n", "b", "off", F.expr("substring(name, off + 1, size)").alias("piece"))
     wk = windows.withColumn("a", F.length("window")).join(wdf, ["n", "a"]).select(
         "window", "n", "b", "off", F.expr("substring(window, at + 1, size)").alias("piece"))
-    cand = wk.join(nk, ["n", "b", "off", "piece"]).filter(_letter_bound(F.col("window"), F.col("name"), ratio))
+    cand = wk.join(nk, ["n", "b", "off", "piece"])
     pairs = cand.select("window", "name").distinct()
     return pairs.filter(_ratio_udf(ratio)("window", "name"))
 
@@ -153,10 +147,11 @@ def fuzzy_hits(texts: DataFrame, names: DataFrame, id_col: str, words_col: str,
 def name_hits(texts: DataFrame, names: DataFrame, id_col: str, col: str, fuzzy: bool = True,
               ratio: float = fixed.FUZZY_NAME_RATIO) -> DataFrame:
     """Distinct ids of texts that mention a known name. The dear test runs only on texts the cheap ones left open."""
-    t = texts.select(id_col, X.words(F.col(col)).alias("_words"))
+    t = cut(texts.select(id_col, X.words(F.col(col)).alias("_words")))     # read by every test below
     cheap = substring_hits(t, names, id_col, "_words").union(part_hits(t, names, id_col, "_words")).distinct()
     if not fuzzy:
         return cheap
+    cheap = cut(cheap)
     rest = t.join(cheap, id_col, "left_anti")
     return cheap.union(fuzzy_hits(rest, names, id_col, "_words", ratio))
 

@@ -11,7 +11,7 @@ from wardline import fixed
 from wardline.functions import text as X
 from wardline.operators import grounding, policy, retrieve, route
 from wardline.operators.tags import Registry
-from wardline.session import cut, text_list
+from wardline.session import cut
 
 COLUMNS = ["question_id", "user_email", "question", "status", "path", "intent", "reason", "model", "answer", "sources",
            "matched_chunks", "flags", "error", "context", "system", "prompt", "records", "markdown"]
@@ -49,7 +49,9 @@ def answer_batch(questions: DataFrame, src: Sources, k: int = fixed.TOP_K, fuzzy
     screened = route.screen(questions.select("question_id", "user_email", "question"))
     blocked = _shape(screened.filter("blocked_reason is not null"), status=F.lit("blocked"), error=F.col("blocked_reason"), matched_chunks=F.lit(0))
     open_ = screened.filter("blocked_reason is null").drop("blocked_reason")
-    routed = cut(route.redirect_leaks(route.route(open_, src.registry, src.intent_tables), src.registry.names, fuzzy=fuzzy))
+    names = cut(src.registry.names)
+    reg = Registry(src.registry.phi, src.registry.known, names)
+    routed = cut(route.redirect_leaks(cut(route.route(open_, reg, src.intent_tables)), names, fuzzy=fuzzy))
     routed = routed.withColumn("path", F.when(F.col("phi"), "phi").otherwise("general"))
     denied = _shape(routed.filter("phi and user_email is null").drop("path", "intent", "reason", "flags"), status=F.lit("denied"),
                     error=F.lit(fixed.DENIED_NO_IDENTITY), matched_chunks=F.lit(0))
@@ -69,8 +71,8 @@ def answer_batch(questions: DataFrame, src: Sources, k: int = fixed.TOP_K, fuzzy
     chunks = src.phi_chunks.select("chunk_id", "unit", "content", F.lit("phi").alias("side")).unionByName(
         src.general_chunks.select("chunk_id", F.lit(None).cast("string").alias("unit"), "content", F.lit("general").alias("side")))
     to_find = going.filter(~counting).withColumn("side", F.col("path"))
-    matches = cut(retrieve.retrieve(to_find, chunks, k))
-    rec = grounding.records_of(matches, chunks)
+    matches = retrieve.retrieve(to_find, chunks, k)
+    rec = cut(grounding.records_of(matches, chunks))
     prompts = grounding.build_prompts(to_find, rec).drop("phi")
     found = to_find.join(rec, "question_id", "left").join(prompts, "question_id", "left")
     n = F.coalesce(F.size("sources"), F.lit(0))
@@ -81,11 +83,12 @@ def answer_batch(questions: DataFrame, src: Sources, k: int = fixed.TOP_K, fuzzy
              .when(F.col("phi"), src.private_model).otherwise(src.external_model))
     found = found.withColumn("model", model).withColumn("matched_chunks", n).withColumn(
         "answer", F.when(missing, F.lit(fixed.NO_RECORDS_ANSWER)).when(many, listed))
+    found = cut(found)
     waits = F.col("answer").isNull()
     settled = _shape(found.filter(~waits | F.col("phi")), status=F.lit("ok"),
                      **{x: F.when(waits, F.col(x)) for x in ("context", "system", "prompt")})
     # general records must hold no identifier; those that do are refused, never sent
-    out = grounding.block_leaks(found.filter(waits & ~F.col("phi")), src.registry.names, fuzzy=fuzzy)
+    out = grounding.block_leaks(found.filter(waits & ~F.col("phi")), names, fuzzy=fuzzy)
     sent = _shape(out.filter("status = 'ok'"))
     refused = _shape(out.filter("status <> 'ok'").drop("path", "intent", "reason", "model", "sources", "flags", "context", "system", "prompt", "records", "markdown"),
                      error=F.col("message"), matched_chunks=F.lit(0))

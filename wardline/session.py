@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +31,14 @@ def build_session(app: str = "wardline", master: str | None = None, **conf: str)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder named by ``spark.checkpoint.dir`` and go on from there, so that
-    several branches read it once and a lost executor costs a re-read, not a recomputation. A session that names
-    no such folder gets the plan back unchanged."""
+    """Materialise ``df`` in the shared folder named by ``spark.checkpoint.dir`` and go on from there, so that several
+    branches read it once and a lost executor costs a re-read, not a recomputation. Where the setting is absent, a local
+    session (tests) gets a folder of its own and a cluster gets the plan back unchanged."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="wardline-")
         if not folder:
             return df
         sc.setCheckpointDir(folder)
