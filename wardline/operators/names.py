@@ -30,14 +30,14 @@ def substring_hits(texts: DataFrame, names: DataFrame, id_col: str, tokens_col:
     spark, out = texts.sparkSession, texts.select(id_col).filter(F.lit(False))
     many = sorted(x for x in shapes if x[0] > 1)
     if many:
-        layout = F.broadcast(spark.createDataFrame(many, "_n int, _a int, _b int"))
-        sizes = F.array(*[F.lit(n) for n in sorted({x[0] for x in many})])
-        grams = texts.select(id_col, F.col(tokens_col).alias("_t"), F.explode(sizes).alias("_n")).filter(F.size("_t") >= F.col("_n"))
-        grams = grams.select(id_col, "_n", F.explode(F.transform(
-            F.sequence(F.lit(1), F.size("_t") - F.col("_n") + 1), lambda i: F.slice("_t", i, F.col("_n")))).alias("_g"))
-        cut = grams.join(layout, "_n").filter("_a <= length(_g[0]) and _b <= length(_g[_n - 1])").select(id_col, F.concat_ws(
-            " ", F.expr("right(_g[0], _a)"), F.slice("_g", 2, F.col("_n") - 2), F.expr("left(_g[_n - 1], _b)")).alias("name"))
-        out = out.union(cut.join(parts.filter("_n > 1").select("name"), "name", "left_semi").select(id_col))
+        layout = F.broadcast(spark.createDataFrame(many, "n int, _a int, _b int"))
+        w = windows_of(texts, id_col, tokens_col, sorted({x[0] for x in many}))
+        ends = w.select("n", "window").distinct().withColumn("_f", F.length(F.substring_index("window", " ", 1))).withColumn(
+            "_l", F.length(F.substring_index("window", " ", -1)))
+        cut_ = ends.join(layout, "n").filter("_a <= _f and _b <= _l").select("window", F.expr(
+            "substring(window, _f - _a + 1, length(window) - (_f - _a) - (_l - _b))").alias("name"))
+        hits = cut_.join(parts.filter("_n > 1").select("name"), "name", "left_semi").select("window").distinct()
+        out = out.union(w.join(hits, "window", "left_semi").select(id_col))
     single = sorted(x[1] for x in shapes if x[0] == 1)
     if single:
         # distinct tokens first: the vocabulary is far smaller than the text
