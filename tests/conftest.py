@@ -13,6 +13,8 @@ def spark(tmp_path_factory):
 
     s = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
+        # tiny inputs: compiling code costs more than it saves
+        "spark.sql.codegen.wholeStage": "false",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     s.sparkContext.setLogLevel("ERROR")
     yield s
