@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardline import fixed
 from wardline.functions import text as X
-from wardline.session import cut
+from wardline.session import cut, small_lookup
 
 _EPS = 1e-9
 
@@ -27,16 +27,22 @@ def substring_hits(texts: DataFrame, names: DataFrame, id_col: str, tokens_col:
     parts = names.select("name", F.split("name", " ", -1).alias("_p")).withColumn("_n", F.size("_p"))
     shape = parts.select("_n", F.length(F.expr("_p[0]")).alias("_a"), F.length(F.expr("_p[_n - 1]")).alias("_b")).distinct()
     shapes = [tuple(r) for r in shape.collect()]         # bounded by word lengths, not by the number of names
-    spark, out = texts.sparkSession, texts.select(id_col).filter(F.lit(False))
+    out = texts.select(id_col).filter(F.lit(False))
     many = sorted(x for x in shapes if x[0] > 1)
     if many:
-        layout = F.broadcast(spark.createDataFrame(many, "n int, _a int, _b int"))
+        # which words can be the first or last word of a hit is decided on the vocabulary, far smaller than the text
+        vocab = texts.select(F.explode(tokens_col).alias("_w")).distinct()
+        multi = parts.filter("_n > 1")
+        lens = lambda i: F.explode(F.array(*[F.lit(n) for n in sorted({x[i] for x in many})]))
+        heads = vocab.select("_w", lens(1).alias("_a")).filter("_a <= length(_w)").withColumn("_x", F.expr("right(_w, _a)")).join(
+            multi.select(F.expr("_p[0]").alias("_x")).distinct(), "_x", "left_semi").select(F.col("_w").alias("_hw"), "_a")
+        tails = vocab.select("_w", lens(2).alias("_b")).filter("_b <= length(_w)").withColumn("_x", F.expr("left(_w, _b)")).join(
+            multi.select(F.expr("_p[_n - 1]").alias("_x")).distinct(), "_x", "left_semi").select(F.col("_w").alias("_tw"), "_b")
         w = windows_of(texts, id_col, tokens_col, sorted({x[0] for x in many}))
-        ends = w.select("n", "window").distinct().withColumn("_f", F.length(F.substring_index("window", " ", 1))).withColumn(
-            "_l", F.length(F.substring_index("window", " ", -1)))
-        cut_ = ends.join(layout, "n").filter("_a <= _f and _b <= _l").select("window", F.expr(
-            "substring(window, _f - _a + 1, length(window) - (_f - _a) - (_l - _b))").alias("name"))
-        hits = cut_.join(parts.filter("_n > 1").select("name"), "name", "left_semi").select("window").distinct()
+        ends = w.select("window").distinct().select("window", F.substring_index("window", " ", 1).alias("_hw"), F.substring_index("window", " ", -1).alias("_tw"))
+        cut_ = ends.join(heads, "_hw").join(tails, "_tw").select("window", F.expr(
+            "substring(window, length(_hw) - _a + 1, length(window) - (length(_hw) - _a) - (length(_tw) - _b))").alias("name"))
+        hits = cut_.join(multi.select("name"), "name", "left_semi").select("window").distinct()
         out = out.union(w.join(hits, "window", "left_semi").select(id_col))
     single = sorted(x[1] for x in shapes if x[0] == 1)
     if single:
@@ -120,7 +126,7 @@ def similar_windows(windows: DataFrame, names: DataFrame, ratio: float = fixed.F
     nk = nm.join(ndf, ["n", "b"]).select("name", "n", "b", "off", F.expr("substring(name, off + 1, size)").alias("piece"))
     wk = windows.withColumn("a", F.length("window")).join(wdf, ["n", "a"]).select(
         "window", "n", "b", "off", F.expr("substring(window, at + 1, size)").alias("piece"))
-    cand = wk.join(nk, ["n", "b", "off", "piece"])
+    cand = wk.join(small_lookup(nk), ["n", "b", "off", "piece"])
     pairs = cand.select("window", "name").distinct()
     return pairs.filter(_ratio_udf(ratio)("window", "name"))
 
