@@ -57,13 +57,14 @@ def query_tokens(col: Column, stopwords=None, synonyms=None) -> Column:
 
 
 def match_key(token: Column, prefix: int = fixed.PREFIX_LETTERS) -> Column:
-    """The one equality key of the token rule: short tokens match exactly, longer ones on their first letters.
-    The trailing ``*`` keeps the two classes apart."""
-    return F.when(F.length(token) < prefix, token).otherwise(F.concat(F.substring(token, 1, prefix), F.lit("*")))
+    """The one equality key of the token rule: short tokens match exactly, longer ones on their first letters. A key of
+    ``prefix`` letters always stands for a long token and a shorter one for a short token, so the two never meet."""
+    return F.substring(token, 1, prefix)
 
 
-def match_keys(token_array: Column, prefix: int = fixed.PREFIX_LETTERS) -> Column:
-    return F.transform(token_array, lambda t: match_key(t, prefix))
+def content_keys(col: Column, prefix: int = fixed.PREFIX_LETTERS) -> Column:
+    """Distinct keys of all tokens of a text, cut out by the pattern itself in one pass."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit(f"([a-z0-9]{{1,{prefix}}})[a-z0-9]*"), F.lit(1)))
 
 
 def is_count_question(col: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wardline import fixed
 from wardline.functions import text as X
-from wardline.session import cut
+from wardline.session import cut, spread
 
 HOT_MIN = 10_000        # a key is never hot below this many chunks
 HOT_SHARE = 0.001       # ... nor below this share of all chunks, which bounds the number of hot keys
@@ -45,45 +45,43 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K, id_c
     tasks = asked.groupBy("task").agg(F.any_value("who").alias("who"), F.any_value("tokens").alias("tokens"))
     wanted = tasks.select("task", F.col("who.side").alias("side"), F.col("who.sees_all").alias("sees_all"),
                           F.col("who.units").alias("units"), F.size("tokens").alias("m"), F.explode("tokens").alias("_t"))
-    wanted = wanted.withColumn("key", F.concat("side", F.lit(":"), X.match_key(F.col("_t")))).drop("_t")
-
-    # keys carry their side, so one equality covers both
-    posted = c0.select("unit", "chunk_id", F.array_distinct(F.transform(
-        X.tokens(F.col("content")), lambda t: F.concat("side", F.lit(":"), X.match_key(t)))).alias("keys"))
-    posted = cut(posted)
-    vocabulary = wanted.select("key").distinct()
-    df_ = (posted.select(F.explode("keys").alias("key")).join(vocabulary, "key", "left_semi")
-           .groupBy("key").agg(F.count(F.lit(1)).alias("df")))
+    wanted = wanted.withColumn("key", X.match_key(F.col("_t"))).drop("_t")
+
+    posted = cut(spread(c0.select("side", "unit", "chunk_id", "content")).select("side", "unit", "chunk_id", X.content_keys(F.col("content")).alias("keys")))
+    vocabulary = wanted.select("side", "key").distinct()
+    df_ = (posted.select("side", F.explode("keys").alias("key")).join(vocabulary, ["side", "key"], "left_semi")
+           .groupBy("side", "key").agg(F.count(F.lit(1)).alias("df")))
     threshold = F.greatest(F.lit(hot_min), (c0.agg(F.count(F.lit(1))).scalar() * hot_share).cast("long"))
     keyed = df_.withColumn("hot", F.col("df") > threshold)
-    hot_list = keyed.filter("hot").agg(F.collect_set("key").alias("h"))
-    held = posted.withColumn("hot_keys", F.array_intersect("keys", hot_list.scalar()))
+    hot_list = keyed.filter("hot").groupBy("side").agg(F.collect_set("key").alias("h")).agg(F.map_from_entries(F.collect_list(F.struct("side", "h"))).alias("m"))
+    mine = F.try_element_at(hot_list.scalar(), F.col("side"))
+    held = posted.withColumn("hot_keys", F.coalesce(F.array_intersect("keys", mine), F.array().cast("array<string>")))
 
     # question side: its rare keys, its hot keys (rarest first; equal keys count once per token)
-    ranked = wanted.join(keyed, "key")
+    ranked = wanted.join(keyed, ["side", "key"])
     hots = ranked.filter("hot").groupBy("task").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("_h"))
     hots = hots.select("task", F.transform("_h", lambda x: x["key"]).alias("hot_q"))
-    rare = ranked.filter("not hot").groupBy("task", "sees_all", "units", "m", "key").agg(F.count(F.lit(1)).alias("w"))
+    rare = ranked.filter("not hot").groupBy("task", "side", "sees_all", "units", "m", "key").agg(F.count(F.lit(1)).alias("w"))
     rare = rare.join(hots, "task", "left")
     visible = F.col("sees_all") | F.array_contains("units", F.col("unit"))
     hot_score = F.coalesce(F.size(F.filter("hot_q", lambda x: F.array_contains("hot_keys", x))), F.lit(0))
 
-    rare_keys = keyed.filter("not hot").select("key")
-    postings = (held.select("unit", "chunk_id", "hot_keys", F.explode("keys").alias("key"))
-                .join(rare_keys, "key", "left_semi"))
-    hit = postings.join(rare, "key").filter(F.coalesce(visible, F.lit(False)))
+    rare_keys = keyed.filter("not hot").select("side", "key")
+    postings = (held.select("side", "unit", "chunk_id", "hot_keys", F.explode("keys").alias("key"))
+                .join(rare_keys, ["side", "key"], "left_semi"))
+    hit = postings.join(rare, ["side", "key"]).filter(F.coalesce(visible, F.lit(False)))
     by_rare = hit.groupBy("task", "chunk_id").agg(
         (F.sum("w") + F.max(F.when(F.col("hot_q").isNotNull(), hot_score).otherwise(0))).alias("score"))
     top = W.partitionBy("task").orderBy(F.desc("score"), "chunk_id")
     by_rare = by_rare.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).drop("rank")
 
     # groups of chunks with the same hot keys, with their first k ids
-    first = W.partitionBy("unit", "hot_keys").orderBy("chunk_id")
-    groups = (held.filter(F.size("hot_keys") > 0).select("unit", F.array_sort("hot_keys").alias("hot_keys"), "chunk_id")
+    first = W.partitionBy("side", "unit", "hot_keys").orderBy("chunk_id")
+    groups = (held.filter(F.size("hot_keys") > 0).select("side", "unit", F.array_sort("hot_keys").alias("hot_keys"), "chunk_id")
               .withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= k)
-              .groupBy("unit", "hot_keys").agg(F.array_sort(F.collect_list("chunk_id")).alias("ids")))
+              .groupBy("side", "unit", "hot_keys").agg(F.array_sort(F.collect_list("chunk_id")).alias("ids")))
     best = by_rare.groupBy("task").agg(F.max("score").alias("best"))
-    probe = (tasks.select("task", F.col("who.sees_all").alias("sees_all"), F.col("who.units").alias("units"),
+    probe = (tasks.select("task", F.col("who.side").alias("side"), F.col("who.sees_all").alias("sees_all"), F.col("who.units").alias("units"),
                           F.size("tokens").alias("m")).join(hots, "task").join(best, "task", "left"))
     # a chunk scoring at least `need` holds one of the m-need+1 rarest tokens; tokens without any posting come first
     need = F.greatest(F.coalesce("best", F.lit(1)), F.lit(1))
@@ -91,9 +89,9 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K, id_c
     probe = probe.withColumn("need", need).filter(F.col("need") <= F.size("hot_q")).withColumn(
         "_keys", F.array_distinct(F.slice("hot_q", 1, F.greatest(F.col("m") - F.col("need") + 1 - cold, F.lit(0)))))
     probe = probe.filter(F.size("_keys") > 0)
-    pk = probe.select("task", "sees_all", "units", "need", "hot_q", F.explode("_keys").alias("key"))
-    gk = groups.select("unit", "hot_keys", "ids", F.explode("hot_keys").alias("key"))
-    by_group = gk.join(pk, "key").filter(F.coalesce(visible, F.lit(False))).withColumn("score", hot_score)
+    pk = probe.select("task", "side", "sees_all", "units", "need", "hot_q", F.explode("_keys").alias("key"))
+    gk = groups.select("side", "unit", "hot_keys", "ids", F.explode("hot_keys").alias("key"))
+    by_group = gk.join(pk, ["side", "key"]).filter(F.coalesce(visible, F.lit(False))).withColumn("score", hot_score)
     by_group = by_group.filter(F.col("score") >= F.col("need"))
     # only groups with the task's best score go on to their ids
     by_group = by_group.withColumn("_r", F.rank().over(W.partitionBy("task").orderBy(F.desc("score")))).filter("_r = 1").select("task", "score", F.explode("ids").alias("chunk_id"))

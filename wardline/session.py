@@ -45,6 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A frame that arrives in fewer partitions than there are cores, such as one file of long texts, is spread out before
+    dear work per row. Large inputs have more partitions than that and pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def row_bound(df: DataFrame, limit: int) -> int | None:
     """The row count if it is at most ``limit``, else None. Reads no more than it needs to decide."""
     n = df.limit(limit + 1).count()

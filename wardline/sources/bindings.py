@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.session import spread
+
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 PHI_TABLES = ["clinical.silver_patient_encounters", "clinical.gold_patient_summary", "clinical.silver_lab_results"]
 GENERAL_TABLES = ["operational.gold_bed_availability_by_unit", "operational.facilities_info", "operational.policy_docs"]
+LONG_TEXTS = ("documents", "conversations")
 PRIVATE, EXTERNAL = "private-model", "external-model"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in LONG_TEXTS else df
 
 
 def encounters(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,7 +41,7 @@ def labs(spark: SparkSession, sf: str) -> DataFrame:
 
 def raw_encounters(spark: SparkSession, sf: str) -> DataFrame:
     """Encounters as raw JSON documents, one string column. Every id divisible by 11 has none, as a broken feed would."""
-    e = encounters(spark, sf)
+    e = spread(encounters(spark, sf))
     n = F.regexp_extract("encounter_id", r"(\d+)$", 1).cast("long")
     return e.select(F.to_json(F.struct(
         F.lit("Encounter").alias("resourceType"), F.when(n % 11 != 0, F.col("encounter_id")).alias("id"),
@@ -49,7 +53,7 @@ def raw_encounters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_labs(spark: SparkSession, sf: str) -> DataFrame:
-    x = labs(spark, sf)
+    x = spread(labs(spark, sf))
     return x.select(F.to_json(F.struct(F.col("mrn").alias("patient_mrn"), F.col("lab_encounter_id").alias("encounter_id"), "test_code",
                                        "result_value", "result_flag", "observed_at")).alias("value"))
 
