@@ -42,7 +42,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K, id_c
     who = F.struct("side", "sees_all", F.array_sort("units").alias("units"))
     asked = q0.select(id_col, F.array_sort(X.query_tokens(F.col(col))).alias("tokens"), who.alias("who"))
     asked = asked.filter(F.size("tokens") > 0).withColumn("task", F.sha2(F.to_json(F.struct("who", "tokens")), 256))
-    tasks = asked.groupBy("task").agg(F.any_value("who").alias("who"), F.any_value("tokens").alias("tokens"))
+    tasks = cut(asked.groupBy("task").agg(F.any_value("who").alias("who"), F.any_value("tokens").alias("tokens")))
     wanted = tasks.select("task", F.col("who.side").alias("side"), F.col("who.sees_all").alias("sees_all"),
                           F.col("who.units").alias("units"), F.size("tokens").alias("m"), F.explode("tokens").alias("_t"))
     wanted = wanted.withColumn("key", X.match_key(F.col("_t"))).drop("_t")
@@ -52,13 +52,13 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K, id_c
     df_ = (posted.select("side", F.explode("keys").alias("key")).join(vocabulary, ["side", "key"], "left_semi")
            .groupBy("side", "key").agg(F.count(F.lit(1)).alias("df")))
     threshold = F.greatest(F.lit(hot_min), (c0.agg(F.count(F.lit(1))).scalar() * hot_share).cast("long"))
-    keyed = df_.withColumn("hot", F.col("df") > threshold)
+    keyed = cut(df_.withColumn("hot", F.col("df") > threshold))        # one row per question key, read by every step
     hot_list = keyed.filter("hot").groupBy("side").agg(F.collect_set("key").alias("h")).agg(F.map_from_entries(F.collect_list(F.struct("side", "h"))).alias("m"))
     mine = F.try_element_at(hot_list.scalar(), F.col("side"))
     held = posted.withColumn("hot_keys", F.coalesce(F.array_intersect("keys", mine), F.array().cast("array<string>")))
 
     # question side: its rare keys, its hot keys (rarest first; equal keys count once per token)
-    ranked = wanted.join(keyed, ["side", "key"])
+    ranked = cut(wanted.join(keyed, ["side", "key"]))
     hots = ranked.filter("hot").groupBy("task").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("_h"))
     hots = hots.select("task", F.transform("_h", lambda x: x["key"]).alias("hot_q"))
     rare = ranked.filter("not hot").groupBy("task", "side", "sees_all", "units", "m", "key").agg(F.count(F.lit(1)).alias("w"))
@@ -73,7 +73,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K, id_c
     by_rare = hit.groupBy("task", "chunk_id").agg(
         (F.sum("w") + F.max(F.when(F.col("hot_q").isNotNull(), hot_score).otherwise(0))).alias("score"))
     top = W.partitionBy("task").orderBy(F.desc("score"), "chunk_id")
-    by_rare = by_rare.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).drop("rank")
+    by_rare = cut(by_rare.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).drop("rank"))
 
     # groups of chunks with the same hot keys, with their first k ids
     first = W.partitionBy("side", "unit", "hot_keys").orderBy("chunk_id")
