@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import op1_exact, op2_urls, op8_chat
+from public_tokenizers import PATTERN, path
+
+from . import op1_exact, op2_urls, op7_secrets, op8_chat, op9_bpe
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -29,6 +31,11 @@ def op2_url_filter(spark, sf):
     return op2_urls.judge(table(spark, sf, "pages").select("page_id", "url"), op2_urls.label_outcomes(table(spark, sf, "labels")))
 
 
+@query
+def op7_secret_scan(spark, sf):
+    return op7_secrets.digest(op7_secrets.spans(table(spark, sf, "documents").select("doc_id", "text")))
+
+
 @query
 def op8_chat_format(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
@@ -37,6 +44,14 @@ def op8_chat_format(spark, sf):
     return op8_chat.digest(op8_chat.examples(c.unionByName(own)))
 
 
+@query
+def op9_bpe_tokens(spark, sf):
+    vocabulary = op9_bpe.Vocabulary.load(path("byte_bpe_50k.tiktoken"), PATTERN)
+    coded = op9_bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), vocabulary)
+    coded = coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return op9_bpe.decode(coded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 ORACLES["op1_exact_dedup"] = op1_exact.ORACLE
 ORACLES["op2_url_filter"] = op2_urls.ORACLE
 ORACLES["op8_chat_format"] = op8_chat.ORACLE
