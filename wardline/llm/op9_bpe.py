@@ -13,6 +13,8 @@ Defined results: a null text counts as empty and has no ids; null and repeated i
 from __future__ import annotations
 
 import base64
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,10 +67,13 @@ class Vocabulary:
         """Where the pre-tokens of ``text`` start, and its end."""
         return [0, *(m.end() for m in self._ready()[0].finditer(text))]
 
-    def ids(self, text: str) -> bytes:
-        """Ids of ``text`` as little-endian unsigned 32-bit integers."""
+    def ids(self, text: str, stop: int | None = None) -> bytes:
+        """Ids of ``text``, or of its pre-tokens up to the boundary ``stop``, as little-endian unsigned 32-bit integers."""
         rx, piece, _, known = self._ready()
         words = rx.findall(text)
+        if stop is not None:
+            ends = list(accumulate(map(len, words)))
+            words = words[: bisect_right(ends, stop)]
         if len(known) > REMEMBERED:
             known.clear()
         for w in set(words) - known.keys():
@@ -80,16 +85,17 @@ class Vocabulary:
         return b"".join(map(table.__getitem__, memoryview(ids).cast("I")))
 
 
-def _map(df: DataFrame, column: str, out: str, kind: pa.DataType, f, rows: int = 256) -> DataFrame:
-    """``df`` with ``column`` replaced by ``out`` = f(value), a few rows at a time."""
-    schema = T.StructType([x for x in df.schema.fields if x.name != column] + [T.StructField(out, T.BinaryType() if kind == pa.binary() else T.ArrayType(T.IntegerType()))])
+def _map(df: DataFrame, columns: str | list[str], out: str, kind: pa.DataType, f, rows: int = 256) -> DataFrame:
+    """``df`` with ``columns`` replaced by ``out`` = f(values), a few rows at a time."""
+    columns = [columns] if isinstance(columns, str) else columns
+    schema = T.StructType([x for x in df.schema.fields if x.name not in columns] + [T.StructField(out, T.BinaryType() if kind == pa.binary() else T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, rows):
                 part = b.slice(i, rows)
-                new = pa.array([f(x.as_py()) for x in part.column(column)], kind)
-                names = [n for n in part.schema.names if n != column]
+                new = pa.array(map(f, *(part.column(c).to_pylist() for c in columns)), kind)
+                names = [n for n in part.schema.names if n not in columns]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [new], names=[*names, out])
 
     return df.mapInArrow(run, schema)
@@ -131,10 +137,11 @@ def _encode_long(texts: DataFrame, vocab, chunk: int, overlap: int) -> DataFrame
     cut = F.when(F.col("no") == F.col("last"), F.lit(2**31 - 1)).otherwise(F.array_min(F.array_intersect("tail", F.lead("head").over(by))))
     seen = seen.select("_key", "no", "part", "last", head.alias("head"), tail.alias("tail"))
     seen = seen.withColumn("to", cut).withColumn("from", F.coalesce(F.lag("to").over(by), F.when(F.col("no") == 0, 0)))
-    pieces = keep(seen.select("_key", "no", F.expr(f"substring(part, from - no * {chunk} + 1, to - from)").alias("piece"), (F.col("to").isNull() | F.col("from").isNull()).alias("lost")))
+    pieces = keep(seen.select("_key", "no", F.expr(f"substring(part, from - no * {chunk} + 1)").alias("piece"), (F.col("to") - F.col("from")).alias("stop"), (F.col("to").isNull() | F.col("from").isNull()).alias("lost")))
     lost = pieces.where("lost").select("_key").distinct()
-    ids = lambda t: vocab.value.ids(t)
-    made = _map(pieces.join(lost, "_key", "left_anti").select("_key", "no", "piece"), "piece", "ids", pa.binary(), ids)
+    # a piece keeps its chunk's rest behind it: the pattern looks ahead
+    ids = lambda *a: vocab.value.ids(*a)
+    made = _map(pieces.join(lost, "_key", "left_anti").select("_key", "no", "piece", "stop"), ["piece", "stop"], "ids", pa.binary(), ids)
     joined = made.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("p")).select("_key", F.expr("unhex(array_join(transform(p, x -> hex(x.ids)), ''))").alias("ids"))
     whole = _map(texts.join(lost, "_key", "left_semi").select("_key", "_text"), "_text", "ids", pa.binary(), ids, 1)
     return texts.select("_key", "_n").join(joined.unionByName(whole), "_key")
