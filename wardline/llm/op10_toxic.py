@@ -32,12 +32,17 @@ from .common import ship
 
 ship(__name__)
 SAMPLE, SAMPLE_CHARS = 2_500, 12_000
-DECAY, SPAN, LANDMARKS = 0.7, 8, 160
+DECAY, SPAN, LANDMARKS = 0.7, 8, 224
 #: letters of a unit that are scored together; longer ones are covered by windows that overlap by half
 LONGEST = 24
-ROUNDS, PENALTY = 4, 1e-3
-#: codes: 0 dropped, 1 to 26 a to z, 27 digits, 28 other letters, 29 ends a word
-SIZE, DIGIT, OTHER, BLANK = 30, 27, 28, 29
+ROUNDS, PENALTY = 5, 1e-4
+#: a text is judged by its WITNESSES strongest units; margins under FLOOR say no less than FLOOR
+WITNESSES, FLOOR = 3, -0.8
+#: letters of the languages at hand that keep a code of their own; other accents are folded
+ACCENTED = "éèêçäöüßñóíá"
+#: codes: 0 dropped, 1 to 26 a to z, then ACCENTED, digits, other letters, and what ends a word
+DIGIT = 27 + len(ACCENTED)
+OTHER, BLANK, SIZE = DIGIT + 1, DIGIT + 2, DIGIT + 3
 LOOK_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "@": "a", "$": "s"}
 
 
@@ -49,6 +54,8 @@ def _codes() -> np.ndarray:
         base = unicodedata.normalize("NFKD", c.lower())[:1]
         if c.isspace():
             out[i] = BLANK
+        elif c.lower() in ACCENTED:
+            out[i] = 27 + ACCENTED.index(c.lower())
         elif "a" <= base <= "z":
             out[i] = ord(base) - 96
         elif base.isalpha():
@@ -155,81 +162,88 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENA
 
 
 class Model:
-    """One weight per letter triple, and the curve from the strongest unit's margin to a score."""
+    """One weight per letter triple, and the curve from the margins of the strongest units to a score."""
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float, offset: float):
-        self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.weights, self.bias, self.curve = weights, bias, np.r_[1.0, np.zeros(WITNESSES)]
 
     def margins(self, texts: list[str]) -> np.ndarray:
-        """The margin of the strongest unit of each text; without a unit, that of no evidence."""
-        out = np.full(len(texts), self.bias, np.float64)
+        """The margins of the strongest distinct units of each text, strongest first; FLOOR where there is no evidence."""
+        out = np.full((len(texts), WITNESSES), FLOOR)
         letters, first, size, text = units(texts)
         if len(first):
             groups, number = distinct(letters, first, size)
             each = np.concatenate([features(w, self.weights) for w in groups]) + self.bias
-            np.maximum.at(out, text, each[number])
+            some = each[number] > FLOOR
+            text, number = np.unique(np.stack([text[some], number[some]]), axis=1)
+            order = np.lexsort((-each[number], text))
+            text, number = text[order], number[order]
+            rank = np.arange(len(text)) - np.searchsorted(text, text)
+            top = rank < WITNESSES
+            out[text[top], rank[top]] = each[number[top]]
         return out
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(margins @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 def _fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     letters, first, size, text = units(texts)
     groups, number = distinct(letters, first, size)
-    n_units = sum(map(len, groups))
+    n_units, bounds = sum(map(len, groups)), np.cumsum([0, *map(len, groups)])
     # in how many toxic and clean texts each unit stands
     pairs = np.unique(np.stack([text, number], 1), axis=0)
     pos = np.bincount(pairs[y[pairs[:, 0]] == 1, 1], minlength=n_units).astype(float)
     neg = np.bincount(pairs[y[pairs[:, 0]] == 0, 1], minlength=n_units).astype(float)
     expected = (pos + neg) * (y == 1).mean()
     typical = (pos - expected) / np.sqrt(expected + 1)
-    typical[np.concatenate([np.full(len(w), w.shape[1]) for w in groups]) < 3] = -1e9
-    bounds = np.cumsum([0, *map(len, groups)])
+    typical[: bounds[np.searchsorted([w.shape[1] for w in groups], 3)]] = -1e9
     word = lambda u: groups[(g := np.searchsorted(bounds, u, "right") - 1)][u - bounds[g]]
     # landmarks: the most typical units of toxic texts, the commonest, and some others
     common = np.argsort(-(pos + neg), kind="stable")
-    marks = dict.fromkeys([*np.argsort(-typical, kind="stable")[: LANDMARKS // 2], *common[: LANDMARKS // 4]])
+    marks = dict.fromkeys([*np.argsort(-typical, kind="stable")[: LANDMARKS // 2], *common[: LANDMARKS // 8]])
     marks |= dict.fromkeys(rng.permutation(n_units)[: LANDMARKS - len(marks)])
     phi = np.stack([_explicit(word(u)) for u in marks])
     val, vec = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     ok = val > 1e-4 * val.max()
-    white = vec[:, ok] / np.sqrt(val[ok])
-    table = (phi.T @ white).astype(np.float32)
-    x = np.concatenate([features(w, table) for w in groups])
-    by_text = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    starts = np.searchsorted(by_text[:, 0], np.arange(len(texts) + 1))
-    score, w = typical, None
+    table = phi.T @ (vec[:, ok] / np.sqrt(val[ok])).astype(np.float32)
+    toxic = pairs[y[pairs[:, 0]] == 1]
+    score, w, weights = typical, None, None
     for r in range(ROUNDS):
-        witness = np.zeros(n_units)
-        for d in np.flatnonzero(y == 1):
-            own = by_text[starts[d] : starts[d + 1], 1]
-            if len(own):
-                witness[own[np.argmax(score[own])]] += 1
-        hard = np.argsort(-np.where(neg > 0, score, -1e9), kind="stable")[:4000]
-        clean = np.unique(np.r_[hard[neg[hard] > 0], common[neg[common] > 0][:4000], rng.permutation(np.flatnonzero(neg > 0))[:12000]])
+        # the strongest units of each toxic text
+        t, u = toxic[np.lexsort((-score[toxic[:, 1]], toxic[:, 0]))].T
+        rank = np.arange(len(t)) - np.searchsorted(t, t)
+        sure = (rank == 0) | (rank < WITNESSES) & (score[u] > (2 if r == 0 else 0))
+        witness = np.bincount(u[sure], minlength=n_units).astype(float)
+        hard = np.argsort(-np.where(neg > 0, score, -1e9), kind="stable")[:5000]
+        clean = np.unique(np.r_[hard[neg[hard] > 0], common[neg[common] > 0][:5000], rng.permutation(np.flatnonzero(neg > 0))[:12000]])
         # a unit that clean texts use about as often says nothing
-        good = np.flatnonzero((witness > 0) & (neg <= 0.1 * pos) & ((pos > 1) | (r > 0)))
+        good = np.flatnonzero((witness > 0) & (neg <= 0.15 * pos) & (pos > 1))
         clean = np.setdiff1d(clean, good)
         if not len(good) or not len(clean):
             break
         at, target = np.r_[good, clean], np.r_[np.ones(len(good)), -np.ones(len(clean))]
-        weight = np.r_[witness[good] / witness[good].sum(), np.full(len(clean), 1 / len(clean))]
-        w = _svm(x[at], target, weight)
-        score = x @ w[:-1] + w[-1]
+        x = np.zeros((len(at), table.shape[1]), np.float32)
+        group = np.searchsorted(bounds, at, "right") - 1
+        for g in np.unique(group):
+            x[group == g] = features(groups[g][at[group == g] - bounds[g]], table)
+        gain, loss = np.sqrt(witness[good]), np.sqrt(neg[clean])
+        w = _svm(x, target, np.r_[gain / gain.sum(), loss / loss.sum()])
+        weights = table @ w[:-1].astype(np.float32)
+        score = np.concatenate([features(g, weights) for g in groups]) + w[-1]
     if w is None:
-        return Model(np.zeros(SIZE**3, np.float32), -1.0, 1.0, 0.0)
-    model = Model((table @ w[:-1].astype(np.float32)).astype(np.float32), float(w[-1]), 1.0, 0.0)
-    m = model.margins(texts)
-    # logistic curve with both classes weighing alike
-    z = np.c_[m, np.ones(len(m))]
-    c, ab = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()), np.array([1.0, 0.0])
+        return Model(np.zeros(SIZE**3, np.float32), -1.0)
+    model = Model(weights, float(w[-1]))
+    # logistic curve; toxic texts weigh half as much as clean ones
+    z = np.c_[model.margins(texts), np.ones(len(texts))]
+    c = np.where(y == 1, 0.35 / (y == 1).sum(), 0.65 / (y == 0).sum())
+    curve, ridge = np.zeros(WITNESSES + 1), 1e-4 * np.diag([*[1.0] * WITNESSES, 0.01])
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ ab, -30, 30)))
-        h = (z * (c * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        ab = ab - np.linalg.solve(h, z.T @ (c * (p - (y == 1))) + 1e-3 * ab * [1, 0])
-    model.slope, model.offset = max(float(ab[0]), 1e-3), float(ab[1])
+        p = 1 / (1 + np.exp(-np.clip(z @ curve, -30, 30)))
+        h = (z * (c * p * (1 - p))[:, None]).T @ z + ridge
+        curve = curve - np.linalg.solve(h, z.T @ (c * (p - (y == 1))) + ridge @ curve)
+    model.curve = np.r_[np.maximum(curve[:-1], 0), curve[-1]]
     return model
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import PATTERN, path
 
-from . import op1_exact, op2_urls, op7_secrets, op8_chat, op9_bpe
+from . import op1_exact, op2_urls, op7_secrets, op8_chat, op9_bpe, op10_toxic
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -52,6 +52,14 @@ def op9_bpe_tokens(spark, sf):
     return op9_bpe.decode(coded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op10_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = op10_toxic.train(docs, table(spark, sf, "labels"))
+    scored = op10_toxic.score(docs, model).select("doc_id", op10_toxic.held_out().alias("held_out"), "score")
+    return scored.withColumn("predicted", F.expr("CAST(score >= 0.5 AS INT)"))
+
+
 ORACLES["op1_exact_dedup"] = op1_exact.ORACLE
 ORACLES["op2_url_filter"] = op2_urls.ORACLE
 ORACLES["op8_chat_format"] = op8_chat.ORACLE
