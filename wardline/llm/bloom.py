@@ -46,3 +46,13 @@ def probe(df: DataFrame, filter_: DataFrame, h: str, n: int, flag: str) -> DataF
     out = df.withColumn("_word", _word(h, words_for(n))).join(F.broadcast(filter_), "_word", "left")
     mask = _mask(h)
     return out.withColumn(flag, F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))).drop("_word", "_bits")
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` isn't in column ``name`` of ``gone`` (distinct, a checkpoint). Only rows that the filter of the
+    keys lets through are shuffled; null keys stay."""
+    n = gone.count()
+    mine = docs.withColumn("_key", key).withColumn("_h", F.xxhash64("_key"))
+    seen = probe(mine, members(gone.select(F.xxhash64(name).alias("_h")), "_h", n), "_h", n, "_maybe")
+    maybe = seen.where("_maybe").join(gone.select(F.col(name).alias("_gone")), F.col("_key") == F.col("_gone"), "left_anti")
+    return seen.where("NOT _maybe").select(*docs.columns).unionByName(maybe.select(*docs.columns))

@@ -14,7 +14,7 @@ sketch (4 bits a coordinate; a pair is passed over when fewer than CLOSE of 200
 
 Defined results: null texts count as empty; texts without words have no shingles and are linked with nothing. Rows without an id share the
 component of the texts they equal or, alone, have none and are kept. Rows with one id and several texts are one node linked by all of them.
-The kept document of a component is the one with the smallest id; ``unique`` keeps one row of it where rows repeat."""
+The kept document of a component is the one with the smallest id; repeated rows of it all stay (drop exact copies first)."""
 
 from __future__ import annotations
 
@@ -241,14 +241,9 @@ def cluster(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
 
 
 def unique(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one of each component, and all without shingles."""
-    cols = docs.columns
-    gone = keep(cluster(docs, k, share).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct())
-    n = gone.count()
-    h = F.xxhash64(F.col("doc_id").cast("long"))
-    seen = bloom.probe(docs.withColumn("_h", h), bloom.members(gone.select(F.xxhash64("_gone").alias("_h")), "_h", n), "_h", n, "_maybe").drop("_h")
-    maybe = seen.where("_maybe").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return seen.where("NOT _maybe").select(*cols).unionByName(maybe.select(*cols))
+    """The rows of ``docs`` that stay, with all their columns: one document of each component, and all without shingles or id."""
+    gone = keep(cluster(docs, k, share).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    return bloom.without(docs, F.col("doc_id").cast("long"), gone, "doc_id")
 
 
 ORACLE = """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import PATTERN, path
 
-from . import op1_exact, op2_urls, op5_near, op7_secrets, op8_chat, op9_bpe, op10_toxic
+from . import op1_exact, op2_urls, op4_contamination, op5_near, op7_secrets, op8_chat, op9_bpe, op10_toxic
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,6 +31,11 @@ def op2_url_filter(spark, sf):
     return op2_urls.judge(table(spark, sf, "pages").select("page_id", "url"), op2_urls.label_outcomes(table(spark, sf, "labels")))
 
 
+@query
+def op4_decontaminate(spark, sf):
+    return op4_contamination.contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")).drop("_key")
+
+
 @query
 def op5_near_dedup(spark, sf):
     return op5_near.cluster(table(spark, sf, "documents").select("doc_id", "text"), k=2)
@@ -69,3 +74,4 @@ ORACLES["op1_exact_dedup"] = op1_exact.ORACLE
 ORACLES["op2_url_filter"] = op2_urls.ORACLE
 ORACLES["op8_chat_format"] = op8_chat.ORACLE
 ORACLES["op5_near_dedup"] = op5_near.ORACLE
+ORACLES["op4_decontaminate"] = op4_contamination.ORACLE
