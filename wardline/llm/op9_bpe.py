@@ -76,7 +76,7 @@ class Vocabulary:
             words = words[: bisect_right(ends, stop)]
         if len(known) > REMEMBERED:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = b"".join(i.to_bytes(4, "little") for i in piece.encode_ordinary(w))
         return b"".join(map(known.__getitem__, words))
 
