@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import PATTERN, path
 
-from . import op1_exact, op2_urls, op4_contamination, op5_near, op7_secrets, op8_chat, op9_bpe, op10_toxic
+from . import op1_exact, op2_urls, op3_suffix, op4_contamination, op5_near, op6_warc, op7_secrets, op8_chat, op9_bpe, op10_toxic
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,6 +31,12 @@ def op2_url_filter(spark, sf):
     return op2_urls.judge(table(spark, sf, "pages").select("page_id", "url"), op2_urls.label_outcomes(table(spark, sf, "labels")))
 
 
+@query
+def op3_suffix_dedup(spark, sf):
+    out = op3_suffix.removed(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op4_decontaminate(spark, sf):
     return op4_contamination.contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")).drop("_key")
@@ -41,6 +47,12 @@ def op5_near_dedup(spark, sf):
     return op5_near.cluster(table(spark, sf, "documents").select("doc_id", "text"), k=2)
 
 
+@query
+def op6_warc_derivatives(spark, sf):
+    made = op6_warc.parse(op6_warc.derive(op6_warc.responses(table(spark, sf, "pages"))))
+    return made.withColumn("n_bytes", F.octet_length("block").cast("long")).withColumn("block_sha256", F.sha2("block", 256)).drop("block")
+
+
 @query
 def op7_secret_scan(spark, sf):
     return op7_secrets.digest(op7_secrets.spans(table(spark, sf, "documents").select("doc_id", "text")))
