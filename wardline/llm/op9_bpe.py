@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import bloom
 from .common import attach, keep, ship
 
 ship(__name__)
@@ -29,7 +30,7 @@ CHUNK, OVERLAP = 32_768, 2_048
 #: boundaries this close to the end of a chunk may depend on what follows it
 MARGIN = 64
 #: pre-tokens whose ids a worker remembers
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 
 
 class Vocabulary:
@@ -85,7 +86,7 @@ class Vocabulary:
         return b"".join(map(table.__getitem__, memoryview(ids).cast("I")))
 
 
-def _map(df: DataFrame, columns: str | list[str], out: str, kind: pa.DataType, f, rows: int = 256) -> DataFrame:
+def _map(df: DataFrame, columns: str | list[str], out: str, kind: pa.DataType, f, rows: int = 64) -> DataFrame:
     """``df`` with ``columns`` replaced by ``out`` = f(values), a few rows at a time."""
     columns = [columns] if isinstance(columns, str) else columns
     schema = T.StructType([x for x in df.schema.fields if x.name not in columns] + [T.StructField(out, T.BinaryType() if kind == pa.binary() else T.ArrayType(T.IntegerType()))])
@@ -109,42 +110,44 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", chun
     limit = chunk + overlap
     short = _map(docs.where(F.length("_text") <= limit), "_text", "ids", pa.binary(), ids)
     long = docs.where(F.length("_text") > limit).withColumn("_key", F.sha2("_text", 256))
-    texts = long.groupBy("_key").agg(F.any_value("_text").alias("_text"), F.count(F.lit(1)).alias("_n"))
-    done = keep(_encode_long(texts, vocab, chunk, overlap).withColumnRenamed("ids", "_ids"))
-    size = [x for x in long.columns if x not in ("_text", "_key")]
-    rows = attach(long.drop("_text"), done, "_key", "_n", F.monotonically_increasing_id()).select(*size, F.col("_ids").alias("ids"))
+    rows = keep(long.drop("_text"))
+    sizes = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    done = keep(_encode_long(long.select("_key", "_text"), vocab, chunk, overlap).join(sizes, "_key"))
+    rest = [x for x in rows.columns if x != "_key"]
+    rows = attach(rows, done, "_key", "_n", F.monotonically_increasing_id()).select(*rest, F.col("_ids").alias("ids"))
     return short.unionByName(rows).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 def _encode_long(texts: DataFrame, vocab, chunk: int, overlap: int) -> DataFrame:
-    """_key, _n, ids of distinct long texts (_key, _n, _text)."""
-    spark = texts.sparkSession
-    texts = keep(texts)
-    n = F.ceil((F.length("_text") - overlap) / chunk).cast("int")
-    parts = texts.select("_key", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("_text", i * chunk + 1, F.lit(chunk + overlap)))).alias("no", "part"), (n - 1).alias("last"))
-    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_key", "no")
+    """_key, _ids of each distinct text in ``texts`` (_key, _text), all of them long. The chunks are shuffled once by text and number,
+    where copies fall together; after that only boundaries and ids move."""
+    last = F.ceil((F.length("_text") - overlap) / chunk).cast("int") - 1
+    parts = texts.select("_key", last.alias("last"), F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("_text", i * chunk + 1, F.lit(chunk + overlap)))).alias("no", "part"))
+    parts = parts.groupBy("_key", "no", "last").agg(F.any_value("part").alias("part"))
 
     def ends(t):
         at = vocab.value.boundaries(t)
-        tail = [x for x in at[:-1] if chunk <= x <= len(t) - MARGIN]
-        return [len([x for x in at if x < overlap]), *(x for x in at if x < overlap), *tail]
+        head = [x for x in at if x < overlap]
+        return [len(head), *head, *(x for x in at[:-1] if chunk <= x <= len(t) - MARGIN)]
 
-    seen = _map(parts.withColumn("copy", F.col("part")), "copy", "ends", pa.list_(pa.int32()), ends)
+    seen = _map(parts, "part", "ends", pa.list_(pa.int32()), ends)
     # positions in the text: the boundaries in the first and in the last overlap of each chunk
     head = F.transform(F.slice("ends", F.lit(2), F.col("ends")[0]), lambda x: x + F.col("no") * chunk)
     tail = F.transform(F.filter("ends", lambda x, i: i > F.col("ends")[0]), lambda x: x + F.col("no") * chunk)
-    by = Window.partitionBy("_key").orderBy("no")
+    by, all_ = Window.partitionBy("_key").orderBy("no"), Window.partitionBy("_key")
     cut = F.when(F.col("no") == F.col("last"), F.lit(2**31 - 1)).otherwise(F.array_min(F.array_intersect("tail", F.lead("head").over(by))))
-    seen = seen.select("_key", "no", "part", "last", head.alias("head"), tail.alias("tail"))
-    seen = seen.withColumn("to", cut).withColumn("from", F.coalesce(F.lag("to").over(by), F.when(F.col("no") == 0, 0)))
-    pieces = keep(seen.select("_key", "no", F.expr(f"substring(part, from - no * {chunk} + 1)").alias("piece"), (F.col("to") - F.col("from")).alias("stop"), (F.col("to").isNull() | F.col("from").isNull()).alias("lost")))
-    lost = pieces.where("lost").select("_key").distinct()
+    seen = seen.select("_key", "no", "last", head.alias("head"), tail.alias("tail")).withColumn("to", cut)
+    seen = seen.withColumn("from", F.when(F.col("no") == 0, 0).otherwise(F.lag("to").over(by)))
+    cuts = keep(seen.select("_key", "no", "from", "to", F.max(F.col("to").isNull()).over(all_).alias("lost")))
     # a piece keeps its chunk's rest behind it: the pattern looks ahead
-    ids = lambda *a: vocab.value.ids(*a)
-    made = _map(pieces.join(lost, "_key", "left_anti").select("_key", "no", "piece", "stop"), ["piece", "stop"], "ids", pa.binary(), ids)
-    joined = made.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("p")).select("_key", F.expr("unhex(array_join(transform(p, x -> hex(x.ids)), ''))").alias("ids"))
-    whole = _map(texts.join(lost, "_key", "left_semi").select("_key", "_text"), "_text", "ids", pa.binary(), ids, 1)
-    return texts.select("_key", "_n").join(joined.unionByName(whole), "_key")
+    pieces = parts.join(cuts.where("NOT lost"), ["_key", "no"]).select("_key", "no", F.expr(f"substring(part, from - no * {chunk} + 1)").alias("piece"), (F.col("to") - F.col("from")).alias("stop"))
+    made = _map(pieces, ["piece", "stop"], "ids", pa.binary(), lambda *a: vocab.value.ids(*a))
+    joined = made.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("p")).select("_key", F.expr("unhex(array_join(transform(p, x -> hex(x.ids)), ''))").alias("_ids"))
+    lost = keep(cuts.where("lost").select("_key").distinct())
+    n, h = lost.count(), F.xxhash64("_key")
+    whole = bloom.probe(texts.withColumn("_h", h), bloom.members(lost.withColumn("_h", h), "_h", n), "_h", n, "_maybe").where("_maybe").join(lost, "_key", "left_semi")
+    whole = whole.groupBy("_key").agg(F.any_value("_text").alias("_text"))
+    return joined.unionByName(_map(whole, "_text", "_ids", pa.binary(), lambda t: vocab.value.ids(t), 1))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
