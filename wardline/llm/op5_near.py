@@ -8,9 +8,10 @@ coordinates is as closely concentrated about the similarity as with T independen
 Bands of BAND coordinates make the candidates: two texts with a similarity of 0.8 share none of 40 bands of five with probability 1e-7.
 Texts with equal sets are one node. Within a bucket, no pairs are listed: each node is held against two hubs, one that is the same for most
 buckets of a group and one drawn by bucket. Verified links join nodes into components. Only in buckets that then still hold several
-components is the rest tried: the nodes outside the hub's component against all nodes of other components, block by block, first by
+components is the rest tried: the nodes outside the hub's component against all others, block by block inside the tasks, first by
 sketch (4 bits a coordinate; a pair is passed over when fewer than CLOSE of 200 agree, which happens to a true link with probability below
-1e-9), then exactly. So components are those of all links, and a bucket whose nodes hang together costs linear time.
+1e-9), then exactly, until a link joins their components. So components are those of all links, no pairs are listed, and a bucket whose
+nodes hang together costs linear time.
 
 Defined results: null texts count as empty; texts without words have no shingles and are linked with nothing. Rows without an id share the
 component of the texts they equal or, alone, have none and are kept. Rows with one id and several texts are one node linked by all of them.
@@ -27,7 +28,7 @@ from . import bloom
 from .common import attach, keep, ship
 
 ship(__name__)
-T, BAND, CLOSE = 200, 5, 122
+T, BAND, CLOSE = 200, 5, 128
 BLOCK = 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -139,10 +140,15 @@ def _near(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
     return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, share: int) -> DataFrame:
-    """The pairs that are links: 100 * intersection >= share * union of the full sets."""
-    pairs = keep(_near(pairs, nodes, share))
-    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    both = np.r_[x, y]
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """node, set of the nodes in ``ids`` (distinct, a checkpoint); other texts stay where they are."""
     n = ids.count()
     passed = bloom.probe(docs.select(F.col("doc_id").cast("long").alias("node"), "text").withColumn("_h", F.xxhash64("node")), bloom.members(ids.withColumn("_h", F.xxhash64("node")), "_h", n), "_h", n, "_maybe")
     rows = passed.where("_maybe").select("node", "text").join(ids, "node", "left_semi")
@@ -153,16 +159,20 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, share: i
                 part = b.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingles(t, k).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["node", "set"])
 
-    sets = keep(rows.mapInArrow(to_sets, "node long, set binary").distinct())
+    return rows.mapInArrow(to_sets, "node long, set binary").distinct()
+
+
+def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, share: int) -> DataFrame:
+    """The pairs that are links: 100 * intersection >= share * union of the full sets."""
+    pairs = keep(_near(pairs, nodes, share))
+    sets = keep(_sets(keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), docs, k))
 
     def verify(batches):
         for b in batches:
             ok = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.r_[x, y]
-                both.sort()
-                i = int((both[1:] == both[:-1]).sum())
+                i = _shared(x, y)
                 ok.append(100 * i >= share * (len(x) + len(y) - i))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -190,33 +200,75 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "node long, label long")
 
 
-def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) of near sketches in buckets that hold several components."""
-    lab = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = lab.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("main")).where("lo <> hi").drop("lo", "hi")
-    split = keep(split)
-    rows = attach(keep(lab.select("key", "node", "label")), split, "key", "m", F.col("node")).where("m IS NOT NULL").join(nodes.select("node", "n", "sig"), "node")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks)
-    pack = [F.collect_list(c).alias(c) for c in ("node", "label", "n", "sig")]
-    rows = keep(rows)
-    every = rows.groupBy("key", "block", "blocks").agg(*pack)
-    other = rows.where("label <> main").groupBy("key", "block", "blocks").agg(*pack).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "sig")])
-    two = other.join(every.drop("blocks"), ["key", "block"])
+def _meet(u: DataFrame, cols: list[str], run, schema: str) -> DataFrame:
+    """Under each ``main``, every block of nodes outside the main component (x) with every block of such nodes and every block of the
+    main component. A row for ``run`` is two blocks of up to about BLOCK nodes: main, same (one block twice), v1, v2."""
+    sizes = keep(u.groupBy("main").agg(F.sum(F.col("x").cast("int")).alias("nx"), F.count(F.lit(1)).alias("size")).where("nx > 0"))
+    u = attach(u, sizes, "main", "size", F.col("node")).where("size IS NOT NULL")
+    u = u.withColumns({"bx": F.ceil(F.col("nx") / BLOCK), "bm": F.ceil((F.col("size") - F.col("nx")) / BLOCK)})
+    h = F.xxhash64("node")
+    u = u.withColumn("block", F.when(F.col("x"), F.pmod(h, F.col("bx"))).otherwise(F.col("bx") + F.pmod(h, F.greatest("bm", F.lit(1)))))
+    packed = keep(u.groupBy("main", "block", "bx", "bm").agg(F.collect_list(F.struct("node", "label", "n", *cols)).alias("v")))
+    left = packed.where("block < bx").select("main", F.col("block").alias("i"), F.col("v").alias("v1"), F.explode(F.sequence("block", F.col("bx") + F.col("bm") - 1)).alias("block"))
+    two = left.join(packed.select("main", "block", F.col("v").alias("v2")), ["main", "block"])
+    return two.select("main", (F.col("i") == F.col("block")).alias("same"), "v1", "v2").mapInArrow(run, schema)
+
+
+def _close_pairs(v1: list, v2: list, share: int):
+    """For each node of v1, the places in v2 with another label whose size and sketch allow a link."""
+    s1, s2 = (np.frombuffer(b"".join(x["sig"] for x in v), np.uint8).reshape(len(v), -1) for v in (v1, v2))
+    l2, n2 = np.array([x["label"] for x in v2]), np.array([x["n"] for x in v2])
+    for i, x in enumerate(v1):
+        at = np.flatnonzero((l2 != x["label"]) & (100 * np.minimum(n2, x["n"]) >= share * np.maximum(n2, x["n"])))
+        if len(at):
+            at = at[_agree(s2[at], s1[i]) >= CLOSE]
+            if len(at):
+                yield i, at
+
+
+def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, share: int) -> DataFrame:
+    """Links (a, b) that join components which share a bucket: enough of them to join all that are linked."""
+    lab = keep(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    split = keep(lab.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("main")).where("lo <> hi").drop("lo", "hi"))
+    u = attach(lab.select("key", "node", "label"), split, "key", "m", F.col("node")).where("m IS NOT NULL").select("main", "node", "label").distinct()
+    u = keep(u.withColumn("x", F.col("label") != F.col("main")).join(nodes.select("node", "n", "sig"), "node"))
+
+    def near(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                v1, v2, main = b.column("v1")[r].as_py(), b.column("v2")[r].as_py(), b.column("main")[r].as_py()
+                got = set()
+                for i, at in _close_pairs(v1, v2, share):
+                    got.add(v1[i]["node"])
+                    got.update(v2[j]["node"] for j in at)
+                yield pa.RecordBatch.from_arrays([pa.array([main] * len(got), pa.int64()), pa.array(list(got), pa.int64())], names=["main", "node"])
 
-    def run(batches):
+    hot = keep(_meet(u, ["sig"], near, "main long, node long").distinct())
+    sets = _sets(keep(hot.select("node").distinct()), docs, k)
+
+    def verify(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                v = {c: b.column(c)[i].as_py() for c in b.schema.names}
-                x, y = (np.frombuffer(b"".join(v[c]), np.uint8).reshape(len(v[c]), -1) for c in ("sig2", "sig"))
-                n2, n1, l2, l1, i2, i1 = (np.array(v[c]) for c in ("n2", "n", "label2", "label", "node2", "node"))
-                for j in range(len(x)):
-                    ok = (l1 != l2[j]) & (100 * np.minimum(n1, n2[j]) >= share * np.maximum(n1, n2[j]))
-                    ok[ok] = _agree(y[ok], x[j]) >= CLOSE
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i1[ok], i2[j])), pa.array(np.maximum(i1[ok], i2[j]))], names=["a", "b"])
+            for r in range(b.num_rows):
+                v1, v2 = b.column("v1")[r].as_py(), b.column("v2")[r].as_py()
+                s1, s2 = ([np.frombuffer(x["set"], np.uint64) for x in v] for v in (v1, v2))
+                root: dict = {}
+
+                def find(x, root=root):
+                    while (y := root.get(x, x)) != x:
+                        x = y
+                    return x
+
+                links = []
+                for i, at in _close_pairs(v1, v2, share):
+                    for j in at:
+                        lx, ly = find(v1[i]["label"]), find(v2[j]["label"])
+                        if lx != ly and 100 * (m := _shared(s1[i], s2[j])) >= share * (len(s1[i]) + len(s2[j]) - m):
+                            root[lx] = ly
+                            links.append((v1[i]["node"], v2[j]["node"]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
-    return two.select("node", "label", "n", "sig", "node2", "label2", "n2", "sig2").mapInArrow(run, "a long, b long").distinct()
+    u = u.join(hot, ["main", "node"], "left_semi").join(sets, "node")
+    return keep(_meet(u, ["sig", "set"], verify, "a long, b long").distinct())
 
 
 def cluster(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
@@ -232,7 +284,7 @@ def cluster(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
     pairs = ends.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     source = docs.select("doc_id", "text")
     first = _links(pairs, source, nodes, k, share)
-    rest = _links(_rest(members, components(first), nodes, share), source, nodes, k, share)
+    rest = _rest(members, components(first), nodes, source, k, share)
     labels = components(first.unionByName(rest))
     known = keep(classes.select("cls", "node", "size").join(labels, "node", "left").select("cls", "size", F.coalesce("label", "node").alias("label")))
     out = attach(rows.select("doc_id", "n", "cls"), known, "cls", "size", F.coalesce("doc_id", F.lit(0)))
