@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import ship
 
 ship(__name__)
-SAMPLE, SAMPLE_CHARS = 2_500, 12_000
+SAMPLE, SAMPLE_CHARS = 2_000, 8_000
 DECAY, SPAN, LANDMARKS = 0.7, 8, 224
 #: letters of a unit that are scored together; longer ones are covered by windows that overlap by half
 LONGEST = 24
@@ -254,8 +254,13 @@ def held_out():
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model | None:
     """Fit on at most ``sample`` texts of each class, from rows that aren't held out. ``labels``: doc_id, toxic."""
     once = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where((F.length("text") > 0) & (F.length("text") <= chars)).join(once, "doc_id")
-    got = [r for y in (1, 0) for r in rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).select("text", "toxic").collect()]
+    # ids first, so that only the sample's texts are fetched
+    rows = docs.where((F.length("text") > 0) & (F.length("text") <= chars)).select("doc_id").join(once, "doc_id").distinct()
+    picked = [r for y in (1, 0) for r in rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    if not picked:
+        return None
+    ids = F.broadcast(docs.sparkSession.createDataFrame(picked, rows.schema))
+    got = docs.where((F.length("text") > 0) & (F.length("text") <= chars)).select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     texts = list(dict.fromkeys((r.text, r.toxic) for r in got))
     y = np.array([t for _, t in texts])
     return _fit([t for t, _ in texts], y) if len(set(y)) == 2 else None
