@@ -52,7 +52,8 @@ def without(docs: DataFrame, key: Column, gone: DataFrame, name: str) -> DataFra
     """The rows of ``docs`` whose ``key`` isn't in column ``name`` of ``gone`` (distinct, a checkpoint). Only rows that the filter of the
     keys lets through are shuffled; null keys stay."""
     n = gone.count()
-    mine = docs.withColumn("_key", key).withColumn("_h", F.xxhash64("_key"))
+    # the rows are packed, so that no column of theirs can clash
+    mine = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_h", F.xxhash64("_key"))
     seen = probe(mine, members(gone.select(F.xxhash64(name).alias("_h")), "_h", n), "_h", n, "_maybe")
     maybe = seen.where("_maybe").join(gone.select(F.col(name).alias("_gone")), F.col("_key") == F.col("_gone"), "left_anti")
-    return seen.where("NOT _maybe").select(*docs.columns).unionByName(maybe.select(*docs.columns))
+    return seen.where("NOT _maybe").select("_row.*").unionByName(maybe.select("_row.*"))

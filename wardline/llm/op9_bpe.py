@@ -26,11 +26,11 @@ from . import bloom
 from .common import attach, keep, ship
 
 ship(__name__)
-CHUNK, OVERLAP = 32_768, 2_048
+CHUNK, OVERLAP = 65_536, 2_048
 #: boundaries this close to the end of a chunk may depend on what follows it
 MARGIN = 64
 #: pre-tokens whose ids a worker remembers
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 
 
 class Vocabulary:
