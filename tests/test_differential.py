@@ -177,3 +177,45 @@ def test_vectors_small_and_blocked(spark, scope):
             assert got == want
     finally:
         vector.GROUP_ROWS, vector.BLOCK_QUERIES = saved
+
+
+def test_vectors_of_every_dimension_are_answered(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(4)] + [(10 + i, [1.0, float(i), 2.0]) for i in range(4)] + [(20, []), (21, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = df.withColumnRenamed("vec_id", "query_id")
+    for limit in (1 << 20, 0):
+        got = {(r.query_id, r.vec_id) for r in vector.vector_topk(q, df, k=1, query_bytes=limit).collect()}
+        assert got == {(i, i) for i in [*range(4), *range(10, 14)]}
+
+
+def test_equal_vectors_tie_by_id_in_any_layout(spark):
+    import numpy as np
+
+    v = np.random.default_rng(1).random((6, 17)).tolist()
+    df = spark.createDataFrame([(i, v[i % 6]) for i in range(90)], "vec_id long, embedding array<double>")
+    q = df.filter("vec_id < 6").withColumnRenamed("vec_id", "query_id")
+    want = {(i, i + 6 * j, j + 1) for i in range(6) for j in range(5)}
+    for parts, limit in ((1, 1 << 20), (50, 1 << 20), (7, 0)):
+        got = {tuple(r) for r in vector.vector_topk(q, df.repartition(parts), query_bytes=limit).select("query_id", "vec_id", "rank").collect()}
+        assert got == want
+
+
+def test_requests_without_time_or_key(spark):
+    rows = [(i, None, None) for i in range(3)] + [(10 + i, None, "2024-01-01 00:00:00") for i in range(2)] + [(20 + i, "", "2024-01-01 00:00:00") for i in range(2)]
+    df = spark.createDataFrame(rows, "n long, k string, t string").withColumn("t", F.to_timestamp("t"))
+    got = {r.n for r in ratelimit.rate_limit(df, "k", "t", "n", limit=1).filter("admitted").collect()}
+    assert got == {10, 20}
+
+
+def test_rows_without_a_number_are_reported_and_accuse_no_other(spark):
+    df = spark.createDataFrame([(i, f"e{i}") for i in range(5)], "n long, event_id string")
+    c = chain.chain(df, ["n"], fields=["event_id"])
+    forged = c.unionByName(c.filter("n = 2").withColumn("seq", F.lit(None).cast("long")))
+    assert [(r.seq, r.problem) for r in chain.verify_chain(forged, fields=["event_id"]).collect()] == [(None, "no_seq")]
+
+
+def test_low_ratios_reach_long_windows():
+    from difflib import SequenceMatcher
+
+    _, windows = names.blocking_layout([(1, 4)], 0.5)
+    assert max(w[1] for w in windows) == 12 and SequenceMatcher(None, "abcd" + "x" * 8, "abcd").ratio() == 0.5

@@ -125,8 +125,6 @@ DETECTORS = [
 ]
 OPERATIONAL_SCHEMA = "operational"
 OPERATIONAL_IGNORES = "DATE_TIME"
-SAMPLE_ROWS = 200
-DETECTOR_ROWS = 25
 
 # --- access and masks
 SERVICE_GROUP = "phi_service_principals"

@@ -86,12 +86,13 @@ def verify_chain(df: DataFrame, key: list[str] = (), fields: list[str] | None =
     """Problems found, one row each: (key,) seq, problem, detail. No rows means the chains are intact.
 
     ``gap``: the number is not one more than the row before; ``prev_hash``: it does not name the hash of the row before;
-    ``edited``: content and hash disagree. Each row needs its predecessor only. A global ordered window would run in one
+    ``edited``: content and hash disagree; ``no_seq``: the row has no number, and no part in the chain. Each row needs its predecessor only. A global ordered window would run in one
     task, so rows look back within buckets of ``bucket_rows`` numbers and the first row of a bucket takes its predecessor
     from the small table of bucket ends."""
     keys = list(key)
     own = F.to_json(F.array(*[F.col(k).cast("string") for k in keys])) if keys else F.lit("")
-    d = df.withColumn("_key", own).withColumn("_bk", F.floor(F.col("seq") / bucket_rows).cast("long")).withColumn(
+    unnumbered = df.where("seq IS NULL").select(*keys, "seq", F.lit("no_seq").alias("problem"), F.lit("a row without a number").alias("detail"))
+    d = df.where("seq IS NOT NULL").withColumn("_key", own).withColumn("_bk", F.floor(F.col("seq") / bucket_rows).cast("long")).withColumn(
         "_edited", ~(expected_hash(F.nullif("prev_hash", F.lit("")), fields).eqNullSafe(F.col("row_hash"))))
     slim = d.select(*keys, "_key", "seq", "_bk", "prev_hash", "row_hash", "_edited")
     w = W.partitionBy("_key", "_bk").orderBy("seq", "row_hash")
@@ -110,4 +111,4 @@ def verify_chain(df: DataFrame, key: list[str] = (), fields: list[str] | None =
             "seq %d: prev_hash does not match the previous row", F.col("seq")).alias("detail"))),
         F.when(F.col("_edited"), F.struct(F.lit("edited").alias("problem"), F.format_string(
             "seq %d: row content does not match its hash (edited)", F.col("seq")).alias("detail")))))
-    return j.select(*keys, "seq", F.explode(found).alias("_f")).select(*keys, "seq", "_f.*")
+    return j.select(*keys, "seq", F.explode(found).alias("_f")).select(*keys, "seq", "_f.*").unionByName(unnumbered)

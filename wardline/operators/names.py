@@ -87,7 +87,8 @@ def blocking_layout(lengths: list[tuple[int, int]], ratio: float) -> tuple[list[
     are (words, b, offset, length), window rows (words, a, b, offset, length, position in the window)."""
     name_rows, window_rows = set(), set()
     for n, b in lengths:
-        for a in range(1, 2 * b + 2):
+        # 2 * b / (a + b) is the largest ratio of lengths a and b, so longer windows can't reach it
+        for a in range(1, int(b * (2 / ratio - 1)) + 2):
             d = _budget(a, b, ratio)
             if d < 0:
                 continue

@@ -25,7 +25,8 @@ def admit_counts(state: deque, ts: int, n: int, limit: int, window: int) -> int:
 def rate_limit(df: DataFrame, key: str, ts: str, order: str, limit: int = fixed.USER_LIMIT,
                window_seconds: int = fixed.USER_WINDOW_SECONDS) -> DataFrame:
     """Adds ``admitted``: true if fewer than ``limit`` requests of the key were *admitted* in the last window. Refused
-    requests do not count, so this is a fold in time order, not a windowed count. ``order`` breaks ties of ``ts``.
+    requests do not count, so this is a fold in time order, not a windowed count. ``order`` breaks ties of ``ts``. A request
+    without a time is refused; requests without a key share one limit, apart from the key ''.
 
     Most traffic never reaches the fold. Requests are counted per key and window-long bucket; a bucket that together with
     its predecessor holds no more than ``limit`` requests is calm and wholly admitted. Only runs of crowded buckets are
@@ -34,7 +35,7 @@ def rate_limit(df: DataFrame, key: str, ts: str, order: str, limit: int = fixed.
     a sorted partition and remembers at most ``limit`` instants."""
     micros = window_seconds * 1_000_000
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_t", t).withColumn("_b", F.floor(F.col("_t") / F.lit(micros)).cast("long"))
+    rows = df.withColumn("_k", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))).withColumn("_t", t).withColumn("_b", F.floor(F.col("_t") / F.lit(micros)).cast("long"))
     inst = rows.groupBy("_k", "_b", "_t").agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy("_k").orderBy("_b")
     buckets = inst.groupBy("_k", "_b").agg(F.sum("_n").alias("_c"))
@@ -62,7 +63,7 @@ def rate_limit(df: DataFrame, key: str, ts: str, order: str, limit: int = fixed.
     # of the requests of one instant the first ones in order are admitted; join and rank share one partitioning
     out = rows.join(verdict, ["_k", "_t"], "left")
     rn = F.row_number().over(W.partitionBy("_k", "_t").orderBy(order))
-    return out.withColumn("_rn", rn).select(*df.columns, F.coalesce(F.col("_rn") <= F.col("_m"), F.lit(True)).alias("admitted"))
+    return out.withColumn("_rn", rn).select(*df.columns, (F.col("_t").isNotNull() & F.coalesce(F.col("_rn") <= F.col("_m"), F.lit(True))).alias("admitted"))
 
 
 def usage_by(df: DataFrame, keys: list[str], ts: str, period: str = "day", limit: int | None = None) -> DataFrame:

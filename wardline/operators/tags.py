@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline import fixed
@@ -35,43 +34,32 @@ def build_registry(table_tags: DataFrame, column_tags: DataFrame, tables: DataFr
     return Registry(sensitive_tables(table_tags, column_tags), tables.select("table_name").distinct(), known_names(people))
 
 
-def classify_columns(df: DataFrame, table: str, schema: str, sample: int = fixed.SAMPLE_ROWS,
-                     order: Column | None = None, whole_table: bool = True) -> DataFrame:
-    """A label (phi, pii or null) and a ``strong`` flag per column, from name rules and sampled values.
+def classify_columns(df: DataFrame, table: str, schema: str) -> DataFrame:
+    """A label (phi, pii or null) and a ``strong`` flag per column, from name rules and all values.
 
-    Rules in order: metadata columns and the never-sensitive list are skipped; the first sampled value looks like an
-    MRN; a name hint; value detectors on the first sampled values. The sample is the feature: ``sample`` non-null
-    values per column in the order of ``order`` (default: a hash of the row). With ``whole_table`` every row competes
-    for it; the limit is applied inside each task before the shuffle, so at most ``sample`` values per column and task
-    move. Without it only the first rows that come are read, which is what a quick look at a huge table wants."""
+    Rules in order: metadata columns and the never-sensitive list are skipped; a value looks like an MRN; a name hint;
+    value detectors. Every value is tested, in one aggregate over the table whose state is four flags a column."""
     names = [c for c in df.columns if not c.startswith("_") and c.lower() not in fixed.NEVER_SENSITIVE]
     skipped = [c for c in df.columns if c not in names]
-    rows = df if whole_table else df.limit(sample)
-    ranked = rows.withColumn("_order", order if order is not None else F.xxhash64(*df.columns))
-    cells = ranked.select("_order", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in names])).alias("_c")
-    ).select("_order", "_c.*").filter("value is not null")
-    rn = F.row_number().over(W.partitionBy("column_name").orderBy("_order", "value"))
-    picked = cells.withColumn("_rn", rn).filter(F.col("_rn") <= sample)
-    tested = F.col("_rn") <= fixed.DETECTOR_ROWS
     detectors = [d for d in fixed.DETECTORS if not (schema == fixed.OPERATIONAL_SCHEMA and d[0] == fixed.OPERATIONAL_IGNORES)]
 
-    def any_of(keep):
-        hits = [F.col("value").rlike("(?dU)" + rx) for _, rx, label, strong in detectors if keep(label, strong)]
+    def any_of(c, keep):
         cond = F.lit(False)
-        for h in hits:
-            cond = cond | h
-        return F.bool_or(tested & cond)
-
-    found = picked.groupBy("column_name").agg(
-        F.min_by("value", "_rn").alias("first"), any_of(lambda l, s: l == "phi").alias("d_phi"),
-        any_of(lambda l, s: True).alias("d_any"), any_of(lambda l, s: s).alias("d_strong"))
+        for _, rx, label, strong in detectors:
+            if keep(label, strong):
+                cond = cond | F.col(f"`{c}`").cast("string").rlike("(?dU)" + rx)
+        return F.coalesce(F.bool_or(cond), F.lit(False))
+
+    flags = [F.struct(F.lit(c).alias("column_name"), F.coalesce(F.bool_or(F.col(f"`{c}`").cast("string").rlike(fixed.MRN_VALUE_PATTERN)), F.lit(False)).alias("mrn"),
+                      any_of(c, lambda l, s: l == "phi").alias("d_phi"), any_of(c, lambda l, s: True).alias("d_any"), any_of(c, lambda l, s: s).alias("d_strong")) for c in names]
+    empty = "array<struct<column_name:string,mrn:boolean,d_phi:boolean,d_any:boolean,d_strong:boolean>>"
+    found = df.agg((F.array(*flags) if flags else F.array().cast(empty)).alias("_f")).select(F.explode("_f").alias("_f")).select("_f.*")
     listed = df.sparkSession.createDataFrame(
         [(i, c, c in skipped, any(h in c.lower() for h in fixed.PHI_NAME_HINTS),
           any(h in c.lower() for h in fixed.PII_NAME_HINTS)) for i, c in enumerate(df.columns)],
         "position int, column_name string, skipped boolean, n_phi boolean, n_pii boolean")
     out = listed.join(found, "column_name", "left")
-    mrn = F.coalesce(F.col("first").rlike(fixed.MRN_VALUE_PATTERN), F.lit(False))
+    mrn = F.coalesce("mrn", F.lit(False))
     named = F.col("n_phi") | F.col("n_pii")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     label = (F.when(F.col("skipped"), F.lit(None).cast("string")).when(mrn, "phi").when(F.col("n_phi"), "phi")

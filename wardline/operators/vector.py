@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from wardline import fixed
 
 QUERY_BYTES = 64 << 20      # query vectors up to this size travel to every task
+TILE = 1024                 # ... and meet the rows of a batch this many at a time
+DECIMALS = 9                # scores are rounded, so that equal vectors tie whatever block they stand in
 BLOCK_QUERIES = 4096        # beyond it they are joined in blocks of this many
 GROUP_ROWS = 50_000         # ... against groups of about this many base rows
 
@@ -26,6 +28,7 @@ def _unit(m: np.ndarray, metric: str) -> np.ndarray:
 
 def _best(scores: np.ndarray, same: np.ndarray | None, ids: np.ndarray, k: int) -> pd.DataFrame:
     """Per query (column) the rows that can be among its k best, boundary ties included."""
+    scores = np.round(scores, DECIMALS)
     if same is not None:
         scores = np.where(same, scores, -np.inf)
     n = scores.shape[0]
@@ -42,16 +45,16 @@ def vector_topk(queries: DataFrame, base: DataFrame, k: int = fixed.TOP_K, metri
                 base_id: str = "vec_id", vec: str = "embedding", scope: str | None = None,
                 query_bytes: int = QUERY_BYTES) -> DataFrame:
     """``query_id, vec_id, score, rank``: the k most similar base rows of each query, ties by id. With ``scope`` a query
-    only meets rows of its own scope. Zero vectors score 0.
+    only meets rows of its own scope, and always only rows of its own dimension. Zero vectors score 0; scores are rounded
+    to DECIMALS.
 
     Every base row must be scored against every query, so the work is a blocked matrix product; what is kept small is the
     output: each task holds only its k best rows per query and only those are shuffled. The size of the query side is
     measured first: a small one is sent to the tasks (no shuffle of the base), a large one is joined block by block."""
     q = queries.select(F.col(query_id), F.col(vec).alias("_v"), *([F.col(scope).alias("_s")] if scope else [])).filter("_v is not null")
     b = base.select(F.col(base_id), F.col(vec).alias("_v"), *([F.col(scope).alias("_s")] if scope else [])).filter("_v is not null")
-    size = q.agg(F.coalesce(F.sum(F.size("_v") * 8), F.lit(0)).alias("n"), F.max(F.size("_v")).alias("d")).first()
-    dim = size["d"] or 0
-    q, b = q.filter(F.size("_v") == dim), b.filter(F.size("_v") == dim)
+    q, b = (x.filter("size(_v) > 0").withColumn("_d", F.size("_v")) for x in (q, b))
+    size = q.agg(F.coalesce(F.sum(F.col("_d") * 8), F.lit(0)).alias("n")).first()
     id_type = dict(b.dtypes)[base_id]
     qid_type = dict(q.dtypes)[query_id]
     out = f"{query_id} {qid_type}, {base_id} {id_type}, score double"
@@ -62,23 +65,29 @@ def vector_topk(queries: DataFrame, base: DataFrame, k: int = fixed.TOP_K, metri
 
 def _broadcast_topk(q, b, k, metric, query_id, base_id, scope, out):
     rows = q.toPandas()         # at most query_bytes, measured by the caller
-    qids = rows[query_id].to_numpy()
-    qm = _unit(np.stack(rows["_v"].to_numpy()) if len(rows) else np.zeros((0, 1)), metric).T
-    qs = rows["_s"].to_numpy() if scope else None
+    tiles = []                  # (dimension, ids, matrix, scopes)
+    for d, part in rows.groupby("_d"):
+        for i in range(0, len(part), TILE):
+            t = part.iloc[i : i + TILE]
+            tiles.append((d, t[query_id].to_numpy(), _unit(np.stack(t["_v"].to_numpy()), metric).T, t["_s"].to_numpy() if scope else None))
 
     def score(batches):
-        kept = None
+        kept = [None] * len(tiles)
         for batch in batches:
-            if batch.num_rows == 0 or len(qids) == 0:
-                continue
-            vals = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            m = _unit(vals.reshape(batch.num_rows, -1), metric)
-            same = None if qs is None else (batch.column(2).to_pandas().to_numpy()[:, None] == qs[None, :])
-            new = _best(m @ qm, same, batch.column(0).to_pandas().to_numpy(), k)
-            kept = _cut(new if kept is None else pd.concat([kept, new], ignore_index=True), k)
-        if kept is not None and len(kept):
-            yield pa.RecordBatch.from_pandas(pd.DataFrame({
-                query_id: qids[kept["q"].to_numpy()], base_id: kept["id"].to_numpy(), "score": kept["score"].to_numpy()}), preserve_index=False)
+            dims = batch.column("_d").to_numpy()
+            for d in np.unique(dims):
+                part = batch.filter(pa.array(dims == d))
+                m = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), metric)
+                ids = part.column(0).to_pandas().to_numpy()
+                for i, (qd, _, qm, qs) in enumerate(tiles):
+                    if qd == d:
+                        same = None if qs is None else (part.column("_s").to_pandas().to_numpy()[:, None] == qs[None, :])
+                        new = _best(m @ qm, same, ids, k)
+                        kept[i] = _cut(new if kept[i] is None else pd.concat([kept[i], new], ignore_index=True), k)
+        for (_, qids, _, _), best in zip(tiles, kept):
+            if best is not None and len(best):
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({
+                    query_id: qids[best["q"].to_numpy()], base_id: best["id"].to_numpy(), "score": best["score"].to_numpy()}), preserve_index=False)
 
     return b.mapInArrow(score, out)
 
@@ -86,7 +95,7 @@ def _broadcast_topk(q, b, k, metric, query_id, base_id, scope, out):
 def _blocked_topk(q, b, k, metric, query_id, base_id, scope, out):
     nq, nb = q.count(), b.count()
     blocks, groups = max(1, -(-nq // BLOCK_QUERIES)), max(1, -(-nb // GROUP_ROWS))
-    keys = ["_g", "_b"] + (["_s"] if scope else [])
+    keys = ["_g", "_b", "_d"] + (["_s"] if scope else [])
     q = q.withColumn("_b", F.pmod(F.xxhash64(query_id), F.lit(blocks))).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     b = b.withColumn("_g", F.pmod(F.xxhash64(base_id), F.lit(groups))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     q, b = [x.withColumn("_g", F.col("_g").cast("int")).withColumn("_b", F.col("_b").cast("int")) for x in (q, b)]

@@ -8,8 +8,7 @@ from wardline.operators import chunks, gold, tags
 from wardline.sources import tables as S
 
 
-def governance_refresh(tables: dict[str, tuple[str, DataFrame]], table_tags: DataFrame, column_tags: DataFrame,
-                       whole_table: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
+def governance_refresh(tables: dict[str, tuple[str, DataFrame]], table_tags: DataFrame, column_tags: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """Classify the given tables (name → schema, data) and bring the tag tables up to date. Gives the new table tags, the
     new column tags and the names of tables skipped because they read empty; those keep their tags."""
     labelled, skipped = None, []
@@ -17,7 +16,7 @@ def governance_refresh(tables: dict[str, tuple[str, DataFrame]], table_tags: Dat
         if not S.non_empty(df):
             skipped.append(name)
             continue
-        one = tags.classify_columns(df, name, schema, whole_table=whole_table)
+        one = tags.classify_columns(df, name, schema)
         labelled = one if labelled is None else labelled.unionByName(one)
     if labelled is None:
         return table_tags, column_tags, skipped

@@ -110,7 +110,7 @@ def ranked(questions: str, chunks: str, visible: str = "true", qcols: str = "")
 
 # ------------------------------------------------------------------ column classifier
 def _label_cte() -> str:
-    from wardline.plans.queries import ROW_KEYS, TABLE_SCHEMAS
+    from wardline.plans.queries import TABLE_SCHEMAS
 
     columns = {
         "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
@@ -118,16 +118,16 @@ def _label_cte() -> str:
         "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "documents": ["doc_id", "text", "lang", "source", "n_chars"],
         "conversations": ["conv_id", "turn", "role", "text"]}
     cells = " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, '{TABLE_SCHEMAS[t]}' AS schema_name, '{c}' AS column_name, md5({chr(32).join(['||chr(45)||'.join(k + '::VARCHAR' for k in ROW_KEYS[t])])}) AS o, "
+        f"SELECT '{t}' AS table_name, '{TABLE_SCHEMAS[t]}' AS schema_name, '{c}' AS column_name, "
         f"{c}::VARCHAR AS v FROM {t}" for t, cs in columns.items() for c in cs)
     det = lambda keep: " OR ".join(f"regexp_matches(v, {lit(rx)})" + (" AND schema_name <> 'operational'" if e == "DATE_TIME" else "")
                                    for e, rx, l, s in fixed.DETECTORS if keep(l, s))
     hint = lambda hs: "(" + " OR ".join(f"contains(lower(column_name), '{h}')" for h in hs) + ")"
-    return f"""cells AS ({cells}), picked AS (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY o, v) AS rn FROM cells WHERE v IS NOT NULL QUALIFY rn <= 200),
- found AS (SELECT table_name, schema_name, column_name, max(CASE WHEN rn = 1 THEN v END) AS f, bool_or(rn <= 25 AND ({det(lambda l, s: l == 'phi')})) AS p,
-  bool_or(rn <= 25 AND ({det(lambda l, s: True)})) AS a, bool_or(rn <= 25 AND ({det(lambda l, s: s)})) AS st FROM picked GROUP BY ALL),
- labelled AS (SELECT table_name, schema_name, column_name, CASE WHEN regexp_full_match(f, '[0-9]{{7,10}}') THEN 'phi' WHEN {hint(fixed.PHI_NAME_HINTS)} THEN 'phi' WHEN {hint(fixed.PII_NAME_HINTS)} THEN 'pii'
-  WHEN p THEN 'phi' WHEN a THEN 'pii' END AS label, CASE WHEN regexp_full_match(f, '[0-9]{{7,10}}') THEN true WHEN {hint(fixed.PHI_NAME_HINTS)} OR {hint(fixed.PII_NAME_HINTS)} THEN false ELSE st END AS strong FROM found),
+    return f"""cells AS ({cells}), 
+ found AS (SELECT table_name, schema_name, column_name, coalesce(bool_or(regexp_full_match(v, '[0-9]{{7,10}}')), false) AS f, coalesce(bool_or({det(lambda l, s: l == 'phi')}), false) AS p,
+  coalesce(bool_or({det(lambda l, s: True)}), false) AS a, coalesce(bool_or({det(lambda l, s: s)}), false) AS st FROM cells GROUP BY ALL),
+ labelled AS (SELECT table_name, schema_name, column_name, CASE WHEN f THEN 'phi' WHEN {hint(fixed.PHI_NAME_HINTS)} THEN 'phi' WHEN {hint(fixed.PII_NAME_HINTS)} THEN 'pii'
+  WHEN p THEN 'phi' WHEN a THEN 'pii' END AS label, CASE WHEN f THEN true WHEN {hint(fixed.PHI_NAME_HINTS)} OR {hint(fixed.PII_NAME_HINTS)} THEN false ELSE st END AS strong FROM found),
  tlabels AS (SELECT table_name, schema_name, CASE WHEN schema_name = 'operational' AND NOT bool_or(strong) THEN 'general' WHEN bool_or(coalesce(label = 'phi', false)) THEN 'phi'
   WHEN bool_or(coalesce(label = 'pii', false)) THEN 'pii' ELSE 'general' END AS label, bool_or(column_name = 'unit') AS u FROM labelled GROUP BY table_name, schema_name)"""
 
@@ -239,11 +239,11 @@ def oracle_sql() -> dict[str, str]:
     q["name_scan_exact"] = f"""WITH {_BNAMES} SELECT DISTINCT doc_id, 'substring' AS how FROM dw JOIN nm ON contains(array_to_string(w, ' '), name)
  UNION ALL SELECT DISTINCT doc_id, 'part' FROM (SELECT doc_id, unnest(w) AS x FROM dw) WHERE x IN (SELECT p FROM (SELECT unnest(string_split(name, ' ')) AS p FROM nm) WHERE length(p) >= 4)"""
     q["customer_names_in_questions"] = f"WITH {ENC}, {NAMES}, {QUESTIONS} SELECT question_id, EXISTS (SELECT 1 FROM names n WHERE contains(' ' || lower(question) || ' ', n.name)) AS name_hit FROM questions"
-    q["retrieve_topk"] = f"WITH {PHI}, {QUESTIONS}, qs AS (SELECT * FROM questions WHERE length(question) <= 500), {ranked('qs', 'phi_chunks')} SELECT question_id, chunk_id, score, rank FROM ranked"
+    q["retrieve_topk"] = f"WITH {PHI}, {QUESTIONS}, qs AS (SELECT * FROM questions), {ranked('qs', 'phi_chunks')} SELECT question_id, chunk_id, score, rank FROM ranked"
     q["retrieve_documents"] = f"""WITH qs AS (SELECT item_id AS question_id, text AS question FROM benchmark), ds AS (SELECT doc_id AS chunk_id, text AS content, NULL AS unit FROM documents), {ranked('qs', 'ds')}
  SELECT question_id, chunk_id, score, rank FROM ranked"""
     see = "(SELECT s.sees_all FROM scopes s WHERE s.user_email = qt.user_email) OR EXISTS (SELECT 1 FROM reader_units r WHERE r.user_email = qt.user_email AND r.unit = ck.unit)"
-    q["retrieve_scoped"] = f"WITH {PHI}, {QUESTIONS}, {SCOPES}, qs AS (SELECT * FROM questions WHERE length(question) <= 500), {ranked('qs', 'phi_chunks', see, ', user_email')} SELECT question_id, chunk_id, score, rank FROM ranked"
+    q["retrieve_scoped"] = f"WITH {PHI}, {QUESTIONS}, {SCOPES}, qs AS (SELECT * FROM questions), {ranked('qs', 'phi_chunks', see, ', user_email')} SELECT question_id, chunk_id, score, rank FROM ranked"
     q["count_entities"] = f"""WITH {PHI}, {QUESTIONS}, {SCOPES}, cq AS (SELECT question_id, user_email, regexp_extract(question, 'are in (\\w+)\\?', 1) AS said FROM questions WHERE regexp_matches(question, {lit(fixed.COUNT_PATTERN)}, 'i')),
  vis AS (SELECT q.question_id, q.said, c.unit, regexp_extract(c.content, 'Patient (.+?) \\(MRN', 1) AS name FROM cq q JOIN scopes s USING (user_email) JOIN phi_chunks c
   ON s.sees_all OR EXISTS (SELECT 1 FROM reader_units r WHERE r.user_email = q.user_email AND r.unit = c.unit)),
@@ -264,7 +264,7 @@ def oracle_sql() -> dict[str, str]:
     q["format_records"] = f"""WITH {PHI}, {per} SELECT chunk_id, CASE WHEN NOT parsed THEN '• ' || content ELSE '**' || patient_name || '** · MRN ' || per.mrn || chr(10) || per.unit || ' · ' || encounter_class || ' · ' || {full} || ' · diagnosis ' || diagnosis_code || ' · ' || encounter_id ||
  CASE WHEN n = 0 THEN '' ELSE chr(10) || chr(10) || '| Lab | Result | Flag | Taken |' || chr(10) || '|---|---|---|---|' || chr(10) || array_to_string(list_transform(ls, lambda l: '| ' || upper(({_CODE})[1]) || ({_CODE})[2:] || ' | ' || l.result_value || ' | ' || l.result_flag || ' | ' || {short} || ' |'), chr(10)) END END AS markdown
  FROM per JOIN phi_chunks USING (chunk_id)"""
-    q["build_prompts"] = f"""WITH {GENERAL}, {QUESTIONS}, qs AS (SELECT * FROM questions WHERE length(question) <= 500), gc AS (SELECT *, NULL AS unit FROM general_chunks), {ranked('qs', 'gc')},
+    q["build_prompts"] = f"""WITH {GENERAL}, {QUESTIONS}, qs AS (SELECT * FROM questions), gc AS (SELECT *, NULL AS unit FROM general_chunks), {ranked('qs', 'gc')},
  x AS (SELECT question_id, array_to_string(list('- ' || content ORDER BY rank), chr(10)) AS context FROM ranked JOIN gc USING (chunk_id) GROUP BY 1)
  SELECT question_id, context, '<records>' || chr(10) || context || chr(10) || '</records>' || chr(10) || chr(10) || 'Question: ' || question AS prompt FROM x JOIN qs USING (question_id)"""
     q["grounding_check"] = f"""WITH {PHI}, a AS (SELECT 'enc-ENC-' || o_orderkey AS question_id, 'Encounter ENC-' || o_orderkey || ' was on ' || strftime(o_orderdate, '%Y-%m-%d') || ' at 0:00, value ' ||

@@ -181,14 +181,12 @@ def recent_requests(spark, sf):
 
 # ------------------------------------------------------------------ governance
 TABLE_SCHEMAS = {"customer": "clinical", "orders": "clinical", "supplier": "operational", "documents": "clinical", "conversations": "operational"}
-ROW_KEYS = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "supplier": ["s_suppkey"], "documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
 
 
 def _labelled(spark, sf):
     out = None
     for t, s in TABLE_SCHEMAS.items():
-        order = F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in ROW_KEYS[t]]))
-        one = tags.classify_columns(B.table(spark, sf, t), t, s, order=order)
+        one = tags.classify_columns(B.table(spark, sf, t), t, s)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -414,7 +412,7 @@ def customer_names_in_questions(spark, sf):
 # ------------------------------------------------------------------ retrieval, records, prompts
 @query
 def retrieve_topk(spark, sf):
-    q = B.questions(spark, sf).filter("length(question) <= 500")
+    q = B.questions(spark, sf)
     return retrieve.retrieve(q.select("question_id", "question"), phi_chunks(spark, sf).select("chunk_id", "content"))
 
 
@@ -434,7 +432,7 @@ def _scoped(spark, sf):
 @query
 def retrieve_scoped(spark, sf):
     """Each reader searches only the records of their units."""
-    return retrieve.retrieve(_scoped(spark, sf).filter("length(question) <= 500"), phi_chunks(spark, sf).select("chunk_id", "unit", "content"))
+    return retrieve.retrieve(_scoped(spark, sf), phi_chunks(spark, sf).select("chunk_id", "unit", "content"))
 
 
 @query
@@ -458,7 +456,7 @@ def format_records(spark, sf):
 
 @query
 def build_prompts(spark, sf):
-    q = B.questions(spark, sf).filter("length(question) <= 500").withColumn("phi", F.lit(False))
+    q = B.questions(spark, sf).withColumn("phi", F.lit(False))
     c = general_chunks(spark, sf)
     rec = grounding.records_of(retrieve.retrieve(q, c.select("chunk_id", "content")), c)
     return grounding.build_prompts(q, rec).select("question_id", "context", "prompt")

@@ -33,23 +33,32 @@ def build_session(app: str = "wardline", master: str | None = None, **conf: str)
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder named by ``spark.checkpoint.dir`` and go on from there, so that several
     branches read it once and a lost executor costs a re-read, not a recomputation. Where the setting is absent, a local
-    session (tests) gets a folder of its own and a cluster gets the plan back unchanged."""
+    session (tests) gets a folder of its own; on a cluster it is an error, as every branch would be computed anew."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and sc.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="wardline-")
         if not folder:
-            return df
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A frame that arrives in fewer partitions than there are cores, such as one file of long texts, is spread out before
-    dear work per row. Large inputs have more partitions than that and pass unchanged."""
+    """Files of long texts that make fewer read partitions than there are cores are spread out before dear work per row. The number
+    of partitions follows from the sizes of the files, so nothing is run to find it; frames that aren't read from files pass."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    files = df.inputFiles()
+    return df.repartition(cores) if files and len(files) < cores and _bytes_of(df, files, cores) < cores * (16 << 20) else df
+
+
+def _bytes_of(df: DataFrame, files: list[str], most: int) -> int:
+    """Bytes of at most ``most`` files, asked of their file system."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files[:most]]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
 
 
 def row_bound(df: DataFrame, limit: int) -> int | None:
