@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import attach, keep, ship
+from .common import keep, ship
 
 ship(__name__)
 T, BAND, CLOSE = 200, 5, 128
@@ -187,14 +187,14 @@ def components(links: DataFrame) -> DataFrame:
     labels = None
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"), F.count(F.lit(1)).alias("deg")))
+        to = keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
         if to.isEmpty():
             break
         one = to.select(F.col("a").alias("label"), "to")
         labels = keep(to.select(F.col("a").alias("node"), F.col("to").alias("label")) if labels is None else
                       labels.join(one, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-        x = attach(edges, to, "a", "deg", F.col("b")).select(F.col("to").alias("x"), F.col("b").alias("a"))
-        y = attach(x, to, "a", "deg", F.col("x")).select("x", F.col("to").alias("y")).where("x <> y")
+        # plain joins with a checkpoint: adaptive execution splits the partition of a hub
+        y = edges.join(to, "a").select(F.col("to").alias("x"), F.col("b").alias("a")).join(to, "a").select("x", F.col("to").alias("y")).where("x <> y")
         edges = keep(y.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     spark = links.sparkSession
     return labels if labels is not None else spark.createDataFrame([], "node long, label long")
@@ -204,7 +204,7 @@ def _meet(u: DataFrame, cols: list[str], run, schema: str) -> DataFrame:
     """Under each ``main``, every block of nodes outside the main component (x) with every block of such nodes and every block of the
     main component. A row for ``run`` is two blocks of up to about BLOCK nodes: main, same (one block twice), v1, v2."""
     sizes = keep(u.groupBy("main").agg(F.sum(F.col("x").cast("int")).alias("nx"), F.count(F.lit(1)).alias("size")).where("nx > 0"))
-    u = attach(u, sizes, "main", "size", F.col("node")).where("size IS NOT NULL")
+    u = u.join(sizes, "main")
     u = u.withColumns({"bx": F.ceil(F.col("nx") / BLOCK), "bm": F.ceil((F.col("size") - F.col("nx")) / BLOCK)})
     h = F.xxhash64("node")
     u = u.withColumn("block", F.when(F.col("x"), F.pmod(h, F.col("bx"))).otherwise(F.col("bx") + F.pmod(h, F.greatest("bm", F.lit(1)))))
@@ -229,8 +229,8 @@ def _close_pairs(v1: list, v2: list, share: int):
 def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, share: int) -> DataFrame:
     """Links (a, b) that join components which share a bucket: enough of them to join all that are linked."""
     lab = keep(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    split = keep(lab.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("main")).where("lo <> hi").drop("lo", "hi"))
-    u = attach(lab.select("key", "node", "label"), split, "key", "m", F.col("node")).where("m IS NOT NULL").select("main", "node", "label").distinct()
+    split = keep(lab.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("main")).where("lo <> hi").drop("lo", "hi"))
+    u = lab.select("key", "node", "label").join(split, "key").select("main", "node", "label").distinct()
     u = keep(u.withColumn("x", F.col("label") != F.col("main")).join(nodes.select("node", "n", "sig"), "node"))
 
     def near(batches):
@@ -274,20 +274,20 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFra
 def cluster(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     rows = keep(_sketched(docs, k))
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = keep(classes)
     nodes = classes.where("node IS NOT NULL").select("node", "n", "sig", "bands")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("node")).alias("hub"), F.min_by("node", F.xxhash64("node", "key")).alias("hub2")).where("m > 1")
-    members = keep(attach(keyed, keep(groups), "key", "m", F.col("node")).where("m IS NOT NULL").drop("m"))
+    members = keep(keyed.join(keep(groups), "key").drop("m"))
     ends = members.select("node", F.explode(F.array("hub", "hub2")).alias("hub")).where("node <> hub")
     pairs = ends.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     source = docs.select("doc_id", "text")
     first = _links(pairs, source, nodes, k, share)
     rest = _rest(members, components(first), nodes, source, k, share)
     labels = components(first.unionByName(rest))
-    known = keep(classes.select("cls", "node", "size").join(labels, "node", "left").select("cls", "size", F.coalesce("label", "node").alias("label")))
-    out = attach(rows.select("doc_id", "n", "cls"), known, "cls", "size", F.coalesce("doc_id", F.lit(0)))
+    known = keep(classes.select("cls", "node").join(labels, "node", "left").select("cls", F.coalesce("label", "node").alias("label")))
+    out = rows.select("doc_id", "n", "cls").join(known, "cls", "left")
     comp = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
