@@ -260,10 +260,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     if not picked:
         return None
     ids = F.broadcast(docs.sparkSession.createDataFrame(picked, rows.schema))
-    got = docs.where((F.length("text") > 0) & (F.length("text") <= chars)).select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    texts = list(dict.fromkeys((r.text, r.toxic) for r in got))
-    y = np.array([t for _, t in texts])
-    return _fit([t for t, _ in texts], y) if len(set(y)) == 2 else None
+    got = docs.where((F.length("text") > 0) & (F.length("text") <= chars)).select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"])
+
+    def fit(batches):
+        rows = sorted(r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True))
+        texts = list(dict.fromkeys((t, y) for _, t, y in rows))
+        y = np.array([t for _, t in texts])
+        if len(set(y)) == 2:
+            m = _fit([t for t, _ in texts], y)
+            yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype("<f4").tobytes()]), pa.array([m.bias]), pa.array([m.curve.tolist()])], names=["weights", "bias", "curve"])
+
+    # the sample is bounded, so one task holds it; only the machine comes to the driver
+    made = got.select("doc_id", "text", "toxic").repartition(1).mapInArrow(fit, "weights binary, bias double, curve array<double>").collect()
+    if not made:
+        return None
+    model = Model(np.frombuffer(bytes(made[0].weights), "<f4"), made[0].bias)
+    model.curve = np.array(made[0].curve)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
