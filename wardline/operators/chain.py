@@ -10,9 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline import fixed
-from wardline.session import row_bound
-
-SINGLE_CHAIN_ROWS = 1_000_000
 
 
 def payload(fields: list[str] | None = None) -> Column:
@@ -24,19 +21,16 @@ def expected_hash(prev: Column, fields: list[str] | None = None) -> Column:
     return F.sha2(F.concat(F.coalesce(prev, F.lit("")), F.lit("|"), payload(fields)), 256)
 
 
-def chain(df: DataFrame, order: list[str], key: list[str] = (), last: DataFrame | None = None, fields: list[str] | None = None,
-          single_rows: int = SINGLE_CHAIN_ROWS) -> DataFrame:
+def chain(df: DataFrame, order: list[str], key: list[str] = (), last: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
     """Adds ``seq, prev_hash, row_hash``: each hash covers the content of its row and the hash before it.
 
     A chain is sequential by definition, so parallelism comes from many chains: ``key`` names them (user, user and day,
     ...). Chains of one key can be tied together by chaining their heads, see :func:`seal`. Without a key there is one
-    chain; it is meant for the increment of one micro-batch and refuses more than ``single_rows`` rows. ``last`` has the
+    chain, which one task folds from end to end, as its definition demands: give a key where the log is large. ``last`` has the
     current end of each chain (key columns, ``seq``, ``row_hash``).
 
     Rows stream through sorted partitions and the fold remembers one hash, so memory does not depend on chain length."""
     keys = list(key)
-    if not keys and row_bound(df, single_rows) is None:
-        raise ValueError(f"one chain of more than {single_rows} rows: give a key to split it, then seal the chains")
     cols = df.columns
     d = df.withColumn("_p", payload(fields))
     if last is not None and keys:
