@@ -4,7 +4,9 @@ Base kinds (assign, access, hex) are reported wherever their pattern matches. We
 ``ident`` (an access identifier: user, login, client or key id with a value), ``key`` (40 characters of base64 with upper case, lower
 case and digits, or a value called pwd, pass, auth, signature or private key) and ``endpoint`` (a URL with a host, or host:port). They are
 linked by an interval join: a weak span is reported if, within WINDOW code points, there stand a secret and one more part: identifier or
-endpoint. A key needs an identifier or endpoint near it; an identifier or endpoint needs a secret near it (a key or a base span).
+endpoint. A key needs an identifier or endpoint near it; an identifier or endpoint needs a secret near it (a key or a base span). With
+``ids=ACCESS_IDS`` a base span of kind access is an identifier for keys as well: an AKIA id and a bare 40-character secret are a pair.
+The names of weak kinds match in either case, at the start of a word or after ``_`` (DB_USER=, aws_access_key_id=).
 
 Positions come from SQL alone: ``split`` and ``regexp_extract_all`` give the stretches between and in the matches in turn, and their
 lengths add up. Base spans are found first and weak spans that overlap one are dropped.
@@ -26,10 +28,12 @@ KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 ASSIGN = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-IDENT = r"\b(?:user(?:name)?|login|client_?id|access_?key_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{4,}"
-KEY = r"\b(?:pwd|pass|auth|signature|private_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8,}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_-])"
+IDENT = r"(?<![A-Za-z0-9])(?i:user(?:name)?|login|client_?id|access_?key_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{4,}"
+KEY = r"(?<![A-Za-z0-9])(?i:pwd|pass|auth|signature|private_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8,}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_-])"
 ENDPOINT = r"\b[a-z][a-z0-9+]{1,15}://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b"
 WINDOW = 256
+#: base kinds that serve a key as its identifier
+ACCESS_IDS = ("access",)
 
 #: literals without one of which a pattern cannot match; looked for in the lower-cased text
 WORDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "ident": ("user", "login", "client", "access", "key"), "endpoint": ("://", ":")}
@@ -87,8 +91,9 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", names[x["k"]], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, base and linked, both array<struct<s, k, e>> (code points, e exclusive; k: index in KINDS)."""
+def spans(docs: DataFrame, window: int = WINDOW, ids: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, base and linked, both array<struct<s, k, e>> (code points, e exclusive; k: index in KINDS).
+    ``ids``: base kinds that count as identifiers for keys."""
     f = keep(_found(docs).withColumn("base", F.concat("assign", "access", "hex")).withColumn("weak", F.concat("ident", "key", "endpoint")).drop(*KINDS))
     none = F.slice("base", 1, 0)
     # a weak span within or across a base span says the same again
@@ -96,14 +101,16 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     f = f.withColumn("weak", F.when((F.size("weak") > 0) & (F.size("base") > 0), free).otherwise(F.col("weak")))
     key = KINDS.index("key")
     is_part = lambda x: x["k"].isin(KINDS.index("ident"), KINDS.index("endpoint"))
-    could = F.exists("weak", is_part) & ((F.size("base") > 0) | F.exists("weak", lambda x: x["k"] == key))
+    is_id = lambda x: x["k"].isin(*[KINDS.index(k) for k in ids]) if ids else F.lit(False)
+    has_key = F.exists("weak", lambda x: x["k"] == key)
+    could = F.exists("weak", is_part) & ((F.size("base") > 0) | has_key) | has_key & F.exists("base", is_id)
     rows = f.where(could).dropDuplicates(["_row"]).select("_row", F.explode(F.concat("base", "weak")).alias("x")).select("_row", "x", is_part(F.col("x")).alias("part"))
     s, e = F.col("x.s"), F.col("x.e")
     cell = lambda c: F.floor(c / window)
     asks = rows.where(F.col("x.k") >= 3).withColumn("cell", F.explode(F.sequence(cell(s - window), cell(e + window))))
-    gives = rows.select(F.col("_row").alias("row2"), s.alias("s2"), e.alias("e2"), F.col("part").alias("part2"), F.explode(F.sequence(cell(s), cell(e))).alias("cell2"))
+    gives = rows.select(F.col("_row").alias("row2"), s.alias("s2"), e.alias("e2"), F.col("part").alias("part2"), is_id(F.col("x")).alias("id2"), F.explode(F.sequence(cell(s), cell(e))).alias("cell2"))
     near = (F.col("s2") <= e + window) & (F.col("e2") >= s - window)
-    hit = asks.join(gives, (F.col("_row") == F.col("row2")) & (F.col("cell") == F.col("cell2")) & (F.col("part") != F.col("part2")) & near, "left_semi")
+    hit = asks.join(gives, (F.col("_row") == F.col("row2")) & (F.col("cell") == F.col("cell2")) & ((F.col("part") != F.col("part2")) | (F.col("x.k") == key) & F.col("id2")) & near, "left_semi")
     linked = hit.groupBy("_row").agg(F.collect_set("x").alias("got"))
     some = f.where(could).join(linked, "_row", "left").select("doc_id", "base", F.coalesce("got", none).alias("linked"))
     return some.unionByName(f.where(~F.coalesce(could, F.lit(False))).select("doc_id", "base", none.alias("linked")))

@@ -55,7 +55,7 @@ def op6_warc_derivatives(spark, sf):
 
 @query
 def op7_secret_scan(spark, sf):
-    return op7_secrets.digest(op7_secrets.spans(table(spark, sf, "documents").select("doc_id", "text")))
+    return op7_secrets.digest(op7_secrets.spans(table(spark, sf, "documents").select("doc_id", "text"), ids=op7_secrets.ACCESS_IDS))
 
 
 @query
