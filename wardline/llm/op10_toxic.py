@@ -1,12 +1,15 @@
 """Toxicity by a subsequence string kernel, a support vector machine and Nyström landmarks.
 
 The unit is the word, as written: lower case, accents and look-alike digits folded, punctuation inside it dropped; three or more single
-letters in a row also make one unit together. The kernel of two units counts common subsequences of three letters, each weighted by
+letters in a row also make one unit together. Beside the words, every run of 2 to RUN neighbouring words of at most LONGEST letters is a
+unit of its own, read across the blanks: a blank takes one place, as a gap does, and is part of no triple. So an insult with a blank put in
+and a phrase of common words are seen; a run counts only where it is stronger than every word and shorter run in it. The kernel of two units counts common subsequences of three letters, each weighted by
 DECAY to the power of the stretch it spans (at most SPAN letters), so that gaps and inserted characters cost something but don't break a
 match. The kernel with a set of landmark units, whitened (Nyström), gives the features of a linear SVM. Because that kernel is an inner
 product over letter triples, the trained machine folds into one weight per triple, and scoring reads every unit of every text once.
 
-A sentence is as toxic as its strongest unit and a document as its strongest sentence. Training is multiple-instance: of each labelled
+Runs take the place of sentences: they go on over sentence ends, and a triple spans SPAN places at most, so that a whole sentence holds no
+triple that its runs and words lack, but for those across more than RUN words. A document is as toxic as its strongest units. Training is multiple-instance: of each labelled
 toxic text one unit is taken as the witness, at first the one that is most typical of toxic texts, then the one the machine scores highest;
 every unit of a clean text is a negative, the highest-scoring ones weighing most. A logistic curve on the document's strongest unit gives
 the score.
@@ -20,6 +23,7 @@ rows score 0."""
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import numpy as np
@@ -35,6 +39,8 @@ SAMPLE, SAMPLE_CHARS = 2_000, 8_000
 DECAY, SPAN, LANDMARKS = 0.7, 8, 224
 #: letters of a unit that are scored together; longer ones are covered by windows that overlap by half
 LONGEST = 24
+#: neighbouring words that are read as one
+RUN = 4
 ROUNDS, PENALTY = 5, 1e-4
 #: a text is judged by its WITNESSES strongest units; margins under FLOOR say no less than FLOOR
 WITNESSES, FLOOR = 3, -0.8
@@ -68,8 +74,8 @@ def _codes() -> np.ndarray:
 CODES = _codes()
 
 
-def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(letters, first, size, text): the letter codes of all texts, and where each unit starts, its length and its text's number."""
+def _read(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(letters, first, size, text, number): the letter codes of all texts, and where each word starts, its length, its text's number and its own."""
     raw = [np.frombuffer((t + " ").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     points = np.concatenate(raw) if raw else np.zeros(0, np.uint32)
     codes = np.where(points < len(CODES), CODES[np.minimum(points, len(CODES) - 1)], OTHER).astype(np.uint8)
@@ -79,9 +85,19 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     letters, word, owner = codes[real], word[real], owner[real]
     if not len(letters):
         none = np.zeros(0, np.int64)
-        return letters, none, none, none
+        return letters, none, none, none, none
     first = np.flatnonzero(np.r_[True, np.diff(word) > 0])
-    size, text, number = np.diff(np.r_[first, len(letters)]), owner[first], word[first]
+    return letters, first, np.diff(np.r_[first, len(letters)]), owner[first], word[first]
+
+
+def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(letters, first, size, text): the letter codes of all texts, and where each word starts, its length and its text's number."""
+    return _units(*_read(texts))
+
+
+def _units(letters, first, size, text, number):
+    if not len(letters):
+        return letters, first, size, text
     # runs of single letters, word after word
     one = size == 1
     joins = one[1:] & one[:-1] & (text[1:] == text[:-1]) & (np.diff(number) == 1)
@@ -101,6 +117,18 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return letters, first, size, text
 
 
+def runs(letters, first, size, text, number) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(row, begin, end, [(k, starts)]): the letters with one blank after each word, where each word begins and ends in them, and for each k
+    the words with which a run of k words starts."""
+    n = np.arange(len(first))
+    row = np.full(len(letters) + len(n), BLANK, np.uint8)
+    row[np.arange(len(letters)) + np.repeat(n, size)] = letters
+    begin = first + n
+    end = begin + size
+    ks = range(2, RUN + 1)
+    return row, begin, end, [(k, np.flatnonzero((text[k - 1 :] == text[: len(n) - k + 1]) & (end[k - 1 :] - begin[: len(n) - k + 1] <= LONGEST)) if len(n) >= k else n[:0]) for k in ks]
+
+
 def _triples(n: int) -> list[tuple[int, int, int, float]]:
     return [(i, j, k, DECAY ** (k - i - 2)) for i in range(n) for k in range(i + 2, min(n, i + SPAN)) for j in range(i + 1, k)]
 
@@ -109,13 +137,14 @@ def _words(letters: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return letters[first[:, None] + np.arange(n)].astype(np.int32)
 
 
+@functools.cache
 def _norm(n: int) -> float:
     return max(sum(w * w for *_, w in _triples(n)), 1e-9) ** 0.5
 
 
 def distinct(letters, first, size) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct units, by length, and for each unit its number among them."""
-    number, base, groups = np.zeros(len(first), np.int64), 0, []
+    number, base, groups = np.zeros(len(first), np.int32), 0, []
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
         w = letters[first[at][:, None] + np.arange(n)]
@@ -125,24 +154,30 @@ def distinct(letters, first, size) -> tuple[list[np.ndarray], np.ndarray]:
         _, one, back = np.unique(key, return_index=True, return_inverse=True)
         number[at] = base + back
         base += len(one)
-        groups.append(w[one].astype(np.int32))
+        groups.append(w[one])
     return groups, number
 
 
-def features(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def features(words: np.ndarray, weights: np.ndarray, block: int = 50_000) -> np.ndarray:
     """Sum over the triples of each word (rows of equal length) of the triple's rows in ``weights``, normalised by length."""
+    if len(words) > block:
+        return np.concatenate([features(words[i : i + block], weights) for i in range(0, len(words), block)])
     n = words.shape[1]
+    norm = np.array([_norm(m) for m in range(n + 1)], np.float32)[(words != BLANK).sum(1)]
     out = np.zeros((len(words), *weights.shape[1:]), np.float32)
+    col = np.ascontiguousarray(words.T).astype(np.int64)
     for i, j, k, w in _triples(n):
-        out += np.float32(w) * weights[(words[:, i] * SIZE + words[:, j]) * SIZE + words[:, k]]
-    return out / np.float32(_norm(n))
+        out += np.float32(w) * weights.take((col[i] * SIZE + col[j]) * SIZE + col[k], axis=0, mode="clip")
+    return (out.T / norm).T
 
 
 def _explicit(word: np.ndarray) -> np.ndarray:
+    word = word.astype(int)
     out = np.zeros(SIZE**3, np.float32)
     for i, j, k, w in _triples(len(word)):
-        out[(word[i] * SIZE + word[j]) * SIZE + word[k]] += w
-    return out / _norm(len(word))
+        if BLANK not in (word[i], word[j], word[k]):
+            out[(word[i] * SIZE + word[j]) * SIZE + word[k]] += w
+    return out / _norm(int((word != BLANK).sum()))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, steps: int = 12) -> np.ndarray:
@@ -170,10 +205,19 @@ class Model:
     def margins(self, texts: list[str]) -> np.ndarray:
         """The margins of the strongest distinct units of each text, strongest first; FLOOR where there is no evidence."""
         out = np.full((len(texts), WITNESSES), FLOOR)
-        letters, first, size, text = units(texts)
+        read = _read(texts)
+        letters, first, size, text = _units(*read)
         if len(first):
             groups, number = distinct(letters, first, size)
             each = np.concatenate([features(w, self.weights) for w in groups]) + self.bias
+            plain = read[2] <= LONGEST
+            words = np.full(len(plain), -np.inf)
+            words[plain] = each[number[: plain.sum()]]
+            row, at, length, owner = self._strong_runs(read, words)
+            if len(at):
+                more, which = distinct(row, at, length)
+                each = np.r_[each, np.concatenate([features(w, self.weights) for w in more]) + self.bias]
+                text, number = np.r_[text, owner], np.r_[number, which + sum(map(len, groups))]
             some = each[number] > FLOOR
             text, number = np.unique(np.stack([text[some], number[some]]), axis=1)
             order = np.lexsort((-each[number], text))
@@ -183,27 +227,77 @@ class Model:
             out[text[top], rank[top]] = each[number[top]]
         return out
 
+    def _strong_runs(self, read, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, first, size, text) of the runs over FLOOR that are stronger than every word and shorter run in them. ``words``: the margins
+        of the words. The triples of a run are a difference of running sums, one for each stretch that a triple spans."""
+        row, begin, end, starts = runs(*read)
+        code = row.astype(np.int64)
+        middle, sums = code * SIZE, {}
+        for n in range(3, SPAN + 1):
+            m = max(len(row) - n + 1, 0)
+            ends = code[:m] * (SIZE * SIZE) + code[n - 1 : n - 1 + m]
+            got = np.zeros(m, np.float32)
+            for j in range(1, n - 1):
+                got += self.weights.take(ends + middle[j : j + m], mode="clip")
+            sums[n] = np.r_[0, np.cumsum(got, dtype=np.float64) * DECAY ** (n - 3)]
+        norms = np.array([_norm(n) for n in range(LONGEST + 1)])
+        best, out = words, []
+        for k, s in starts:
+            best = np.maximum(best[:-1], best[1:]) if len(best) > 1 else best[:0]
+            a, b = begin[s], end[s + k - 1]
+            total = np.zeros(len(s))
+            for n, p in sums.items():
+                some = slice(None) if n == 3 else np.flatnonzero(b - a >= n)
+                total[some] += p[b[some] - n + 1] - p[a[some]]
+            margin = total / norms[b - a - k + 1] + self.bias
+            ok = (margin > best[s]) & (margin > FLOOR)
+            best[s] = np.maximum(best[s], margin)
+            out.append((a[ok], (b - a)[ok], read[3][s[ok]]))
+        return row, *map(np.concatenate, zip(*out))
+
     def scores(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(margins @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 def _fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
-    letters, first, size, text = units(texts)
-    groups, number = distinct(letters, first, size)
+    read = _read(texts)
+    letters, first, size, text = _units(*read)
+    row, begin, end, starts = runs(*read)
+    n_words, plain, small = len(first), np.cumsum(read[2] <= LONGEST) - 1, np.int32
+    first = np.concatenate([first.astype(small), *[(len(letters) + begin[s]).astype(small) for _, s in starts]])
+    size = np.concatenate([size.astype(np.uint8), *[(end[s + k - 1] - begin[s]).astype(np.uint8) for k, s in starts]])
+    text = np.concatenate([text.astype(small), *[read[3][s].astype(small) for _, s in starts]])
+    groups, number = distinct(np.r_[letters, row], first, size)
+    run, at = np.unique(number[n_words:], return_index=True)
+    # the words in each distinct run
+    begins, ks = np.concatenate([s.astype(small) for _, s in starts])[at], np.repeat([k for k, _ in starts], [len(s) for _, s in starts])[at]
+    inside = np.stack([number[plain[begins + np.minimum(i, ks - 1)]] for i in range(RUN)], 1)
+    del read, letters, row, begin, end, starts, first, size, at, begins, ks, plain
+    single = np.unique(number[:n_words])
+
+    def own(x):
+        """``x`` of each unit; a run no stronger than a word in it has none."""
+        x = x.copy()
+        x[run] = np.where(x[run] > x[inside].max(1), x[run], -1e9)
+        return x
+
     n_units, bounds = sum(map(len, groups)), np.cumsum([0, *map(len, groups)])
     # in how many toxic and clean texts each unit stands
-    pairs = np.unique(np.stack([text, number], 1), axis=0)
+    pairs = np.unique(text.astype(np.int64) * n_units + number)
+    pairs = np.stack([(pairs // n_units).astype(small), (pairs % n_units).astype(small)], 1)
+    del text
     pos = np.bincount(pairs[y[pairs[:, 0]] == 1, 1], minlength=n_units).astype(float)
     neg = np.bincount(pairs[y[pairs[:, 0]] == 0, 1], minlength=n_units).astype(float)
     expected = (pos + neg) * (y == 1).mean()
     typical = (pos - expected) / np.sqrt(expected + 1)
     typical[: bounds[np.searchsorted([w.shape[1] for w in groups], 3)]] = -1e9
+    typical = own(typical)
     word = lambda u: groups[(g := np.searchsorted(bounds, u, "right") - 1)][u - bounds[g]]
     # landmarks: the most typical units of toxic texts, the commonest, and some others
     common = np.argsort(-(pos + neg), kind="stable")
     marks = dict.fromkeys([*np.argsort(-typical, kind="stable")[: LANDMARKS // 2], *common[: LANDMARKS // 8]])
-    marks |= dict.fromkeys(rng.permutation(n_units)[: LANDMARKS - len(marks)])
+    marks |= dict.fromkeys(rng.permutation(single)[: LANDMARKS - len(marks)])
     phi = np.stack([_explicit(word(u)) for u in marks])
     val, vec = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     ok = val > 1e-4 * val.max()
@@ -217,7 +311,7 @@ def _fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
         sure = (rank == 0) | (rank < WITNESSES) & (score[u] > (2 if r == 0 else 0))
         witness = np.bincount(u[sure], minlength=n_units).astype(float)
         hard = np.argsort(-np.where(neg > 0, score, -1e9), kind="stable")[:5000]
-        clean = np.unique(np.r_[hard[neg[hard] > 0], common[neg[common] > 0][:5000], rng.permutation(np.flatnonzero(neg > 0))[:12000]])
+        clean = np.unique(np.r_[hard[neg[hard] > 0], common[neg[common] > 0][:5000], rng.permutation(single[neg[single] > 0])[:12000], rng.permutation(run[neg[run] > 0])[:12000]])
         # a unit that clean texts use about as often says nothing
         good = np.flatnonzero((witness > 0) & (neg <= 0.15 * pos) & (pos > 1))
         clean = np.setdiff1d(clean, good)
@@ -231,7 +325,7 @@ def _fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
         gain, loss = np.sqrt(witness[good]), np.sqrt(neg[clean])
         w = _svm(x, target, np.r_[gain / gain.sum(), loss / loss.sum()])
         weights = table @ w[:-1].astype(np.float32)
-        score = np.concatenate([features(g, weights) for g in groups]) + w[-1]
+        score = own(np.concatenate([features(g, weights) for g in groups]) + w[-1])
     if w is None:
         return Model(np.zeros(SIZE**3, np.float32), -1.0)
     model = Model(weights, float(w[-1]))
