@@ -15,29 +15,27 @@ from wardline.operators.ratelimit import admit_counts
 
 def rate_limit_stream(df: DataFrame, key: str, ts: str, order: str, limit: int = fixed.USER_LIMIT,
                       window_seconds: int = fixed.USER_WINDOW_SECONDS, delay: str = "1 hour") -> DataFrame:
-    """The stream with ``admitted``, as :func:`wardline.operators.ratelimit.rate_limit` decides it when every
-    micro-batch is later than the one before.
+    """The stream with ``admitted`` and ``late``, as :func:`wardline.operators.ratelimit.rate_limit` decides it when every
+    micro-batch is later than the one before. No row is dropped: one behind the watermark (``delay``), whose window may be
+    forgotten, or without a time is refused with ``late`` true and leaves the state as it was.
 
-    The state of a key is the instants of its admitted requests in the last window, at most ``limit`` of them, and goes
-    when the watermark has left that window behind. A micro-batch of one key is ordered in memory, so bound micro-batches
+    The state of a key is the instants of its admitted requests in the last window, at most ``limit`` of them. It
+    stays, a few numbers a key: event-time timeouts make Spark discard late rows unseen, and timeouts by the clock never let a
+    query with the availableNow trigger end. A micro-batch of one key is ordered in memory, so bound micro-batches
     (``maxFilesPerTrigger``)."""
     micros = window_seconds * 1_000_000
     d = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     d = d.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit("")))
-    schema = ", ".join(f"`{c}` {t}" for c, t in d.dtypes) + ", admitted boolean"
+    schema = ", ".join(f"`{c}` {t}" for c, t in d.dtypes) + ", admitted boolean, late boolean"
 
     def fold(_key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
         live = deque(zip(*state.get)) if state.exists else deque()
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values([ts, order], kind="stable")
         instants = rows[ts].astype("datetime64[us]").astype("int64")
-        rows["admitted"] = [admit_counts(live, int(t), 1, limit, micros) == 1 for t in instants]
+        rows["late"] = rows[ts].isna() | (instants < state.getCurrentWatermarkMs() * 1000)
+        rows["admitted"] = [not late and admit_counts(live, int(t), 1, limit, micros) == 1 for t, late in zip(instants, rows["late"])]
         state.update(([int(t) for t, _ in live], [int(n) for _, n in live]))
-        last = (live[-1][0] if live else int(instants.iloc[-1])) + micros
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs() + 1))
         yield rows
 
-    out = d.groupBy("_k").applyInPandasWithState(fold, schema, "at array<long>, n array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    out = d.groupBy("_k").applyInPandasWithState(fold, schema, "at array<long>, n array<long>", "append", GroupStateTimeout.NoTimeout)
     return out.drop("_k")

@@ -48,7 +48,7 @@ def handle_batch(batch: DataFrame, batch_id: int, sources: Callable[[], Sources]
     if replies is not None:
         waiting = done.filter((F.col("status") == "ok") & F.col("model").isin(src.private_model, src.external_model))
         done = finish_batch(done, replies(waiting), src)
-    limited = batch.filter("not admitted").select("question_id", "user_email", F.lit("limited").alias("status"), F.lit(fixed.RATE_LIMITED_MSG).alias("error"))
+    limited = batch.filter("not admitted").select("question_id", "user_email", F.lit("limited").alias("status"), F.when(F.col("late"), fixed.LATE_MSG).otherwise(fixed.RATE_LIMITED_MSG).alias("error"))
     results = _put(done.unionByName(limited, allowMissingColumns=True), f"{out}/results", run, batch_id)
     r = spark.read.parquet(results).filter("status <> 'limited'").join(asked.select("question_id", "event_time"), "question_id")
     _put(audit.to_chat_log(r), f"{out}/chat_log", run, batch_id)
