@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import PATTERN, path
 
-from . import op1_exact, op2_urls, op3_suffix, op4_contamination, op5_near, op6_warc, op7_secrets, op8_chat, op9_bpe, op10_toxic
+from . import op1_exact, op2_urls, op3_suffix, op4_contamination, op5_near, op6_warc, op7_secrets, op8_chat, op9_bpe, op10_toxic, op11_word_bpe, op12_fim, op13_spelling
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -82,8 +82,28 @@ def op10_toxicity(spark, sf):
     return scored.withColumn("predicted", F.expr("CAST(score >= 0.5 AS INT)"))
 
 
+@query
+def op11_word_bpe_tokens(spark, sf):
+    vocabulary = op11_word_bpe.Vocabulary.load(path("word_bpe_49k.json"))
+    coded = op11_word_bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), vocabulary)
+    coded = coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return op11_word_bpe.decode(coded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_fill_in_middle(spark, sf):
+    return op12_fim.digest(op12_fim.transform(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+@query
+def op13_spelling_variants(spark, sf):
+    return op13_spelling.variants(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 ORACLES["op1_exact_dedup"] = op1_exact.ORACLE
 ORACLES["op2_url_filter"] = op2_urls.ORACLE
 ORACLES["op8_chat_format"] = op8_chat.ORACLE
 ORACLES["op5_near_dedup"] = op5_near.ORACLE
 ORACLES["op4_decontaminate"] = op4_contamination.ORACLE
+ORACLES["op12_fill_in_middle"] = op12_fim.ORACLE
+ORACLES["op13_spelling_variants"] = op13_spelling.ORACLE
