@@ -7,20 +7,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def expect_or_drop(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame, Observation | None]:
+def tag(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """``df`` with ``failed_rules``, the names of the expectations that a row fails. A condition that is null counts as failed."""
+    failed = [F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]
+    return df.withColumn("failed_rules", F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>"))
+
+
+def expect_or_drop(df: DataFrame, rules: dict[str, Column], name: str | None = None) -> tuple[DataFrame, DataFrame, Observation | None]:
     """Rows that pass every expectation, the rows that do not (with the names of the failed ones), and an
-    observation that fills with counts when the first frame is next written: ``rows`` and ``failed_<rule>``. A
-    condition that is null counts as failed."""
-    ok = {n: F.coalesce(c, F.lit(False)) for n, c in rules.items()}
-    failed = F.array_compact(F.array(*[F.when(~c, F.lit(n)) for n, c in ok.items()]))
-    tagged = df.withColumn("_failed", failed)
-    dropped = tagged.filter(F.size("_failed") > 0).withColumnRenamed("_failed", "failed_rules")
+    observation that fills with counts when the first frame is next written: ``rows`` and ``failed_<rule>``. On a stream the
+    counts come with each batch, as the observation ``name`` of the query's progress. A condition that is null counts as failed."""
+    tagged = tag(df, rules)
+    dropped = tagged.filter(F.size("failed_rules") > 0)
+    counts = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.array_contains("failed_rules", n)).alias(f"failed_{n}") for n in rules]]
     obs = None
     if not df.isStreaming:
         obs = Observation()
-        tagged = tagged.observe(obs, F.count(F.lit(1)).alias("rows"),
-                                *[F.count_if(F.array_contains("_failed", n)).alias(f"failed_{n}") for n in ok])
-    return tagged.filter(F.size("_failed") == 0).drop("_failed"), dropped, obs
+        tagged = tagged.observe(obs, *counts)
+    elif name:
+        tagged = tagged.observe(name, *counts)
+    return tagged.filter(F.size("failed_rules") == 0).drop("failed_rules"), dropped, obs
 
 
 def dedupe(df: DataFrame, keys: list[str], order: list[Column] | None = None, watermark: tuple[str, str] | None = None) -> DataFrame:

@@ -162,6 +162,16 @@ def oracle_sql() -> dict[str, str]:
     q["parse_labs"] = f"WITH {LABS} SELECT * FROM labs"
     q["parse_beds_typed"] = """SELECT 'U' || user_id AS unit, (event_id % 40 + 10)::INT AS beds_total, TRY_CAST(CASE WHEN event_type = 'error' THEN 'n/a' ELSE json_extract_string(props, '$.k') END AS INT) AS beds_available,
  strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS as_of FROM events"""
+    numbered = f"encounters AS (SELECT *, CASE WHEN regexp_extract(encounter_id, '([0-9]+)$', 1)::BIGINT % 11 <> 0 THEN regexp_extract(encounter_id, '([0-9]+)$', 1) ELSE regexp_extract(patient_ref, '([0-9]+)$', 1) END::BIGINT AS n FROM e0)"
+    loads = f"""{ENC.replace("encounters AS", "e0 AS", 1)}, {numbered}, loads AS (SELECT {raw_id} AS id, encounter_id, mrn, unit FROM encounters, (VALUES (1), (2)) l(load) WHERE load = 2 OR n % 2 = 0)"""
+    q["medallion_counts"] = f"""WITH {loads}, {LABS} SELECT 'silver_patient_encounters' AS table_name, 'kept' AS outcome, '' AS rule, count(DISTINCT id)::BIGINT AS rows FROM loads
+ UNION ALL SELECT 'silver_patient_encounters', 'dropped', r, count(*) FILTER (WHERE id IS NULL) FROM loads, (VALUES (''), ('valid_encounter_id')) v(r) GROUP BY r
+ UNION ALL SELECT 'silver_lab_results', 'kept', '', count(*) FROM labs UNION ALL SELECT 'silver_lab_results', 'dropped', '', 0
+ UNION ALL SELECT 'silver_bed_availability', 'kept', '', count(*) FROM events UNION ALL SELECT 'silver_bed_availability', 'dropped', '', 0"""
+    q["medallion_gold"] = f"""WITH {loads}, {LABS}, {BEDS}, kept AS (SELECT DISTINCT id, mrn, unit FROM loads WHERE id IS NOT NULL),
+ raw AS (SELECT 'U' || user_id AS unit, event_id % 40 + 10 AS total, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS as_of, event_id FROM events)
+ SELECT unit AS key, count(*) AS rows, count(DISTINCT id) AS encounters, count(test_code) AS labs FROM kept LEFT JOIN labs l ON kept.mrn = l.mrn AND (lab_encounter_id IS NULL OR lab_encounter_id = id) GROUP BY unit
+ UNION ALL SELECT total::VARCHAR, count(*), NULL, NULL FROM (SELECT unit, total FROM raw QUALIFY row_number() OVER (PARTITION BY unit ORDER BY as_of DESC, total DESC) = 1) GROUP BY total"""
     q["expect_or_drop"] = f"""WITH {ENC}, r AS (SELECT {raw_id} AS id, encounter_class AS c FROM encounters)
  SELECT CASE WHEN id IS NOT NULL AND c <> 'P' THEN 'kept' ELSE concat_ws('+', CASE WHEN id IS NULL THEN 'valid_encounter_id' END, CASE WHEN c = 'P' THEN 'open_or_final' END) END AS outcome,
  count(*) AS rows, count(id) AS with_id FROM r GROUP BY 1"""
@@ -283,6 +293,9 @@ def oracle_sql() -> dict[str, str]:
   UNION ALL SELECT event_id, user_id, n, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END
    FROM (SELECT e.event_id, e.user_id, e.n, e.t, list_filter(f.hits, lambda h: e.t - h < 86400000000) AS live FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
  SELECT event_id, user_id, admitted FROM f"""
+    late = "event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-15 00:00:00'"
+    q["rate_limit_stream"] = q["rate_limit"].replace("AS n FROM events)", f"AS n FROM events WHERE NOT ({late}))").replace("SELECT event_id, user_id, admitted FROM f", f"""SELECT event_id, user_id, admitted, false AS late FROM f
+ UNION ALL SELECT event_id, user_id, false, true FROM events WHERE {late}""")
     q["chain_build"] = f"WITH RECURSIVE {_CHAIN} SELECT user_email, n::VARCHAR AS event_id, seq, prev_hash, row_hash FROM built"
     q["chain_verify"] = f"""WITH RECURSIVE {_CHAIN}, bad AS (SELECT user_email, seq, n, prev_hash, n % 89 = 3 OR n % 83 = 2 AS touched, CASE WHEN n % 83 = 2 THEN md5(row_hash) ELSE row_hash END AS row_hash FROM built WHERE n % 97 <> 5),
  l AS (SELECT *, coalesce(lag(seq) OVER w, 0) + 1 AS want, lag(row_hash) OVER w AS before FROM bad WINDOW w AS (PARTITION BY user_email ORDER BY seq))
@@ -297,6 +310,8 @@ def oracle_sql() -> dict[str, str]:
     sim = "list_cosine_similarity(q.embedding, b.embedding)"
     q["vector_topk"] = f"""SELECT q.vec_id AS query_id, b.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {sim} DESC, b.vec_id)::INT AS rank FROM embeddings q CROSS JOIN embeddings b QUALIFY rank <= 5"""
     q["vector_topk_scoped"] = f"""SELECT q.vec_id AS query_id, b.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {sim} DESC, b.vec_id)::INT AS rank FROM embeddings q JOIN embeddings b ON q.label % 2 = b.label % 2 QUALIFY rank <= 5"""
+    for name in ("vector_topk", "vector_topk_scoped"):
+        q[name.replace("topk", "topk_indexed")] = f"SELECT *, true AS certified FROM ({q[name]})"
     q["lineage_asof"] = """WITH r AS (SELECT event_id, 'endpoint-' || event_id % 3 AS endpoint, ts FROM events), v AS (SELECT 'endpoint-' || event_id % 3 AS endpoint, event_id AS version, ts AS f FROM events WHERE event_type = 'signup')
  SELECT r.event_id, r.endpoint, v.version FROM r ASOF LEFT JOIN v ON r.endpoint = v.endpoint AND r.ts >= v.f"""
     q["decision_rows"] = f"""WITH {ROUTED} SELECT question_id, CASE WHEN phi THEN 'phi_private' ELSE 'general_external' END AS decision, CASE WHEN phi THEN 'private-model' ELSE 'external-model' END AS endpoint, tables AS matched_tables, 'v2' AS prompt_version, reason FROM routed"""

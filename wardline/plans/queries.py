@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from wardline import fixed
 from wardline.functions import parse as P
 from wardline.functions import text as X
-from wardline.operators import audit, chain, chunks, gold, grounding, lineage, monitor, names, policy, quality, ratelimit, retrieve, route, tags, vector
+from wardline.operators import audit, chain, chunks, gold, grounding, lineage, monitor, names, policy, quality, ratelimit, retrieve, route, tags, vector, vector_index
 from wardline.sources import bindings as B
 from wardline.sources import tables as S
-from wardline.session import cut
+from wardline.session import cut, scratch
+from wardline.streaming import limits, medallion
 
 QUERIES: dict = {}
 
@@ -556,6 +557,71 @@ def decision_rows(spark, sf):
     return lineage.decision_rows(route.route(B.questions(spark, sf), _registry(spark, sf)), "v2", B.PRIVATE, B.EXTERNAL)
 
 
+@query
+def vector_topk_indexed(spark, sf):
+    """The exact mode of the index, with so few probes that most queries have to go on."""
+    e = B.table(spark, sf, "embeddings")
+    index = vector_index.build(e)
+    found = vector_index.search(e.select(F.col("vec_id").alias("query_id"), "embedding"), index, probes=2, exact=True)
+    return found.select("query_id", "vec_id", "rank", "certified")
+
+
+@query
+def vector_topk_indexed_scoped(spark, sf):
+    e = B.table(spark, sf, "embeddings").withColumn("side", F.when(F.col("label") % 2 == 0, "phi").otherwise("general"))
+    index = vector_index.build(e, scope="side")
+    found = vector_index.search(e.select(F.col("vec_id").alias("query_id"), "embedding", "side"), index, probes=2, exact=True, scope="side")
+    return found.select("query_id", "vec_id", "rank", "certified")
+
+
+# ------------------------------------------------------------------ streams, run until nothing is left, and read back
+def _medallion(spark, sf):
+    """Two loads: every other encounter and all labs first, then all encounters and the beds, so that half of the encounters come twice."""
+    root = scratch(spark)
+    e, n = B.raw_encounters(spark, sf), F.regexp_extract("value", '"(?:id":"ENC-|reference":"Patient/)([0-9]+)', 1).cast("long")
+    put = lambda df, feed: df.select("value").write.mode("append").text(f"{root}/in/{feed}")
+    put(e.filter(n % 2 == 0), "ehr_fhir")
+    put(B.raw_labs(spark, sf), "lab_results")
+    put(B.raw_beds(spark, sf).filter(F.get_json_object("value", "$.beds_total") == 0), "scheduling")
+    medallion.run_pipeline(spark, f"{root}/in", f"{root}/out", lines=True)
+    put(e, "ehr_fhir")
+    put(B.raw_beds(spark, sf), "scheduling")
+    return medallion.run_pipeline(spark, f"{root}/in", f"{root}/out", lines=True)
+
+
+@query
+def medallion_counts(spark, sf):
+    """What two loads of the three feeds kept and dropped, by rule, as counted while they were written."""
+    return medallion.quality_counts(spark, _medallion(spark, sf))
+
+
+@query
+def medallion_gold(spark, sf):
+    """The recomputed gold tables after both loads."""
+    at = _medallion(spark, sf)
+    g, b = spark.read.parquet(at["gold_patient_summary"]), spark.read.parquet(at["gold_bed_availability_by_unit"])
+    rows = g.groupBy(F.col("unit").alias("key")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("encounter_id").alias("encounters"), F.count("test_code").alias("labs"))
+    return rows.unionByName(b.groupBy(F.col("beds_total").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("rows"), F.lit(None).cast("long").alias("encounters"), F.lit(None).cast("long").alias("labs")))
+
+
+#: requests from here on come in the second load, and with them stragglers that are more than a day older
+SECOND_LOAD = "2024-01-16 00:00:00"
+
+
+@query
+def rate_limit_stream(spark, sf):
+    """The admission of :func:`rate_limit` on a stream of two loads, the second with stragglers from behind the watermark."""
+    root = scratch(spark)
+    e = B.table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    old, gone = F.col("ts") < F.lit(SECOND_LOAD).cast("timestamp"), F.col("ts") < F.lit(SECOND_LOAD).cast("timestamp") - F.expr("INTERVAL 1 DAY")
+    late = gone & (F.col("event_id") % 50 == 0)
+    for part in (e.filter(old & ~late), e.filter(~old | late)):
+        part.write.mode("append").parquet(f"{root}/in")
+        out = limits.rate_limit_stream(spark.readStream.schema(e.schema).parquet(f"{root}/in"), "user_id", "ts", "event_id", limit=2, window_seconds=86400)
+        out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("event_id", "user_id", "admitted", "late")
+
+
 # ------------------------------------------------------------------ end to end
 def _sources(spark, sf):
     from wardline.plans.answer import Sources

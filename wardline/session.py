@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +35,26 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder named by ``spark.checkpoint.dir`` and go on from there, so that several
     branches read it once and a lost executor costs a re-read, not a recomputation. Where the setting is absent, a local
     session (tests) gets a folder of its own; on a cluster it is an error, as every branch would be computed anew."""
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, set up as :func:`cut` needs it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and sc.master.startswith("local"):
+        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.startswith("local["):
             folder = tempfile.mkdtemp(prefix="wardline-")
         if not folder:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder, for tables and streams of one run."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame) -> DataFrame:

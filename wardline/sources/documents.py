@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_documents(spark: SparkSession, path: str, stream: bool = True, max_files: int | None = None) -> DataFrame:
-    """One row per file: raw text in ``value`` and the file it came from. As a stream each file is ingested once
+def read_documents(spark: SparkSession, path: str, stream: bool = True, max_files: int | None = None, lines: bool = False) -> DataFrame:
+    """One row per file, or with ``lines`` one per line: raw text in ``value`` and the file it came from. As a stream each file is ingested once
     (the checkpoint of the query remembers which); ``max_files`` bounds a micro-batch."""
     reader = spark.readStream if stream else spark.read
-    reader = reader.format("text").option("wholetext", True)
+    reader = reader.format("text").option("wholetext", not lines)
     if stream:
         reader = reader.schema("value string")
         if max_files:

@@ -3,15 +3,59 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from wardline import fixed
 from wardline.operators.ratelimit import admit_counts
 
+#: the store that states with timers need
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class Admission(StatefulProcessor):
+    """The instants of a key's admitted requests in the last window, at most ``limit`` of them, until the watermark has passed their window."""
+
+    def __init__(self, ts: str, order: str, limit: int, micros: int):
+        self.ts, self.order, self.limit, self.micros = ts, order, limit, micros
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.live = handle.getValueState("live", "at array<long>, n array<long>, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        live, timer = deque(), None
+        if self.live.exists():
+            at, n, timer = self.live.get()
+            live = deque(zip(at, n))
+        behind = timerValues.getCurrentWatermarkInMs() * 1000
+        got = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, self.order], kind="stable")
+        instants = got[self.ts].astype("datetime64[us]").astype("int64")
+        got["late"] = got[self.ts].isna() | (instants < behind)
+        got["admitted"] = [not late and admit_counts(live, int(t), 1, self.limit, self.micros) == 1 for t, late in zip(instants, got["late"])]
+        if live:
+            # no request can fall into the window of the last instant once the watermark is behind it
+            ends = (live[-1][0] + self.micros) // 1000 + 1
+            if ends != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(ends)
+            self.live.update(([int(t) for t, _ in live], [int(n) for _, n in live], ends))
+        yield got
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.live.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
 
 def rate_limit_stream(df: DataFrame, key: str, ts: str, order: str, limit: int = fixed.USER_LIMIT,
                       window_seconds: int = fixed.USER_WINDOW_SECONDS, delay: str = "1 hour") -> DataFrame:
@@ -19,23 +63,18 @@ def rate_limit_stream(df: DataFrame, key: str, ts: str, order: str, limit: int =
     micro-batch is later than the one before. No row is dropped: one behind the watermark (``delay``), whose window may be
     forgotten, or without a time is refused with ``late`` true and leaves the state as it was.
 
-    The state of a key is the instants of its admitted requests in the last window, at most ``limit`` of them. It
-    stays, a few numbers a key: event-time timeouts make Spark discard late rows unseen, and timeouts by the clock never let a
-    query with the availableNow trigger end. A micro-batch of one key is ordered in memory, so bound micro-batches
-    (``maxFilesPerTrigger``)."""
-    micros = window_seconds * 1_000_000
+    A key's state is the instants of its admitted requests in the last window. A timer removes it once the watermark has
+    passed that window, so what is kept grows with the keys of the last ``delay`` and window, not with all keys ever seen. Spark
+    would discard rows behind the watermark before a stateful step that reads the watermarked column; this one reads a copy of it,
+    which carries no watermark, and tells late rows itself. A micro-batch of one key is ordered in memory, so bound micro-batches
+    (``maxFilesPerTrigger``). Timers need the RocksDB state store; it is set for the session if it isn't yet."""
+    spark = df.sparkSession
+    if spark.conf.get(PROVIDER, None) != ROCKSDB:
+        spark.conf.set(PROVIDER, ROCKSDB)
     d = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    d = d.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit("")))
-    schema = ", ".join(f"`{c}` {t}" for c, t in d.dtypes) + ", admitted boolean, late boolean"
-
-    def fold(_key, pdfs, state: GroupState):
-        live = deque(zip(*state.get)) if state.exists else deque()
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values([ts, order], kind="stable")
-        instants = rows[ts].astype("datetime64[us]").astype("int64")
-        rows["late"] = rows[ts].isna() | (instants < state.getCurrentWatermarkMs() * 1000)
-        rows["admitted"] = [not late and admit_counts(live, int(t), 1, limit, micros) == 1 for t, late in zip(instants, rows["late"])]
-        state.update(([int(t) for t, _ in live], [int(n) for _, n in live]))
-        yield rows
-
-    out = d.groupBy("_k").applyInPandasWithState(fold, schema, "at array<long>, n array<long>", "append", GroupStateTimeout.NoTimeout)
-    return out.drop("_k")
+    d = d.withColumn(ts, F.timestamp_micros(F.unix_micros(ts)))
+    # the key as the batch form tells it: null apart from ''
+    d = d.withColumn("_k", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("")))
+    schema = T.StructType([*[f for f in d.schema.fields if f.name != "_k"], T.StructField("late", T.BooleanType()), T.StructField("admitted", T.BooleanType())])
+    out = d.groupBy("_k").transformWithStateInPandas(Admission(ts, order, limit, window_seconds * 1_000_000), schema, "Append", "EventTime")
+    return out.select(*df.columns, "admitted", "late")

@@ -39,7 +39,8 @@ def _heads(spark, path: str, run: str, batch_id: int) -> DataFrame | None:
 def handle_batch(batch: DataFrame, batch_id: int, sources: Callable[[], Sources], out: str,
                  replies: Callable[[DataFrame], DataFrame] | None = None, log_text: bool = False, model_version: str | None = None) -> None:
     """Answer one micro-batch and add it to the results, the safe log and the compliance chains. ``replies`` turns rows
-    that wait for a model into (question_id, reply)."""
+    that wait for a model into (question_id, reply). Requests behind the watermark are refused in the results and kept whole in the table
+    ``late``, so that whoever asked can be told and they can be sent again."""
     spark, src = batch.sparkSession, sources()
     run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
     batch = cut(batch)                  # else every step below would run the admission of the stream again
@@ -50,6 +51,7 @@ def handle_batch(batch: DataFrame, batch_id: int, sources: Callable[[], Sources]
         done = finish_batch(done, replies(waiting), src)
     limited = batch.filter("not admitted").select("question_id", "user_email", F.lit("limited").alias("status"), F.when(F.col("late"), fixed.LATE_MSG).otherwise(fixed.RATE_LIMITED_MSG).alias("error"))
     results = _put(done.unionByName(limited, allowMissingColumns=True), f"{out}/results", run, batch_id)
+    _put(batch.filter("late").drop("admitted", "late"), f"{out}/late", run, batch_id)
     r = spark.read.parquet(results).filter("status <> 'limited'").join(asked.select("question_id", "event_time"), "question_id")
     _put(audit.to_chat_log(r), f"{out}/chat_log", run, batch_id)
     rec = audit.to_compliance(r.withColumn("event_id", F.sha2(F.col("question_id").cast("string"), 256)), src.private_model, model_version, log_text)
