@@ -2,6 +2,9 @@
 
 import random
 import re
+import time
+
+import pytest
 
 from test_op7_op9 import SCHEMA, base_spans, show
 from wardline.llm import op7_secrets as S7
@@ -50,3 +53,15 @@ def test_pairs_match_brute_force(spark):
     assert {x.doc_id: x.spans for x in got} == {i: show(all_spans(t, 60)) for i, t, _ in rows}
     alone = [t for _, t, _ in rows if AKIA in t and BARE in t and not re.search("USER|Username|https", t)]
     assert alone
+
+
+@pytest.mark.parametrize("piece", ["a.", "a-", "a..", ".", " ", '"', "AbC1+/", "0123456789abcdef ", "user=", "x:", "A.b-", "AKIA", "://"])
+def test_long_texts_of_one_piece(spark, piece):
+    """A megabyte of one piece before a text with a linked pair: no call per repetition, no second look at each start."""
+    tail = " user=alice7 host.example.org:8080 pwd=Zx81Qm4Tr9 "
+    text = piece * (1_000_000 // len(piece)) + tail
+    start = time.time()
+    got = S7.digest(S7.spans(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    at = text.rindex("user=alice7")
+    assert all(f"{k}:{at + tail.index(w) - 1}:{at + tail.index(w) - 1 + len(w)}" in got.spans for k, w in (("endpoint", "host.example.org:8080"), ("key", "pwd=Zx81Qm4Tr9"))), got.spans[-200:]
+    assert time.time() - start < 90
