@@ -87,6 +87,58 @@ def test_secure_view(spark, user, rows, name):
     assert policy.secure_view(e, "e", user, clinical, ct, g, s).count() == (3 if user in ("sp", "doc", "idle") else 0)
 
 
+TAGS = "table_name string, tag_name string, tag_value string"
+KEYS = "table_name string, column_name string, tag_name string, tag_value string"
+
+
+@pytest.mark.parametrize("tagged,key,seen", [
+    ([("e", "classification", "phi")], True, {"sp": 3, "doc": 3, "idle": 3, "nobody": 0}),                               # no scope yet: the role gate
+    ([("e", "classification", "phi"), ("e", "row_scope", "other")], True, {"sp": 3, "doc": 3, "idle": 3, "nobody": 0}),
+    ([("e", "classification", "phi"), ("e", "row_scope", "unit")], False, {"sp": 3, "doc": 0, "idle": 0, "nobody": 0}),   # no key column
+    ([("e", "row_scope", "unit"), ("e", "classification", "general")], True, {"nobody": 3}), ([], False, {"nobody": 3})])
+def test_tags_that_are_half_done_leave_nothing_open(spark, tagged, key, seen):
+    g, s = people(spark)
+    e = enc(spark, E1, ("E2", *E1[1:6], "ED", "x"), ("E3", *E1[1:6], None, "x"))
+    ct = spark.createDataFrame([("e", "unit", "unit_key", "true")] if key else [("e", "unit_price", "unit_key", "true")], KEYS)
+    for user, rows in seen.items():
+        assert policy.secure_view(e, "e", user, spark.createDataFrame(tagged, TAGS), ct, g, s).count() == rows, user
+
+
+def test_membership_is_read_when_the_frame_is(spark, tmp_path):
+    """The same frame, run again after a reader left a group: no job runs while it is built."""
+    source = tmp_path / "groups"
+    source.write_text("sp " + fixed.SERVICE_GROUP + "\ndoc " + fixed.STAFF_GROUP)
+    path = str(source)
+
+    def members(batches):
+        import pandas as pd
+
+        for _ in batches:
+            yield pd.DataFrame([x.split() for x in open(path).read().splitlines()], columns=["user_email", "grp"])
+
+    g, s = spark.range(1).coalesce(1).mapInPandas(members, "user_email string, grp string"), people(spark)[1]
+    e = enc(spark, E1, ("E2", *E1[1:6], "ED", "x"), ("E3", *E1[1:6], None, "x"))
+    spark.sparkContext.setJobGroup("building", "")
+    kept = [policy.filter_by_unit(e, "doc", "unit", g, s), policy.filter_by_role(e, "doc", g), policy.mask(e, ["patient_name"], "doc", g).filter("patient_name = 'Jane Roe'")]
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
+    spark.sparkContext.setJobGroup("reading", "")
+    assert [k.count() for k in kept] == [2, 3, 3]
+    source.write_text("sp " + fixed.SERVICE_GROUP)
+    assert [k.count() for k in kept] == [0, 0, 0]
+
+
+def test_unit_filter_prunes_partitions(spark, tmp_path):
+    g, s = people(spark)
+    path = str(tmp_path / "t")
+    spark.range(100).select("id", F.concat(F.lit("U"), F.col("id") % 10).alias("unit")).unionByName(spark.createDataFrame([(1000, "ICU"), (1001, "ED")], "id long, unit string")).write.partitionBy("unit").parquet(path)
+    t = spark.read.parquet(path)
+    tt, ct = spark.createDataFrame([("t", "classification", "phi"), ("t", "row_scope", "unit")], TAGS), spark.createDataFrame([("t", "unit", "unit_key", "true")], KEYS)
+    for v in (policy.filter_by_unit(t, "doc", "unit", g, s), policy.secure_view(t, "t", "doc", tt, ct, g, s, unit_cols=["unit"])):
+        assert sorted(r.id for r in v.collect()) == [1000, 1001]
+        plan = v._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert "unit" in plan.split("PartitionFilters:")[1].split("\n")[0]
+
+
 def test_classifier_and_tags(spark):
     df = spark.createDataFrame([("1234567", "x", "a@b.org", "ICU", 1, "free", "123-45-6789")] * 30, "code string, _x string, note string, unit string, available int, text string, other string")
     c = {r.column_name: (r.label, r.strong) for r in tags.classify_columns(df, "t", "clinical").collect()}

@@ -1,63 +1,63 @@
-"""Who may see what: entitlements, row filters, masks and their dispatch by tag."""
+"""Who may see what: entitlements, row filters, masks and their dispatch by tag.
+
+Memberships, assignments and tags are looked up when a frame is read, as subqueries of its plan, not when it is built: a reader who left a
+group sees nothing the next time a kept frame is run, and building one runs no job. The tests that subqueries answer refer to the unit column
+alone, so on a table that is partitioned by it they prune partitions at run time. In doubt a table is closed, never open."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import fixed
-from wardline.session import small_lookup
 
 
-def member_of(groups: DataFrame, user: str) -> set[str]:
-    """The groups one person belongs to: a handful of rows, needed to choose a plan."""
-    return {r[0] for r in groups.filter(F.col("user_email") == user).select("grp").distinct().collect()}
+def is_member(groups: DataFrame, user: str, *names: str) -> Column:
+    """Whether one person belongs to any of the groups, as a subquery."""
+    return groups.filter((F.col("user_email") == user) & F.col("grp").isin(*names)).select(F.lit(1)).exists()
+
+
+def _unit_test(user: str, unit: Column, groups: DataFrame, staff: DataFrame) -> Column:
+    units = staff.filter(F.col("staff_email") == user).agg(F.collect_set("assigned_unit")).scalar()     # those of one person
+    mine = is_member(groups, user, fixed.STAFF_GROUP) & F.coalesce(F.array_contains(units, unit), F.lit(False))
+    return is_member(groups, user, fixed.SERVICE_GROUP) | mine
+
+
+def _role_test(user: str, groups: DataFrame) -> Column:
+    return is_member(groups, user, fixed.SERVICE_GROUP, fixed.STAFF_GROUP)
 
 
 def filter_by_unit(df: DataFrame, user: str, unit_col: str, groups: DataFrame, staff: DataFrame) -> DataFrame:
-    """Row filter, unit scope. Service principals see all rows; clinical staff the rows of their units (a semi-join,
-    so a table partitioned by unit is pruned at run time); everyone else none."""
-    mine = member_of(groups, user)
-    if fixed.SERVICE_GROUP in mine:
-        return df
-    if fixed.STAFF_GROUP not in mine:
-        return df.filter(F.lit(False))
-    units = staff.filter(F.col("staff_email") == user).select(F.col("assigned_unit").alias("_unit")).distinct()
-    return df.join(small_lookup(units), F.col(unit_col) == F.col("_unit"), "left_semi")
+    """Row filter, unit scope. Service principals see all rows; clinical staff the rows of their units; everyone else none. Rows without a
+    unit are for service principals only."""
+    return df.filter(_unit_test(user, F.col(unit_col), groups, staff))
 
 
 def filter_by_role(df: DataFrame, user: str, groups: DataFrame) -> DataFrame:
     """Role gate: members of either clinical group see all rows, others none."""
-    return df if member_of(groups, user) & {fixed.SERVICE_GROUP, fixed.STAFF_GROUP} else df.filter(F.lit(False))
+    return df.filter(_role_test(user, groups))
 
 
 def mask(df: DataFrame, cols: list[str], user: str, groups: DataFrame) -> DataFrame:
-    """Columns as they are for clinical staff, the mask text (for nulls too) for everyone else."""
-    if fixed.STAFF_GROUP in member_of(groups, user):
-        return df
-    return df.withColumns({c: F.lit(fixed.MASK_TEXT) for c in cols})
-
-
-def row_policy(table: str, table_tags: DataFrame, column_tags: DataFrame) -> tuple[str, str | None]:
-    """Which single row policy a table has: ``unit`` with its key column, ``clinical`` or ``none``. The tags of one
-    table are read on the driver; they decide the plan."""
-    tags = {r.tag_name: r.tag_value for r in table_tags.filter(F.col("table_name") == table).select("tag_name", "tag_value").collect()}
-    if tags.get("classification") != "phi":
-        return "none", None
-    if tags.get("row_scope") == "unit":
-        keys = column_tags.filter((F.col("table_name") == table) & (F.col("tag_name") == "unit_key")).select("column_name").collect()
-        return ("unit", keys[0][0]) if keys else ("none", None)
-    return ("clinical", None) if tags.get("row_scope") == "clinical" else ("none", None)
+    """Columns as they are (as text) for clinical staff, the mask text (for nulls too) for everyone else."""
+    seen = is_member(groups, user, fixed.STAFF_GROUP)
+    return df.withColumns({c: F.when(seen, F.col(c).cast("string")).otherwise(F.lit(fixed.MASK_TEXT)) for c in cols})
 
 
 def secure_view(df: DataFrame, table: str, user: str, table_tags: DataFrame, column_tags: DataFrame, groups: DataFrame,
-                staff: DataFrame, masked: list[str] = ()) -> DataFrame:
-    """The table as one reader may see it: the row policy its tags select, then its column masks."""
-    kind, unit_col = row_policy(table, table_tags, column_tags)
-    if kind == "unit":
-        df = filter_by_unit(df, user, unit_col, groups, staff)
-    elif kind == "clinical":
-        df = filter_by_role(df, user, groups)
+                staff: DataFrame, masked: list[str] = (), unit_cols: list[str] | None = None) -> DataFrame:
+    """The table as one reader may see it: the row policy its tags select, then its column masks.
+
+    A table that isn't tagged ``phi`` is open. One that is has exactly one policy: unit scope by the column tagged ``unit_key``, or the
+    role gate, which also holds where no scope is tagged (yet). Unit scope without a key column, or with one that isn't among
+    ``unit_cols`` (default: all text columns), leaves the rows to service principals. Name the one column that can be the key to have
+    partitions pruned by it."""
+    tag = lambda name, value: table_tags.filter((F.col("table_name") == table) & (F.col("tag_name") == name) & (F.col("tag_value") == value)).select(F.lit(1)).exists()
+    key = column_tags.filter((F.col("table_name") == table) & (F.col("tag_name") == "unit_key")).agg(F.min("column_name")).scalar()
+    columns = unit_cols if unit_cols is not None else [c for c, t in df.dtypes if t == "string"]
+    unit = F.coalesce(*[F.when(key == c, F.col(c)) for c in columns]) if columns else F.lit(None).cast("string")
+    scoped = F.when(tag("row_scope", "unit"), _unit_test(user, unit, groups, staff)).otherwise(_role_test(user, groups))
+    df = df.filter(~tag("classification", "phi") | scoped)
     return mask(df, list(masked), user, groups) if masked else df
 
 
