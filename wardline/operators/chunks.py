@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline import fixed
+from wardline.session import cut
 
 ENCOUNTER_KEYS = ["encounter_id", "mrn", "unit", "patient_name", "encounter_class", "period_start", "diagnosis_code"]
 LAB_FIELDS = ["observed_at", "test_code", "result_value", "result_flag"]
@@ -88,11 +89,74 @@ def sync_index(source: DataFrame, index: DataFrame, key: str = "chunk_id", conte
 
 
 def apply_sync(source: DataFrame, index: DataFrame, key: str = "chunk_id", content: str = "content") -> DataFrame:
-    """The index after the sync: source rows that changed or are new, index rows that stayed the same."""
-    todo = sync_index(source, index, key, content)
-    fresh = source.join(todo.filter("action in ('insert', 'update')").select(key), key, "left_semi")
-    kept = index.join(todo.filter("action = 'same'").select(key), key, "left_semi")
-    return kept.unionByName(fresh, allowMissingColumns=True)
+    """The index after the sync: source rows that changed or are new, index rows that stayed the same. One full join brings both rows of
+    a key together; columns that only one side has are null in rows of the other."""
+    names = [*index.columns, *[c for c in source.columns if c not in index.columns]]
+    s = source.select(F.col(key).alias("_sk"), F.struct("*").alias("_s"))
+    i = index.select(F.col(key).alias("_ik"), F.struct("*").alias("_i"))
+    both = s.join(i, F.col("_sk") == F.col("_ik"), "full").filter(F.col("_s").isNotNull())
+    same = F.col("_i").isNotNull() & F.col(f"_s.{content}").eqNullSafe(F.col(f"_i.{content}"))
+    side = lambda t, df, c: F.col(f"{t}.{c}") if c in df.columns else F.lit(None)
+    return both.select(*[F.when(same, side("_i", index, c)).otherwise(side("_s", source, c)).alias(c) for c in names])
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def digest_table(df: DataFrame, key: str = "chunk_id", content: str = "content", buckets: int = 4096) -> DataFrame:
+    """_bucket, rows, sum and xor of the row hashes of every bucket of keys: equal for two tables exactly where their rows are (but
+    for hash collisions of both kinds at once). Partial sums; only one row a bucket and task is shuffled."""
+    h = F.xxhash64(key, content)
+    return df.groupBy(bucket_of(key, buckets).alias("_bucket")).agg(F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(20,0)")).alias("total"), F.bit_xor(h).alias("parity"))
+
+
+def changed_buckets(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The buckets whose digests differ: at most as many rows as there are buckets."""
+    o = old.select("_bucket", F.struct("rows", "total", "parity").alias("_o"))
+    n = new.select("_bucket", F.struct("rows", "total", "parity").alias("_n"))
+    return n.join(o, "_bucket", "full").filter(~F.col("_n").eqNullSafe(F.col("_o"))).select("_bucket")
+
+
+def sync_buckets(source: DataFrame, index: DataFrame, digests: DataFrame, key: str = "chunk_id", content: str = "content",
+                 buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(the rows of all buckets that changed, as they are after the sync, with ``_bucket``; the digests of the new index). ``index`` has the
+    column ``_bucket``; stored partitioned by it, only the folders of changed buckets are read, and only those are to be rewritten
+    (:func:`store_index` does both). ``digests`` is the digest table kept from the last sync. Rows of unchanged buckets are neither
+    joined nor shuffled; the source is read twice, once for its digests."""
+    now = digest_table(source, key, content, buckets)
+    todo = F.broadcast(changed_buckets(now, digests))           # at most ``buckets`` integers
+    s = source.withColumn("_bucket", bucket_of(key, buckets)).join(todo, "_bucket", "left_semi")
+    i = index.join(todo, "_bucket", "left_semi")
+    return apply_sync(s, i, key, content), now
+
+
+def store_index(source: DataFrame, path: str, key: str = "chunk_id", content: str = "content", buckets: int = 4096) -> int:
+    """Bring the index at ``path`` (rows by bucket, digests beside them) up to its source; returns the number of buckets rewritten. A
+    run that is cut off leaves old digests behind, so the next one does its buckets again."""
+    spark = source.sparkSession
+    rows, digests = f"{path}/rows", f"{path}/digests"
+    spark.catalog.refreshByPath(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(digests)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        full = source.withColumn("_bucket", bucket_of(key, buckets))
+        full.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(rows)
+        digest_table(source, key, content, buckets).coalesce(1).write.mode("overwrite").parquet(digests)
+        return spark.read.parquet(digests).count()
+    index, old = spark.read.parquet(rows), cut(spark.read.parquet(digests))
+    after, now = sync_buckets(source, index, old, key, content, buckets)
+    after, now = cut(after), cut(now)
+    changed = cut(changed_buckets(now, old))
+    # a bucket that lost all its rows has none to write over the old ones with: a row of nulls takes its place and is never read
+    gone = changed.join(after.select("_bucket").distinct(), "_bucket", "left_anti")
+    blank = gone.select("_bucket", *[F.lit(None).cast(t).alias(c) for c, t in after.dtypes if c != "_bucket"])
+    after.unionByName(blank).repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(rows)
+    now.coalesce(1).write.mode("overwrite").parquet(digests)
+    return changed.count()
+
+
+def read_index(spark: SparkSession, path: str, key: str = "chunk_id") -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").filter(F.col(key).isNotNull()).drop("_bucket")
 
 
 def duplicate_keys(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:

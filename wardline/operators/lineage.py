@@ -47,3 +47,34 @@ def decision_rows(routed: DataFrame, prompt_version: str, private_model: str, ex
         "question_id", F.when(F.col("phi"), "phi_private").otherwise("general_external").alias("decision"),
         F.when(F.col("phi"), private_model).otherwise(external_model).alias("endpoint"),
         F.array_join("tables", ",").alias("matched_tables"), F.lit(prompt_version).alias("prompt_version"), "reason")
+
+
+def endpoint_history(changes: DataFrame, endpoint: str = "endpoint") -> DataFrame:
+    """``changes`` (endpoint, valid_from, what became live, and valid_to where an endpoint was retired without a successor) as a history:
+    each state ends at ``valid_to``, or where the next one starts if that is earlier or no end was given."""
+    following = F.lead("valid_from").over(W.partitionBy(endpoint).orderBy("valid_from"))
+    return changes.withColumn("ends", F.least(F.col("valid_to"), following))
+
+
+def history_problems(changes: DataFrame, endpoint: str = "endpoint") -> DataFrame:
+    """endpoint, problem, starts, ends: ``overlap`` where a state was to last beyond the start of the next, ``gap`` where none was live
+    between two, ``inverted`` where a state ends before it starts. One row per problem; neighbours only, by one window per endpoint."""
+    w = W.partitionBy(endpoint).orderBy("valid_from")
+    d = changes.withColumn("_next", F.lead("valid_from").over(w))
+    row = lambda name, ok, a, b: F.when(ok, F.struct(F.lit(name).alias("problem"), a.alias("starts"), b.alias("ends")))
+    start, end, following = F.col("valid_from"), F.col("valid_to"), F.col("_next")
+    found = F.array(row("inverted", end < start, end, start), row("overlap", (end >= start) & (end > following), following, end), row("gap", F.greatest(start, end) < following, F.greatest(start, end), following))
+    found = F.when(end.isNull(), F.array().cast("array<struct<problem:string,starts:timestamp,ends:timestamp>>")).otherwise(F.array_compact(found))
+    return d.select(endpoint, F.explode(found).alias("x")).select(endpoint, "x.*")
+
+
+def request_lineage(requests: DataFrame, prompts: DataFrame, changes: DataFrame, ts: str = "event_time") -> DataFrame:
+    """``requests`` (with ``path`` and ``endpoint``) with what answered them: ``prompt_version``, ``model``, ``model_version``,
+    ``provider``, and ``in_gap`` where no state of the endpoint was live, with nothing in its columns then.
+    ``prompts``: path, version, valid_from. ``changes``: endpoint, model, version, provider, valid_from, valid_to."""
+    p = prompts.select("path", F.col("version").alias("prompt_version"), F.col("valid_from").alias("_prompt_from"))
+    r = lineage_asof(requests, p, "path", ts, "_prompt_from", "prompt_version").drop("_prompt_from")
+    h = endpoint_history(changes).select("endpoint", "valid_from", F.struct("model", F.col("version").alias("model_version"), "provider", "ends").alias("_state"))
+    r = lineage_asof(r, h, "endpoint", ts, "valid_from", "_state").drop("valid_from")
+    live = F.col("_state").isNotNull() & (F.col("_state.ends").isNull() | (F.col(ts) < F.col("_state.ends")))
+    return r.select(*[c for c in r.columns if c != "_state"], *[F.when(live, F.col(f"_state.{c}")).alias(c) for c in ("model", "model_version", "provider")], (~live).alias("in_gap"))

@@ -195,6 +195,7 @@ def oracle_sql() -> dict[str, str]:
     q["snapshot_diff"] = f"""WITH {_VERSIONS} SELECT coalesce(o.doc_id, n.doc_id) AS chunk_id, CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'delete'
  WHEN o.text = n.text THEN 'same' ELSE 'update' END AS action FROM o FULL JOIN n ON o.doc_id = n.doc_id"""
     q["index_after_sync"] = f"WITH {_VERSIONS} SELECT doc_id AS chunk_id, md5(text) AS text_md5 FROM n"
+    q["index_stored_by_bucket"] = q["index_after_sync"]
     q["routing_mix_daily"] = f"""WITH {LOG} SELECT strftime(event_time, '%Y-%m-%d') AS day, path, count(*) AS questions,
  round(100 * count(*) / sum(count(*)) OVER (PARTITION BY strftime(event_time, '%Y-%m-%d')), 1) AS pct_of_day FROM chat_log WHERE status = 'ok' GROUP BY 1, 2"""
     q["grounding_daily"] = f"""WITH {LOG} SELECT strftime(event_time, '%Y-%m-%d') AS day, coalesce(path, {lit(fixed.STOPPED_PATH_LABEL)}) AS path, count(*) AS questions,
@@ -293,6 +294,15 @@ def oracle_sql() -> dict[str, str]:
   UNION ALL SELECT event_id, user_id, n, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END
    FROM (SELECT e.event_id, e.user_id, e.n, e.t, list_filter(f.hits, lambda h: e.t - h < 86400000000) AS live FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
  SELECT event_id, user_id, admitted FROM f"""
+    changes = """changes AS (SELECT 'endpoint-' || event_id % 3 AS endpoint, 'model-' || event_id % 4 AS model, event_id AS version, CASE WHEN event_id % 3 = 2 THEN 'hosted' END AS provider, ts AS valid_from,
+  CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL 6 HOUR END AS valid_to, lead(ts) OVER (PARTITION BY event_id % 3 ORDER BY ts) AS following FROM events WHERE event_type = 'signup')"""
+    q["lineage_endpoints"] = f"""WITH {changes}, prompts AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'phi' ELSE 'general' END AS path, event_id AS v, ts AS f FROM events WHERE event_type = 'error'),
+ r AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'phi' ELSE 'general' END AS path, 'endpoint-' || event_id % 3 AS endpoint, ts FROM events),
+ j AS (SELECT r.*, p.v AS prompt_version, c.model, c.version, c.provider, c.valid_from IS NOT NULL AND (c.valid_to IS NULL OR ts < c.valid_to) AS live
+  FROM r ASOF LEFT JOIN prompts p ON r.path = p.path AND r.ts >= p.f ASOF LEFT JOIN changes c ON r.endpoint = c.endpoint AND r.ts >= c.valid_from)
+ SELECT event_id, path, endpoint, prompt_version, CASE WHEN live THEN model END AS model, CASE WHEN live THEN version END AS model_version, CASE WHEN live THEN provider END AS provider, NOT live AS in_gap FROM j"""
+    q["endpoint_history_problems"] = f"""WITH {changes} SELECT endpoint, CASE WHEN valid_to > following THEN 'overlap' ELSE 'gap' END AS problem,
+ strftime(least(valid_to, following), '%Y-%m-%d %H:%M:%S') AS starts, strftime(greatest(valid_to, following), '%Y-%m-%d %H:%M:%S') AS ends FROM changes WHERE valid_to <> following"""
     late = "event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-15 00:00:00'"
     q["rate_limit_stream"] = q["rate_limit"].replace("AS n FROM events)", f"AS n FROM events WHERE NOT ({late}))").replace("SELECT event_id, user_id, admitted FROM f", f"""SELECT event_id, user_id, admitted, false AS late FROM f
  UNION ALL SELECT event_id, user_id, false, true FROM events WHERE {late}""")

@@ -147,6 +147,17 @@ def index_after_sync(spark, sf):
     return chunks.apply_sync(new, old, "chunk_id", "text").select("chunk_id", F.md5("text").alias("text_md5"))
 
 
+@query
+def index_stored_by_bucket(spark, sf):
+    """An index kept by buckets with their digests, brought up to a source of which a part changed: only those buckets are rewritten."""
+    old, new = _two_versions(spark, sf)
+    path = scratch(spark)
+    chunks.store_index(old, path, "chunk_id", "text", 64)
+    chunks.store_index(old.filter("chunk_id % 7 <> 1").unionByName(new.filter("chunk_id % 7 = 0")), path, "chunk_id", "text", 64)
+    chunks.store_index(new, path, "chunk_id", "text", 64)
+    return chunks.read_index(spark, path).select("chunk_id", F.md5("text").alias("text_md5"))
+
+
 # ------------------------------------------------------------------ monitoring
 @query
 def routing_mix_daily(spark, sf):
@@ -552,6 +563,30 @@ def lineage_asof(spark, sf):
     return lineage.lineage_asof(r, v).select("event_id", "endpoint", "version")
 
 
+def _endpoint_changes(spark, sf):
+    """A state per sign-up event, three endpoints; every fifth is retired six hours later, whether or not the next has come."""
+    e = B.table(spark, sf, "events").filter("event_type = 'signup'")
+    i = F.col("event_id")
+    return e.select(F.concat(F.lit("endpoint-"), i % 3).alias("endpoint"), F.concat(F.lit("model-"), i % 4).alias("model"), i.alias("version"),
+                    F.when(i % 3 == 2, F.lit("hosted")).alias("provider"), F.col("ts").cast("timestamp").alias("valid_from"),
+                    F.when(i % 5 == 0, F.col("ts").cast("timestamp") + F.expr("INTERVAL 6 HOURS")).alias("valid_to"))
+
+
+@query
+def lineage_endpoints(spark, sf):
+    """Every event as a request: the prompt, model, version and provider that answered it, or that its endpoint had none."""
+    e = B.table(spark, sf, "events").withColumn("event_time", F.col("ts").cast("timestamp"))
+    path = F.when(F.col("user_id") % 2 == 0, "phi").otherwise("general")
+    prompts = e.filter("event_type = 'error'").select(path.alias("path"), F.col("event_id").alias("version"), F.col("event_time").alias("valid_from"))
+    asked = e.select("event_id", path.alias("path"), F.concat(F.lit("endpoint-"), F.col("event_id") % 3).alias("endpoint"), "event_time")
+    return lineage.request_lineage(asked, prompts, _endpoint_changes(spark, sf)).drop("event_time")
+
+
+@query
+def endpoint_history_problems(spark, sf):
+    return lineage.history_problems(_endpoint_changes(spark, sf)).select("endpoint", "problem", ts_text("starts"), ts_text("ends"))
+
+
 @query
 def decision_rows(spark, sf):
     return lineage.decision_rows(route.route(B.questions(spark, sf), _registry(spark, sf)), "v2", B.PRIVATE, B.EXTERNAL)
