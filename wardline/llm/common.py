@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: words are runs of anything but the space and the control characters tab to carriage return
@@ -19,10 +20,9 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder in ``spark.checkpoint.dir`` and go on from there: read many times, computed once, and safe when
-    an executor is lost. A local session without the setting (tests) gets a folder of its own; a cluster without it is an error."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, under ``spark.checkpoint.dir``. A local session without the setting (tests) gets a folder of its
+    own; a cluster without it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +31,24 @@ def keep(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="llm-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there: read many times, computed once, and safe when an executor is lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Like ``keep``, as a Parquet table. For loops: a checkpoint inherits the size that was estimated for its plan, and joins multiply
+    such sizes, so that after some rounds of joins the planner works on numbers of millions of digits. A table has its real size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case; all other characters stay."""
     return F.translate(c, UPPER, LOWER)

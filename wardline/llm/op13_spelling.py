@@ -1,7 +1,7 @@
 """Spelling variants: words that differ by one character, found by a frontier of states that walks tries kept as tables.
 
-A trie is an edge table spread over the cluster: a row per node with the characters that lead on, or, where at most LEAF words are left below,
-with those words. There is one trie per word length and direction (words as written, and reversed), and it starts at half the words' length:
+A trie is an edge table spread over the cluster: a row per node with the steps that lead on, or, where at most LEAF words are left below,
+with those words. The edges carry two characters, so that an edit is only tried where the word's own next character follows. There is one trie per word length and direction (words as written, and reversed), and it starts at half the words' length:
 whichever way one edit splits two words, the longer half is the same in both, and is a prefix in one of the two directions. So the crowded
 upper levels, where every word meets every other, are not walked, and the walk finds every pair all the same.
 
@@ -9,8 +9,8 @@ The frontier is a table of states (word, position, node, edits). It starts at th
 replaced characters) and in that of the next (for inserted ones; a deletion is an insertion seen from the other word). Level by level it is
 joined with the nodes of that level: a state without an edit follows its own character, or any other for one edit; a state with an edit goes
 on along its own characters only. At a leaf the words below are held against the rest, and those at one edit are neighbours. Edits are put at
-the first place where two words differ, and a pair is taken in reverse only if its shared start is too short for the other direction, so
-each pair comes once. Joins are on (direction, length, prefix), inner ones that adaptive execution splits where a prefix is crowded, and a
+the first place where two words differ, a character is only replaced by a later one, and a pair is taken in reverse only if its shared start
+is too short for the other direction, so each pair comes once; it is then told of both words. Joins are on (direction, length, prefix), inner ones that adaptive execution splits where a prefix is crowded, and a
 node has at most one row, so that no join multiplies rows.
 
 Words are counted over all texts before anything else; neighbours are gathered per word by partial sums. Chains of forms are followed by
@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep
+from .common import ascii_lower, store
 
 LETTERS = r"[A-Za-zÀ-ÿ]"
 LEAST, TWICE, RATIO, EVERY = 7, 2, 10, 31
@@ -54,23 +54,24 @@ def _node(length, level, word):
 
 
 def _tries(ways: DataFrame, leaf: int) -> list[tuple[DataFrame, DataFrame]]:
-    """(inner nodes, leaves) of each level, from rows (rev, word, n): rev, len, node, then chars or words (array<struct<t, tn>>)."""
+    """(inner nodes, leaves) of each level, from rows (rev, word, n): rev, len, node, then steps (the next two characters of the words
+    below: no more than the letters there are, squared) or words (array<struct<t, tn>>)."""
     rows = ways.select("rev", F.length("word").alias("len"), F.concat("word", F.lit(END)).alias("t"), F.col("n").alias("tn"))
     levels, key = [], ["rev", "len", "node"]
     while True:
         here = rows.withColumn("node", _node(F.col("len"), len(levels), F.col("t")))
-        crowded = keep(here.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > leaf).drop("size"))
+        crowded = store(here.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > leaf).drop("size"))
         below = here.join(crowded, key, "left_anti").groupBy(key).agg(F.collect_list(F.struct("t", "tn")).alias("words"))
         if crowded.isEmpty():
-            return [*levels, (None, keep(below))]
-        rows = keep(here.join(crowded, key, "left_semi"))
-        chars = rows.groupBy(key).agg(F.collect_set(F.substring(F.col("t"), F.length("node") + 1, F.lit(1))).alias("chars"))
-        levels.append((keep(chars), keep(below)))
+            return [*levels, (None, store(below))]
+        rows = store(here.join(crowded, key, "left_semi"))
+        steps = rows.groupBy(key).agg(F.collect_set(F.substring(F.col("t"), F.length("node") + 1, F.lit(2))).alias("steps"))
+        levels.append((store(steps), store(below)))
         rows = rows.drop("node")
 
 
 def neighbours(counted: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """word, near, near_n: every word of ``counted`` (word, n; a checkpoint) with each word at exactly one edit, once."""
+    """word, near, near_n: every word of ``counted`` (word, n; a table) with each word at exactly one edit, once."""
     ways = counted.select(F.lit(False).alias("rev"), "word", "n").unionByName(counted.select(F.lit(True).alias("rev"), F.reverse("word").alias("word"), "n"))
     tries = _tries(ways, leaf)
     own, half = F.length("word"), lambda n: F.floor(n / 2).cast("int")
@@ -81,31 +82,35 @@ def neighbours(counted: DataFrame, leaf: int = LEAF) -> DataFrame:
     for inner, leaves in tries:
         at = states.join(leaves, key).select("*", F.explode("words").alias("x")).select("rev", "len", "w", "wn", "pos", "node", "edits", "x.t", "x.tn")
         rest = F.substring(F.col("t"), F.length("node") + 1, F.length("t")) == F.substring(F.col("w"), F.col("pos") + 1, F.length("w"))
-        hit = at.where((F.col("w") != F.col("t")) & ((F.col("edits") == 0) | rest)).where(F.levenshtein("w", "t", 1) == 1)
+        hit = at.where((insert | (F.col("t") > F.col("w"))) & ((F.col("edits") == 0) | rest)).where(F.levenshtein("w", "t", 1) == 1)
         # seen from behind, only pairs whose shared start is too short for the other direction; words as written are the reverse of t and w
         plain = lambda c: F.when(F.col("rev"), F.reverse(F.substring(F.col(c), F.lit(1), F.length(c) - 1))).otherwise(F.substring(F.col(c), F.lit(1), F.length(c) - 1))
-        hit = hit.select("rev", "len", insert.alias("insert"), plain("w").alias("w"), "wn", plain("t").alias("t"), "tn")
+        hit = hit.select("rev", "len", plain("w").alias("w"), "wn", plain("t").alias("t"), "tn")
         start = lambda c: F.substring(F.col(c), F.lit(1), half(F.col("len")))
         hit = hit.where(~F.col("rev") | (start("w") != start("t")))
-        found.append(hit.select(F.explode(F.when(F.col("insert"), F.array(F.struct(F.col("w").alias("word"), F.col("t").alias("near"), F.col("tn").alias("near_n")), F.struct(F.col("t").alias("word"), F.col("w").alias("near"), F.col("wn").alias("near_n"))))
-                                          .otherwise(F.array(F.struct(F.col("w").alias("word"), F.col("t").alias("near"), F.col("tn").alias("near_n"))))).alias("x")).select("x.*"))
+        found.append(hit.select(F.explode(F.array(*[F.struct(F.col(x).alias("word"), F.col(y).alias("near"), F.col(n).alias("near_n")) for x, y, n in (("w", "t", "tn"), ("t", "w", "wn"))])).alias("x")).select("x.*"))
         if inner is None:
             break
-        mine = F.substring(F.col("w"), F.col("pos") + 1, F.lit(1))
-        at = states.join(inner, key).withColumn("c", F.explode(F.when(F.col("edits") == 0, F.col("chars")).otherwise(F.filter("chars", lambda c: c == mine))))
-        same = F.col("c") == mine
-        # another character: put into the word, or in place of its own
-        ok = same | (F.col("c") != END) & (insert | (mine != END))
-        states = keep(at.where(ok).select("rev", "len", "w", "wn", (F.col("pos") + F.when(same | ~insert, 1).otherwise(0)).alias("pos"), F.concat("node", "c").alias("node"), (F.col("edits") + F.when(same, 0).otherwise(1)).alias("edits")))
+        mine, after = (F.substring(F.col("w"), F.col("pos") + i, F.lit(1)) for i in (1, 2))
+        char, then = lambda x: F.substring(x, 1, 1), lambda x: F.substring(x, 2, 1)
+        on = lambda c, pos, edits: F.struct(c.alias("c"), pos.alias("pos"), edits.alias("edits"))
+        own_way = F.when(F.exists("steps", lambda x: (char(x) == mine) & ((F.col("edits") == 0) | (then(x) == after))), F.array(on(mine, F.col("pos") + 1, F.col("edits"))))
+        # another character: put into the word, or in place of its own; what follows it must be the word's own again
+        other = F.filter("steps", lambda x: (char(x) != END) & F.when(insert, (char(x) != mine) & (then(x) == mine)).otherwise((mine != END) & (char(x) > mine) & (then(x) == after)))
+        edit = F.transform(other, lambda x: on(char(x), F.col("pos") + F.when(insert, 0).otherwise(1), F.lit(1)))
+        none = F.array().cast("array<struct<c:string,pos:int,edits:int>>")
+        ways_on = F.concat(F.coalesce(own_way, none), F.when(F.col("edits") == 0, edit).otherwise(none))
+        at = states.join(inner, key).select("rev", "len", "w", "wn", "node", F.explode(ways_on).alias("x"))
+        states = store(at.select("rev", "len", "w", "wn", F.col("x.pos").alias("pos"), F.concat("node", "x.c").alias("node"), F.col("x.edits").alias("edits")))
     return reduce(DataFrame.unionByName, found)
 
 
 def roots(forms: DataFrame) -> DataFrame:
     """word, root: the end of the chain that starts at each word of ``forms`` (word, form)."""
-    at = keep(forms.select("word", F.col("form").alias("root")))
+    at = store(forms.select("word", F.col("form").alias("root")))
     while True:
         on = at.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        at = keep(at.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        at = store(at.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         if at.where("moved").isEmpty():
             return at.drop("moved")
         at = at.drop("moved")
@@ -113,11 +118,11 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def variants(docs: DataFrame, least: int = LEAST, twice: int = TWICE, ratio: int = RATIO, leaf: int = LEAF) -> DataFrame:
     """One row per word: word, form, root, n, n_near, form_n."""
-    counted = keep(words(docs, least, twice))
+    counted = store(words(docs, least, twice))
     near = neighbours(counted, leaf).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     known = counted.join(near, "word", "left")
     form = F.when(-F.col("best.less") >= ratio * F.col("n"), F.col("best.near"))
-    known = keep(known.select("word", form.alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(form.isNotNull(), -F.col("best.less")).alias("form_n")))
+    known = store(known.select("word", form.alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(form.isNotNull(), -F.col("best.less")).alias("form_n")))
     return known.join(roots(known.where("form IS NOT NULL")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
