@@ -139,8 +139,25 @@ _APPLIED = """old AS (SELECT CASE n_regionkey WHEN 0 THEN 'customer' WHEN 1 THEN
 
 _NEW = "CASE WHEN doc_id % 3 = 0 THEN text || ' (v2)' ELSE text END"
 _VERSIONS = f"""o AS (SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, {_NEW} AS text FROM documents WHERE doc_id % 5 <> 0)"""
-_BNAMES = """nm AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '[a-z'']+')[1:2], ' ') AS name FROM benchmark),
- dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM documents)"""
+_WORDS = "regexp_extract_all(lower({t}), '[a-z'']+')"
+PEOPLE = f"""bw AS (SELECT item_id, {_WORDS.format(t='text')} AS w FROM benchmark),
+ people AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN list_sort(list_transform(w, lambda x: {{'l': length(x), 'x': x}}), 'DESC')[1].x WHEN 1 THEN array_to_string(w[1:2], ' ') ELSE array_to_string(w[1:3], ' ') END AS name FROM bw),
+ nm AS (SELECT DISTINCT name FROM people WHERE name <> ''), parts AS (SELECT DISTINCT p FROM (SELECT unnest(string_split(name, ' ')) AS p FROM nm) WHERE length(p) >= 4),
+ who AS (SELECT item_id % 3 AS kind, min(name) AS person FROM people WHERE name <> '' GROUP BY 1)"""
+_BNAMES = f"""{PEOPLE}, dw AS (SELECT 'd' || doc_id AS text_id, {_WORDS.format(t='text')} AS w FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, {_WORDS.format(t='text')} FROM conversations)"""
+
+
+def named(col: str) -> str:
+    """Whether a text names a person: the whole name in its words, or a word of four letters or more of one."""
+    w = _WORDS.format(t=col)
+    return f"(EXISTS (SELECT 1 FROM nm WHERE contains(array_to_string({w}, ' '), name)) OR coalesce(list_has_any({w}, (SELECT list(p) FROM parts)), false))"
+
+
+def with_person(id_: str, col: str, every: int, before: str) -> str:
+    capital = "array_to_string(list_transform(string_split(person, ' '), lambda x: upper(x[1]) || x[2:]), ' ')"
+    return f"CASE WHEN {id_} % {every} = 1 AND person IS NOT NULL THEN {col} || '{before}' || {capital} ELSE {col} END"
+
+
 _FACT = "[A-Za-z]*\\d[\\w./:-]*"
 
 
@@ -236,8 +253,10 @@ def oracle_sql() -> dict[str, str]:
     q["intents_conversations"] = f"SELECT {intent('text', chr(114) + 'egexp_matches(text, ' + lit('(^|' + chr(92) + 's)[0-9]{7,10}(' + chr(92) + 's|$)') + ')')} AS intent, count(*) AS turns FROM conversations GROUP BY 1"
     q["route_questions"] = f"WITH {ROUTED} SELECT question_id, intent, tables, phi, reason FROM routed"
     leak = f"NOT phi AND {kinds('question')} <> ''"
-    q["leak_redirect"] = f"""WITH {ROUTED} SELECT question_id, phi OR {kinds('question')} <> '' AS phi, CASE WHEN {leak} THEN 'pre-flight leak check flagged [''' || replace({kinds('question')}, ',', ''', ''') || ''']' ELSE reason END AS reason,
- CASE WHEN {leak} THEN '{fixed.FLAG_LEAK}' ELSE '' END AS flags FROM routed"""
+    asked = f"""{QUESTIONS.replace("questions AS", "q0 AS", 1)}, {PEOPLE}, questions AS (SELECT question_id, user_email, {with_person('question_id', 'question', 4, ' Please tell ')} AS question FROM q0 LEFT JOIN who ON question_id // 4 % 3 = kind)"""
+    q["leak_redirect"] = f"""WITH {ROUTED.replace(QUESTIONS, asked)}, found AS (SELECT *, concat_ws(',', CASE WHEN {named('question')} THEN '{fixed.NAME_KIND}' END, nullif({kinds('question')}, '')) AS kinds FROM routed)
+ SELECT question_id, phi OR kinds <> '' AS phi, CASE WHEN NOT phi AND kinds <> '' THEN 'pre-flight leak check flagged [''' || replace(kinds, ',', ''', ''') || ''']' ELSE reason END AS reason,
+ CASE WHEN NOT phi AND kinds <> '' THEN '{fixed.FLAG_LEAK}' ELSE '' END AS flags FROM found"""
     q["redact_errors"] = "SELECT event_id, left('PermissionError: request ' || event_id || ' > Authorization: Bearer [redacted] ' || repeat('detail ', (event_id % 40)::INT), 200) AS safe FROM events"
     q["refusals"] = """WITH e AS (SELECT event_id, event_type AS t, CASE WHEN event_id % 4 <> 0 THEN CASE event_id % 3 WHEN 0 THEN 'question' WHEN 1 THEN 'answer' END END AS side,
   user_id % 2 = 0 AS v, user_id % 5 = 0 AS p FROM events), c AS (SELECT *, list_sort(list_filter([t, CASE WHEN v THEN 'violent-crimes' END, CASE WHEN p THEN 'pii' END], lambda x: x IS NOT NULL)) AS cats FROM e)
@@ -247,8 +266,8 @@ def oracle_sql() -> dict[str, str]:
   CASE event_id % 3 WHEN 0 THEN 'Invalid scope in request ' WHEN 1 THEN 'INSUFFICIENT_PRIVILEGES ' ELSE 'timeout ' END || event_id AS x, event_id % 3 AS m, user_id % 2 = 0 AS phi FROM events)
  SELECT event_id, CASE WHEN k IS NULL THEN 'ok' WHEN k = 'guardrail' THEN 'blocked' WHEN k = 'permission' OR k = 'read' AND (m = 0 OR m = 1 AND phi) THEN 'denied' ELSE 'failed' END AS status,
  CASE WHEN k IS NULL THEN NULL WHEN k IN ('guardrail', 'permission') THEN x WHEN k = 'read' AND m = 0 THEN {lit(fixed.DENIED_SCOPE)} WHEN k = 'read' AND m = 1 AND phi THEN {lit(fixed.DENIED_CLINICAL)} ELSE k || ': ' || x END AS message FROM e"""
-    q["name_scan_exact"] = f"""WITH {_BNAMES} SELECT DISTINCT doc_id, 'substring' AS how FROM dw JOIN nm ON contains(array_to_string(w, ' '), name)
- UNION ALL SELECT DISTINCT doc_id, 'part' FROM (SELECT doc_id, unnest(w) AS x FROM dw) WHERE x IN (SELECT p FROM (SELECT unnest(string_split(name, ' ')) AS p FROM nm) WHERE length(p) >= 4)"""
+    q["name_scan_exact"] = f"""WITH {_BNAMES} SELECT DISTINCT text_id, 'substring' AS how FROM dw JOIN nm ON contains(array_to_string(w, ' '), name)
+ UNION ALL SELECT DISTINCT text_id, 'part' FROM (SELECT text_id, unnest(w) AS x FROM dw) WHERE x IN (SELECT p FROM (SELECT unnest(string_split(name, ' ')) AS p FROM nm) WHERE length(p) >= 4)"""
     q["customer_names_in_questions"] = f"WITH {ENC}, {NAMES}, {QUESTIONS} SELECT question_id, EXISTS (SELECT 1 FROM names n WHERE contains(' ' || lower(question) || ' ', n.name)) AS name_hit FROM questions"
     q["retrieve_topk"] = f"WITH {PHI}, {QUESTIONS}, qs AS (SELECT * FROM questions), {ranked('qs', 'phi_chunks')} SELECT question_id, chunk_id, score, rank FROM ranked"
     q["retrieve_documents"] = f"""WITH qs AS (SELECT item_id AS question_id, text AS question FROM benchmark), ds AS (SELECT doc_id AS chunk_id, text AS content, NULL AS unit FROM documents), {ranked('qs', 'ds')}
@@ -286,9 +305,12 @@ def oracle_sql() -> dict[str, str]:
  g AS (SELECT question_id, array_to_string(list_sort(list(miss)), ',') AS unsupported FROM m GROUP BY 1)
  SELECT question_id, coalesce(unsupported, '') AS unsupported, unsupported IS NULL AS kept FROM a LEFT JOIN g USING (question_id)"""
     as_list = lambda c: f"'[''' || replace({c}, ',', ''', ''') || ''']'"
-    q["block_leaks"] = f"""WITH d AS (SELECT doc_id AS question_id, {kinds('text')} AS c, CASE WHEN doc_id % 10 = 0 THEN 'phone' ELSE '' END AS r FROM documents)
+    q["block_leaks"] = f"""WITH {PEOPLE}, d0 AS (SELECT doc_id, text, upper(source) || CASE WHEN doc_id % 10 = 0 THEN ' call 555-123-4567' ELSE '' END AS a FROM documents),
+ d1 AS (SELECT doc_id, text, {with_person('doc_id', 'a', 7, ' asks ')} AS a FROM d0 LEFT JOIN who ON doc_id // 7 % 3 = kind),
+ d AS (SELECT doc_id AS question_id, concat_ws(',', CASE WHEN {named('text')} THEN '{fixed.NAME_KIND}' END, nullif({kinds('text')}, '')) AS c,
+  concat_ws(',', CASE WHEN {named('a')} THEN '{fixed.NAME_KIND}' END, nullif({kinds('a')}, '')) AS r FROM d1)
  SELECT question_id, CASE WHEN c <> '' THEN 'failed' WHEN r <> '' THEN 'blocked' ELSE 'ok' END AS status,
- CASE WHEN c <> '' THEN replace({lit(fixed.CONTEXT_LEAK_MSG)}, '%s', {as_list('c')}) WHEN r <> '' THEN replace({lit(fixed.REPLY_LEAK_MSG)}, '%s', r) END AS message FROM d"""
+ CASE WHEN c <> '' THEN replace({lit(fixed.CONTEXT_LEAK_MSG)}, '%s', {as_list('c')}) WHEN r <> '' THEN replace({lit(fixed.REPLY_LEAK_MSG)}, '%s', replace(r, ',', ', ')) END AS message FROM d"""
     q["rate_limit"] = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
  f AS (SELECT event_id, user_id, n, true AS admitted, [t] AS hits FROM e WHERE n = 1
   UNION ALL SELECT event_id, user_id, n, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END

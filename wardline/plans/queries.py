@@ -358,10 +358,19 @@ def route_questions(spark, sf):
     return r.select("question_id", "intent", joined("tables", "tables"), "phi", "reason")
 
 
+def _with_people(df, sf, id_col, col, every, before):
+    """Every so many texts name a person of one, two or three words."""
+    who = B.people_in_texts(df.sparkSession, sf)                # three rows
+    k = F.col(id_col)
+    out = df.join(F.broadcast(who), F.floor(k / every) % 3 == F.col("kind"), "left")
+    return out.withColumn(col, F.when((k % every == 1) & F.col("person").isNotNull(), F.concat(F.col(col), F.lit(before), F.initcap("person"))).otherwise(F.col(col))).select(*df.columns)
+
+
 @query
 def leak_redirect(spark, sf):
-    reg = _registry(spark, sf)
-    r = route.redirect_leaks(route.route(B.questions(spark, sf), reg), None)
+    """Every fourth question names a person; misspelt names, which SQL can't tell, are left to the tests."""
+    q = _with_people(B.questions(spark, sf), sf, "question_id", "question", 4, " Please tell ")
+    r = route.redirect_leaks(route.route(q, _registry(spark, sf)), B.people(spark, sf).select("name").distinct(), fuzzy=False)
     return r.select("question_id", "phi", "reason", joined("flags", "flags"))
 
 
@@ -395,23 +404,24 @@ def classify_outcomes(spark, sf):
 
 
 # ------------------------------------------------------------------ names
+def _texts(spark, sf):
+    d, c = B.table(spark, sf, "documents"), B.table(spark, sf, "conversations")
+    w = X.words(F.col("text")).alias("w")
+    return d.select(F.concat(F.lit("d"), "doc_id").alias("text_id"), w).unionByName(c.select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("text_id"), w))
+
+
 @query
 def name_scan_exact(spark, sf):
-    """Two-word runs that open a benchmark text, as names, looked up in the conversations and documents."""
-    b = B.table(spark, sf, "benchmark")
-    nm = b.select(F.array_join(F.slice(X.words(F.col("text")), 1, 2), " ").alias("name")).distinct()
-    d = B.table(spark, sf, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
-    sub = names.substring_hits(d, nm, "doc_id", "w").withColumn("how", F.lit("substring"))
-    part = names.part_hits(d, nm, "doc_id", "w").withColumn("how", F.lit("part"))
+    """People of one to three words, looked up in documents and conversations."""
+    nm, t = B.people(spark, sf).select("name").distinct(), _texts(spark, sf)
+    sub = names.substring_hits(t, nm, "text_id", "w").withColumn("how", F.lit("substring"))
+    part = names.part_hits(t, nm, "text_id", "w").withColumn("how", F.lit("part"))
     return sub.unionByName(part)
 
 
 @query
 def name_scan_fuzzy(spark, sf):
-    b = B.table(spark, sf, "benchmark")
-    nm = b.select(F.array_join(F.slice(X.words(F.col("text")), 1, 2), " ").alias("name")).distinct()
-    d = B.table(spark, sf, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
-    return names.fuzzy_hits(d, nm, "doc_id", "w")
+    return names.fuzzy_hits(_texts(spark, sf), B.people(spark, sf).select("name").distinct(), "text_id", "w")
 
 
 @query
@@ -489,10 +499,11 @@ def grounding_check(spark, sf):
 
 @query
 def block_leaks(spark, sf):
-    """Documents as context and conversation-like text as replies."""
+    """Documents as context and conversation-like text as replies, of which every tenth holds a phone number and every seventh a name."""
     d = B.table(spark, sf, "documents").select(F.col("doc_id").alias("question_id"), F.col("text").alias("context"), F.upper("source").alias("answer"))
     d = d.withColumn("answer", F.when(F.col("question_id") % 10 == 0, F.concat(F.col("answer"), F.lit(" call 555-123-4567"))).otherwise(F.col("answer")))
-    return grounding.block_leaks(d, None, context="context", answer="answer").select("question_id", "status", "message")
+    d = _with_people(d, sf, "question_id", "answer", 7, " asks ")
+    return grounding.block_leaks(d, B.people(spark, sf).select("name").distinct(), context="context", answer="answer", fuzzy=False).select("question_id", "status", "message")
 
 
 # ------------------------------------------------------------------ rate limit, chain, vectors, lineage

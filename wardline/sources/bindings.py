@@ -123,6 +123,20 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(k.alias("question_id"), F.concat(F.lit("user"), k % 6, F.lit("@example.org")).alias("user_email"), text.alias("question"))
 
 
+def people(spark: SparkSession, sf: str) -> DataFrame:
+    """A person per benchmark item, named by one, two or three words of its text: the longest word, or the first ones."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))
+    b = table(spark, sf, "benchmark").select("item_id", w.alias("w"))
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"]
+    name = F.when(F.col("item_id") % 3 == 0, longest).otherwise(F.array_join(F.slice("w", F.lit(1), (F.col("item_id") % 3 + 1).cast("int")), " "))
+    return b.select("item_id", name.alias("name")).filter("name <> ''")
+
+
+def people_in_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """kind (0 to 2), person: one name of each number of words, to be planted in texts."""
+    return people(spark, sf).groupBy((F.col("item_id") % 3).alias("kind")).agg(F.min("name").alias("person"))
+
+
 def groups(spark: SparkSession, sf: str) -> DataFrame:
     """Readers by customer key modulo 6: 0 and 1 are service principals, 2 to 4 clinical staff, 5 belongs to no group."""
     c = table(spark, sf, "customer")
