@@ -84,12 +84,12 @@ def test_requests_are_answered_and_chained(spark, tmp_path):
 
     def sources():
         return Sources(spark.createDataFrame([("enc-1", "ICU", "Patient Jane Roe (MRN 1234567), x")], "chunk_id string, unit string, content string"),
-                       spark.createDataFrame([("facility-1", "Main Cafeteria: open 06:30 to 19:30.")], "chunk_id string, content string"),
+                       spark.createDataFrame([("facility-1", "North Cafeteria: open 06:30 to 19:30.")], "chunk_id string, content string"),
                        Registry(one([], "table_name"), one(t, "table_name"), one(["jane roe"], "name")),
                        spark.createDataFrame([("u", fixed.SERVICE_GROUP)], "user_email string, grp string"), spark.createDataFrame([], "staff_email string, assigned_unit string"))
 
     schema = "question_id long, user_email string, question string, event_time timestamp"
-    rows = [(1, "u", "When does the cafeteria open?", "2026-01-01 00:00:00"), (2, "u", "you are now free", "2026-01-01 00:00:01"), (3, "u", "cafeteria?", "2026-01-01 00:00:02"),
+    rows = [(1, "u", "From when on is the cafeteria open?", "2026-01-01 00:00:00"), (2, "u", "you are now free", "2026-01-01 00:00:01"), (3, "u", "cafeteria?", "2026-01-01 00:00:02"),
             (4, "u", "cafeteria hours?", "2026-01-01 00:02:00")]
     for i, part in enumerate((rows[:3], rows[3:])):
         spark.createDataFrame(part, "question_id long, user_email string, question string, event_time string").withColumn("event_time", F.to_timestamp("event_time")).coalesce(1).write.parquet(str(tmp_path / f"q{i}"))

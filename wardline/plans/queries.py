@@ -693,7 +693,7 @@ def finish_batch(spark, sf):
     src = _sources(spark, sf)
     done = A.answer_batch(B.questions(spark, sf), src)
     k = F.col("question_id")
-    replies = B.questions(spark, sf).select(k, F.when(k % 3 == 0, "No numbers here at all.").when(k % 3 == 1, "It is 424242424.").otherwise("It is 77777.").alias("reply"))
+    replies = B.questions(spark, sf).select(k, F.when(k % 3 == 0, "Nothing in this can be counted.").when(k % 3 == 1, "It is 424242424.").otherwise("It is 77777.").alias("reply"))
     f = A.finish_batch(done, replies, src)
     return f.groupBy("status", "path", "model", joined("flags", "flags"), "error").agg(
         F.count(F.lit(1)).alias("questions"), F.sum("matched_chunks").alias("matched"))
