@@ -16,6 +16,7 @@ TILE = 1024                 # ... and meet the rows of a batch this many at a ti
 DECIMALS = 9                # scores are rounded, so that equal vectors tie whatever block they stand in
 BLOCK_QUERIES = 4096        # beyond it they are joined in blocks of this many
 GROUP_ROWS = 50_000         # ... against groups of about this many base rows
+PAIR_TILE = 128             # ... this many queries at a time: 50 MB of scores
 
 
 def _unit(m: np.ndarray, metric: str) -> np.ndarray:
@@ -103,8 +104,11 @@ def _blocked_topk(q, b, k, metric, query_id, base_id, scope, out):
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({query_id: [], base_id: [], "score": []})
-        s = _unit(np.stack(right["_v"].to_numpy()), metric) @ _unit(np.stack(left["_v"].to_numpy()), metric).T
-        best = _cut(_best(s, None, right[base_id].to_numpy(), k), k)
-        return pd.DataFrame({query_id: left[query_id].to_numpy()[best["q"].to_numpy()], base_id: best["id"].to_numpy(), "score": best["score"].to_numpy()})
+        m, ids, out = _unit(np.stack(right["_v"].to_numpy()), metric), right[base_id].to_numpy(), []
+        for i in range(0, len(left), PAIR_TILE):
+            some = left.iloc[i : i + PAIR_TILE]
+            best = _cut(_best(m @ _unit(np.stack(some["_v"].to_numpy()), metric).T, None, ids, k), k)
+            out.append(pd.DataFrame({query_id: some[query_id].to_numpy()[best["q"].to_numpy()], base_id: best["id"].to_numpy(), "score": best["score"].to_numpy()}))
+        return pd.concat(out, ignore_index=True)
 
     return q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(pair, out)
