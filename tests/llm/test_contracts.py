@@ -248,3 +248,17 @@ def test_oracles(spark, name):
 
     diff, _ = oracle.compare(queries.QUERIES[name](spark, SF), oracle.connect(SF), queries.ORACLES[name])
     assert diff is None
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Chains in order of ids, a star whose hub has the largest id, and repeated and reversed links."""
+    chain = [(i, i + 1) for i in range(1000)]
+    star = [(5000, 2000 + i) for i in range(500)]
+    rows = chain + star + [(7, 6), (6, 7), (9000, 9000), (9001, 9002)]
+    rounds = []
+    monkeypatch.setattr(op5_near, "store", lambda df, f=op5_near.store: rounds.append(1) or f(df))
+    got = {r.node: r.label for r in op5_near.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    want = {i: 0 for i in range(1001)} | {i: 2000 for i in [5000, *range(2000, 2500)]} | {9001: 9001, 9002: 9001}
+    assert got == want
+    assert len(rounds) <= 4 * 15
+    assert op5_near.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -6,8 +6,8 @@ and after a few for texts with more shingles than bins. Unlike one hashing with
 coordinates is as closely concentrated about the similarity as with T independent hashes, for the price of about one pass over the set.
 
 Bands of BAND coordinates make the candidates: two texts with a similarity of 0.8 share none of 40 bands of five with probability 1e-7.
-Texts with equal sets are one node. Within a bucket, no pairs are listed: each node is held against two hubs, one that is the same for most
-buckets of a group and one drawn by bucket. Verified links join nodes into components. Only in buckets that then still hold several
+Texts with equal sets are one node. Within a bucket, no pairs are listed: each node is held against a hub that is the same for most
+buckets of a group, and where that leaves them apart against one drawn by bucket. Verified links join nodes into components. Only in buckets that then still hold several
 components is the rest tried: the nodes outside the hub's component against all others, block by block inside the tasks, first by
 sketch (4 bits a coordinate; a pair is passed over when fewer than CLOSE of 200 agree, which happens to a true link with probability below
 1e-9), then exactly, until a link joins their components. So components are those of all links, no pairs are listed, and a bucket whose
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import keep, ship
+from .common import attach, keep, ship, store
 
 ship(__name__)
 T, BAND, CLOSE = 200, 5, 128
@@ -181,30 +181,38 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, share: i
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node that ``links`` (a, b) reach from it. By contraction: every node joins its smallest neighbour, and
-    links between the merged nodes are left for the next round."""
-    edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    labels = None
+    """node, label: the smallest node that ``links`` (a, b) reach from it. By contraction: in each round every node points to the neighbour
+    that comes first in an order drawn anew for the round, if that comes before itself, and is merged with the one that its neighbour points
+    to. As the order is drawn, a part of the nodes that doesn't depend on the shape vanishes in each round: chains and stars alike take a
+    number of rounds that grows with the logarithm of their size."""
+    edges = links.where("a <> b").select("a", "b").distinct()
+    labels, turn = None, 0
     while True:
+        turn += 1
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
-        if to.isEmpty():
+        place = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        first = both.groupBy("a").agg(F.min(place("b")).alias("m"))
+        first = store(first.select("a", F.when(F.col("m") < place("a"), F.col("m.id")).otherwise(F.col("a")).alias("up")))
+        if first.isEmpty():
             break
+        to = store(first.join(first.select(F.col("a").alias("up"), F.col("up").alias("to")), "up").select("a", "to"))
         one = to.select(F.col("a").alias("label"), "to")
-        labels = keep(to.select(F.col("a").alias("node"), F.col("to").alias("label")) if labels is None else
+        labels = store(to.select(F.col("a").alias("node"), F.col("to").alias("label")) if labels is None else
                       labels.join(one, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
         # plain joins with a checkpoint: adaptive execution splits the partition of a hub
         y = edges.join(to, "a").select(F.col("to").alias("x"), F.col("b").alias("a")).join(to, "a").select("x", F.col("to").alias("y")).where("x <> y")
-        edges = keep(y.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    spark = links.sparkSession
-    return labels if labels is not None else spark.createDataFrame([], "node long, label long")
+        edges = store(y.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    if labels is None:
+        return links.sparkSession.createDataFrame([], "node long, label long")
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    return store(labels.join(least, "label").select("node", F.col("least").alias("label")))
 
 
 def _meet(u: DataFrame, cols: list[str], run, schema: str) -> DataFrame:
     """Under each ``main``, every block of nodes outside the main component (x) with every block of such nodes and every block of the
     main component. A row for ``run`` is two blocks of up to about BLOCK nodes: main, same (one block twice), v1, v2."""
     sizes = keep(u.groupBy("main").agg(F.sum(F.col("x").cast("int")).alias("nx"), F.count(F.lit(1)).alias("size")).where("nx > 0"))
-    u = u.join(sizes, "main")
+    u = attach(u, sizes, "main", "size", F.col("node")).where("nx IS NOT NULL")
     u = u.withColumns({"bx": F.ceil(F.col("nx") / BLOCK), "bm": F.ceil((F.col("size") - F.col("nx")) / BLOCK)})
     h = F.xxhash64("node")
     u = u.withColumn("block", F.when(F.col("x"), F.pmod(h, F.col("bx"))).otherwise(F.col("bx") + F.pmod(h, F.greatest("bm", F.lit(1)))))
@@ -280,12 +288,16 @@ def cluster(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("node")).alias("hub"), F.min_by("node", F.xxhash64("node", "key")).alias("hub2")).where("m > 1")
     members = keep(keyed.join(keep(groups), "key").drop("m"))
-    ends = members.select("node", F.explode(F.array("hub", "hub2")).alias("hub")).where("node <> hub")
-    pairs = ends.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     source = docs.select("doc_id", "text")
-    first = _links(pairs, source, nodes, k, share)
-    rest = _rest(members, components(first), nodes, source, k, share)
-    labels = components(first.unionByName(rest))
+    pairs = lambda m, hub: m.where(f"node <> {hub}").select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b")).distinct()
+    first = _links(pairs(members, "hub"), source, nodes, k, share)
+    labels = components(first)
+    # the hubs drawn by bucket are asked only where the first ones left a node apart from them
+    apart = members.join(labels, "node", "left").join(labels.select(F.col("node").alias("hub2"), F.col("label").alias("label2")), "hub2", "left")
+    apart = apart.where("coalesce(label, node) <> coalesce(label2, hub2)").select("node", "hub2")
+    second = keep(first.unionByName(_links(pairs(apart, "hub2"), source, nodes, k, share)))
+    rest = _rest(members, components(second), nodes, source, k, share)
+    labels = components(second.unionByName(rest))
     known = keep(classes.select("cls", "node").join(labels, "node", "left").select("cls", F.coalesce("label", "node").alias("label")))
     out = rows.select("doc_id", "n", "cls").join(known, "cls", "left")
     comp = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id"))
