@@ -11,7 +11,7 @@ product over letter triples, the trained machine folds into one weight per tripl
 Runs take the place of sentences: they go on over sentence ends, and a triple spans SPAN places at most, so that a whole sentence holds no
 triple that its runs and words lack, but for those across more than RUN words. A document is as toxic as its strongest units. Training is multiple-instance: of each labelled
 toxic text one unit is taken as the witness, at first the one that is most typical of toxic texts, then the one the machine scores highest;
-every unit of a clean text is a negative, the highest-scoring ones weighing most. A logistic curve on the document's strongest unit gives
+the units of clean texts are negatives: in each round the HARD highest-scoring of them all, the COMMON commonest, and OTHERS by lot. A logistic curve on the document's strongest unit gives
 the score.
 
 The classifier is fitted on a bounded sample: at most SAMPLE labelled texts of each class, of at most SAMPLE_CHARS characters each, chosen
@@ -42,6 +42,8 @@ LONGEST = 24
 #: neighbouring words that are read as one
 RUN = 4
 ROUNDS, PENALTY = 5, 1e-4
+#: negatives of a round, of all units of clean texts: the highest-scoring ones, the commonest, and others by lot (words, runs)
+HARD, COMMON, OTHERS = 5_000, 5_000, 12_000
 #: a text is judged by its WITNESSES strongest units; margins under FLOOR say no less than FLOOR
 WITNESSES, FLOOR = 3, -0.8
 #: letters of the languages at hand that keep a code of their own; other accents are folded
@@ -158,8 +160,9 @@ def distinct(letters, first, size) -> tuple[list[np.ndarray], np.ndarray]:
     return groups, number
 
 
-def features(words: np.ndarray, weights: np.ndarray, block: int = 50_000) -> np.ndarray:
+def features(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Sum over the triples of each word (rows of equal length) of the triple's rows in ``weights``, normalised by length."""
+    block = 50_000 if weights.ndim == 1 else 4_000
     if len(words) > block:
         return np.concatenate([features(words[i : i + block], weights) for i in range(0, len(words), block)])
     n = words.shape[1]
@@ -180,16 +183,23 @@ def _explicit(word: np.ndarray) -> np.ndarray:
     return out / _norm(int((word != BLANK).sum()))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, steps: int = 12) -> np.ndarray:
-    """Weights of a linear SVM with squared hinge loss, by Newton steps; the last is the bias."""
-    x = np.c_[x, np.ones(len(x))].astype(np.float64)
-    w = np.zeros(x.shape[1])
-    ridge = penalty * np.diag(np.r_[np.ones(x.shape[1] - 1), 1e-3])
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, steps: int = 12, block: int = 4096) -> np.ndarray:
+    """Weights of a linear SVM with squared hinge loss, by Newton steps; the last is the bias. Rows are taken a block at a time."""
+    n, d = x.shape[0], x.shape[1] + 1
+    w = np.zeros(d)
+    ridge = penalty * np.diag(np.r_[np.ones(d - 1), 1e-3])
     weight = weight / weight.sum()
     for _ in range(steps):
-        on = y * (x @ w) < 1
-        a = x[on] * weight[on][:, None]
-        new = np.linalg.solve(a.T @ x[on] + ridge, a.T @ y[on])
+        left, right = ridge.copy(), np.zeros(d)
+        for i in range(0, n, block):
+            rows = np.c_[x[i : i + block], np.ones(min(block, n - i))].astype(np.float64)
+            target = y[i : i + block]
+            on = target * (rows @ w) < 1
+            rows, target = rows[on], target[on]
+            scaled = rows * weight[i : i + block][on][:, None]
+            left += scaled.T @ rows
+            right += scaled.T @ target
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -259,78 +269,169 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margins @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
-def _fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
-    rng = np.random.default_rng(seed)
-    read = _read(texts)
-    letters, first, size, text = _units(*read)
-    row, begin, end, starts = runs(*read)
-    n_words, plain, small = len(first), np.cumsum(read[2] <= LONGEST) - 1, np.int32
-    first = np.concatenate([first.astype(small), *[(len(letters) + begin[s]).astype(small) for _, s in starts]])
-    size = np.concatenate([size.astype(np.uint8), *[(end[s + k - 1] - begin[s]).astype(np.uint8) for k, s in starts]])
-    text = np.concatenate([text.astype(small), *[read[3][s].astype(small) for _, s in starts]])
-    groups, number = distinct(np.r_[letters, row], first, size)
-    run, at = np.unique(number[n_words:], return_index=True)
-    # the words in each distinct run
-    begins, ks = np.concatenate([s.astype(small) for _, s in starts])[at], np.repeat([k for k, _ in starts], [len(s) for _, s in starts])[at]
-    inside = np.stack([number[plain[begins + np.minimum(i, ks - 1)]] for i in range(RUN)], 1)
-    del read, letters, row, begin, end, starts, first, size, at, begins, ks, plain
-    single = np.unique(number[:n_words])
-
-    def own(x):
+class _Block:
+    """The distinct units of a few texts: ``groups`` (letters, by length), ``text`` and ``unit`` (which text holds which), ``run`` (the
+    units that are runs) and ``inside`` (the words in each of those), ``words`` (the units that are words)."""
+
+    def __init__(self, texts: list[str], start: int):
+        read, small = _read(texts), np.int32
+        letters, first, size, text = _units(*read)
+        row, begin, end, starts = runs(*read)
+        n_words, plain = len(first), np.cumsum(read[2] <= LONGEST) - 1
+        first = np.concatenate([first, *[len(letters) + begin[s] for _, s in starts]])
+        size = np.concatenate([size, *[end[s + k - 1] - begin[s] for k, s in starts]])
+        text = np.concatenate([text, *[read[3][s] for _, s in starts]])
+        self.groups, number = distinct(np.r_[letters, row], first, size)
+        self.bounds = np.cumsum([0, *map(len, self.groups)])
+        self.run, at = np.unique(number[n_words:], return_index=True)
+        begins, ks = np.concatenate([s for _, s in starts])[at], np.repeat([k for k, _ in starts], [len(s) for _, s in starts])[at]
+        self.inside = np.stack([number[plain[begins + np.minimum(i, ks - 1)]] for i in range(RUN)], 1).astype(small)
+        self.words = np.unique(number[:n_words])
+        pairs = np.unique(text * np.int64(max(1, self.bounds[-1])) + number)
+        self.text, self.unit = (pairs // max(1, self.bounds[-1]) + start).astype(small), (pairs % max(1, self.bounds[-1])).astype(small)
+        #: number of each unit among those of all blocks
+        self.all = np.zeros(0, small)
+
+    def hashes(self) -> np.ndarray:
+        return np.concatenate([_hashes(w) for w in self.groups]) if self.groups else np.zeros(0, np.uint64)
+
+    def own(self, x: np.ndarray) -> np.ndarray:
         """``x`` of each unit; a run no stronger than a word in it has none."""
         x = x.copy()
-        x[run] = np.where(x[run] > x[inside].max(1), x[run], -1e9)
+        x[self.run] = np.where(x[self.run] > x[self.inside].max(1), x[self.run], -1e9) if len(self.run) else 0
         return x
 
-    n_units, bounds = sum(map(len, groups)), np.cumsum([0, *map(len, groups)])
-    # in how many toxic and clean texts each unit stands
-    pairs = np.unique(text.astype(np.int64) * n_units + number)
-    pairs = np.stack([(pairs // n_units).astype(small), (pairs % n_units).astype(small)], 1)
-    del text
-    pos = np.bincount(pairs[y[pairs[:, 0]] == 1, 1], minlength=n_units).astype(float)
-    neg = np.bincount(pairs[y[pairs[:, 0]] == 0, 1], minlength=n_units).astype(float)
-    expected = (pos + neg) * (y == 1).mean()
-    typical = (pos - expected) / np.sqrt(expected + 1)
-    typical[: bounds[np.searchsorted([w.shape[1] for w in groups], 3)]] = -1e9
-    typical = own(typical)
-    word = lambda u: groups[(g := np.searchsorted(bounds, u, "right") - 1)][u - bounds[g]]
+    def score(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        return self.own(np.concatenate([features(g, weights) for g in self.groups]) + np.float32(bias)) if self.groups else np.zeros(0)
+
+
+def _hashes(words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of units of one length."""
+    n = words.shape[1]
+    with np.errstate(over="ignore"):
+        odd = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD1B54A32D192ED03)
+        h = ((words.astype(np.uint64) + np.uint64(1)) * (odd * odd * odd | np.uint64(1))).sum(1, dtype=np.uint64) + np.uint64(n) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+class _Units:
+    """The units of all blocks: in how many toxic and clean texts each stands, and which are words."""
+
+    def __init__(self, texts: list[str], y: np.ndarray):
+        self.blocks, start = [], 0
+        for part in in_parts(texts):
+            self.blocks.append(_Block(part, start))
+            start += len(part)
+        each = [b.hashes() for b in self.blocks]
+        known = np.unique(np.concatenate(each))
+        n = self.n = len(known)
+        self.pos, self.neg = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.size, self.word = np.zeros(n, np.uint8), np.zeros(n, bool)
+        for b, h in zip(self.blocks, each, strict=True):
+            b.all = np.searchsorted(known, h).astype(np.int32)
+            toxic = y[b.text] == 1
+            for count, some in ((self.pos, toxic), (self.neg, ~toxic)):
+                count[b.all] += np.bincount(b.unit[some], minlength=len(b.all)).astype(np.int32)
+            for i, g in enumerate(b.groups):
+                self.size[b.all[b.bounds[i] : b.bounds[i + 1]]] = g.shape[1]
+            self.word[b.all[b.words]] = True
+            del b.words
+
+    def rows(self, ids: np.ndarray):
+        """(places in ``ids``, their letters): the units ``ids`` (sorted), each once, by block and length."""
+        left = np.ones(len(ids), bool)
+        for b in self.blocks:
+            at = np.minimum(np.searchsorted(ids, b.all), len(ids) - 1)
+            hit = np.flatnonzero((ids[at] == b.all) & left[at])
+            left[at[hit]] = False
+            group = np.searchsorted(b.bounds, hit, "right") - 1
+            for g in np.unique(group):
+                some = hit[group == g]
+                yield at[some], b.groups[g][some - b.bounds[g]]
+
+    def strongest(self, scores: list[np.ndarray], most: int, clean_only: bool) -> np.ndarray:
+        """The ``most`` units with the highest scores, of those that clean texts use or of all."""
+        ids, got = [], []
+        for b, s in zip(self.blocks, scores, strict=True):
+            at = np.flatnonzero(self.neg[b.all] > 0) if clean_only else np.arange(len(s))
+            if len(at) > most:
+                at = at[np.argpartition(-s[at], most - 1)[:most]]
+            ids.append(b.all[at])
+            got.append(s[at])
+        ids, got = np.concatenate(ids), np.concatenate(got)
+        ids, one = np.unique(ids, return_index=True)
+        return ids[np.lexsort((ids, -got[one]))[:most]]
+
+
+def in_parts(texts: list[str], most: int = 400_000):
+    """``texts`` in parts of about ``most`` characters."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size > most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
+    """Units are read, counted and scored a few texts at a time; what is held for all texts is a few numbers per unit."""
+    rng = np.random.default_rng(seed)
+    u = _Units(texts, y)
+    expected = (u.pos + u.neg).astype(np.float32) * np.float32((y == 1).mean())
+    typical = (u.pos - expected) / np.sqrt(expected + 1)
+    typical[u.size < 3] = -1e9
+    scores = [b.own(typical[b.all]) for b in u.blocks]
+    del expected, typical
     # landmarks: the most typical units of toxic texts, the commonest, and some others
-    common = np.argsort(-(pos + neg), kind="stable")
-    marks = dict.fromkeys([*np.argsort(-typical, kind="stable")[: LANDMARKS // 2], *common[: LANDMARKS // 8]])
-    marks |= dict.fromkeys(rng.permutation(single)[: LANDMARKS - len(marks)])
-    phi = np.stack([_explicit(word(u)) for u in marks])
+    common = np.argsort(-(u.pos + u.neg), kind="stable").astype(np.int32)
+    marks = dict.fromkeys([*u.strongest(scores, LANDMARKS // 2, False), *common[: LANDMARKS // 8]])
+    marks |= dict.fromkeys(rng.permutation(np.flatnonzero(u.word).astype(np.int32))[: LANDMARKS - len(marks)])
+    phi = np.stack([_explicit(w) for _, words in u.rows(np.sort(np.array(list(marks)))) for w in words])
     val, vec = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     ok = val > 1e-4 * val.max()
     table = phi.T @ (vec[:, ok] / np.sqrt(val[ok])).astype(np.float32)
-    toxic = pairs[y[pairs[:, 0]] == 1]
-    score, w, weights = typical, None, None
+    del phi
+    w, weights = None, None
+    common = common[u.neg[common] > 0][:COMMON].copy()
+    others = [np.flatnonzero((u.neg > 0) & some).astype(np.int32) for some in (u.word, ~u.word)]
     for r in range(ROUNDS):
         # the strongest units of each toxic text
-        t, u = toxic[np.lexsort((-score[toxic[:, 1]], toxic[:, 0]))].T
-        rank = np.arange(len(t)) - np.searchsorted(t, t)
-        sure = (rank == 0) | (rank < WITNESSES) & (score[u] > (2 if r == 0 else 0))
-        witness = np.bincount(u[sure], minlength=n_units).astype(float)
-        hard = np.argsort(-np.where(neg > 0, score, -1e9), kind="stable")[:5000]
-        clean = np.unique(np.r_[hard[neg[hard] > 0], common[neg[common] > 0][:5000], rng.permutation(single[neg[single] > 0])[:12000], rng.permutation(run[neg[run] > 0])[:12000]])
+        witness = np.zeros(u.n, np.float32)
+        for b, score in zip(u.blocks, scores, strict=True):
+            toxic = y[b.text] == 1
+            t, n = b.text[toxic], b.unit[toxic]
+            order = np.lexsort((-score[n], t))
+            t, n = t[order], n[order]
+            rank = np.arange(len(t)) - np.searchsorted(t, t)
+            sure = (rank == 0) | (rank < WITNESSES) & (score[n] > (2 if r == 0 else 0))
+            np.add.at(witness, b.all[n[sure]], 1)
+        clean = np.unique(np.concatenate([u.strongest(scores, HARD, True), common, *[rng.choice(o, min(OTHERS, len(o)), replace=False) for o in others]]))
         # a unit that clean texts use about as often says nothing
-        good = np.flatnonzero((witness > 0) & (neg <= 0.15 * pos) & (pos > 1))
+        good = np.flatnonzero((witness > 0) & (u.neg <= 0.15 * u.pos) & (u.pos > 1))
         clean = np.setdiff1d(clean, good)
         if not len(good) or not len(clean):
             break
         at, target = np.r_[good, clean], np.r_[np.ones(len(good)), -np.ones(len(clean))]
         x = np.zeros((len(at), table.shape[1]), np.float32)
-        group = np.searchsorted(bounds, at, "right") - 1
-        for g in np.unique(group):
-            x[group == g] = features(groups[g][at[group == g] - bounds[g]], table)
-        gain, loss = np.sqrt(witness[good]), np.sqrt(neg[clean])
+        order = np.argsort(at)
+        for places, words in u.rows(at[order]):
+            x[order[places]] = features(words, table)
+        gain, loss = np.sqrt(witness[good].astype(float)), np.sqrt(u.neg[clean])
         w = _svm(x, target, np.r_[gain / gain.sum(), loss / loss.sum()])
+        del x
         weights = table @ w[:-1].astype(np.float32)
-        score = own(np.concatenate([features(g, weights) for g in groups]) + w[-1])
+        del scores
+        scores = [b.score(weights, w[-1]) for b in u.blocks]
+    del u, scores
     if w is None:
         return Model(np.zeros(SIZE**3, np.float32), -1.0)
     model = Model(weights, float(w[-1]))
     # logistic curve; toxic texts weigh half as much as clean ones
-    z = np.c_[model.margins(texts), np.ones(len(texts))]
+    z = np.c_[np.concatenate([model.margins(part) for part in in_parts(texts)]), np.ones(len(texts))]
     c = np.where(y == 1, 0.35 / (y == 1).sum(), 0.65 / (y == 0).sum())
     curve, ridge = np.zeros(WITNESSES + 1), 1e-4 * np.diag([*[1.0] * WITNESSES, 0.01])
     for _ in range(30):
