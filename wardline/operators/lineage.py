@@ -22,23 +22,25 @@ def lineage_asof(requests: DataFrame, versions: DataFrame, endpoint: str = "endp
                  valid_from: str = "valid_from", version: str = "version") -> DataFrame:
     """Adds the version of the request's endpoint that was live at its time (null before the first one).
 
-    A few endpoints share all requests, so a join on the endpoint alone would put each into one task. Days split them: per
-    endpoint and day there is the version carried in from before and those that started that day, found on the small set
-    of days that occur; requests join on (endpoint, day) with a range inside the day."""
-    v = versions.select(F.col(endpoint).alias("_e"), F.col(valid_from).alias("_f"), F.col(version).alias("_v"))
-    v = v.withColumn("_d", F.to_date("_f"))
-    r = requests.withColumn("_day", F.to_date(ts))
-    days = r.select(F.col(endpoint).alias("_e"), F.col("_day").alias("_d")).distinct()
-    last = v.groupBy("_e", "_d").agg(F.max_by(F.struct("_f", "_v"), "_f").alias("_last"))
-    w = W.partitionBy("_e").orderBy("_d").rowsBetween(W.unboundedPreceding, -1)
-    carried = (days.join(last, ["_e", "_d"], "full").withColumn("_c", F.last("_last", ignorenulls=True).over(w))
-               .filter("_c is not null").select("_e", "_d", F.col("_c._f").alias("_f"), F.col("_c._v").alias("_v")))
-    live = carried.unionByName(v.select("_e", "_d", "_f", "_v"))
-    until = F.lead("_f").over(W.partitionBy("_e", "_d").orderBy("_f"))
-    live = live.withColumn("_until", until)
-    on = ((F.col(endpoint) == F.col("_e")) & (F.col("_day") == F.col("_d")) & (F.col(ts) >= F.col("_f"))
-          & (F.col("_until").isNull() | (F.col(ts) < F.col("_until"))))
-    return r.join(live, on, "left").select(*requests.columns, F.col("_v").alias(version), F.col("_f").alias(valid_from))
+    A few endpoints share all requests, so the endpoint alone would put each into one task. Hours split them: per endpoint
+    and hour there is the version carried in from before, found on the small set of hours that occur. Versions and requests
+    of an hour then go through one sort by time, in which each request takes the last version before it, so the work grows
+    with the rows and not with the pairs of requests and versions of an hour."""
+    names, kind = requests.columns, versions.schema[valid_from].dataType
+    v = versions.select(F.col(endpoint).alias("_e"), F.col(valid_from).alias("_t"), F.struct(F.col(version).alias("_v"), F.col(valid_from).alias("_f")).alias("_live"))
+    v = v.filter("_e is not null and _t is not null").withColumn("_h", F.date_trunc("hour", "_t"))
+    r = requests.select(F.col(endpoint).alias("_e"), F.col(ts).cast(kind).alias("_t"), F.struct(*[F.col(c) for c in names]).alias("_r"))
+    r = r.withColumn("_h", F.date_trunc("hour", "_t"))
+    hours = r.select("_e", "_h").distinct()
+    last = v.groupBy("_e", "_h").agg(F.max_by("_live", "_t").alias("_last"))
+    w = W.partitionBy("_e").orderBy("_h").rowsBetween(W.unboundedPreceding, -1)
+    carried = (hours.join(last, ["_e", "_h"], "full").withColumn("_live", F.last("_last", ignorenulls=True).over(w))
+               .filter("_live is not null and _h is not null").select("_e", "_h", F.col("_live._f").alias("_t"), "_live"))
+    # at one instant the version comes before the requests
+    both = carried.unionByName(v).withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).unionByName(r.withColumn("_live", F.lit(None).cast(v.schema["_live"].dataType)))
+    run = W.partitionBy("_e", "_h").orderBy("_t", F.col("_r").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    return (both.withColumn("_live", F.last("_live", ignorenulls=True).over(run)).filter("_r is not null")
+            .select(*[F.col(f"_r.`{c}`") for c in names], F.col("_live._v").alias(version), F.col("_live._f").alias(valid_from)))
 
 
 def decision_rows(routed: DataFrame, prompt_version: str, private_model: str, external_model: str) -> DataFrame:
@@ -74,7 +76,9 @@ def request_lineage(requests: DataFrame, prompts: DataFrame, changes: DataFrame,
     ``prompts``: path, version, valid_from. ``changes``: endpoint, model, version, provider, valid_from, valid_to."""
     p = prompts.select("path", F.col("version").alias("prompt_version"), F.col("valid_from").alias("_prompt_from"))
     r = lineage_asof(requests, p, "path", ts, "_prompt_from", "prompt_version").drop("_prompt_from")
-    h = endpoint_history(changes).select("endpoint", "valid_from", F.struct("model", F.col("version").alias("model_version"), "provider", "ends").alias("_state"))
+    # a state that ends as it starts, as the first of two of one instant does, is never live, and neither is the one before it by then
+    h = endpoint_history(changes).filter("ends is null or ends > valid_from")
+    h = h.select("endpoint", "valid_from", F.struct("model", F.col("version").alias("model_version"), "provider", "ends").alias("_state"))
     r = lineage_asof(r, h, "endpoint", ts, "valid_from", "_state").drop("valid_from")
     live = F.col("_state").isNotNull() & (F.col("_state.ends").isNull() | (F.col(ts) < F.col("_state.ends")))
     return r.select(*[c for c in r.columns if c != "_state"], *[F.when(live, F.col(f"_state.{c}")).alias(c) for c in ("model", "model_version", "provider")], (~live).alias("in_gap"))
