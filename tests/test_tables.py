@@ -211,3 +211,14 @@ def test_lineage_before_first_and_at_the_edge(spark):
     r = spark.createDataFrame([(1, "e", "2026-01-02 09:59:59"), (2, "e", "2026-01-02 10:00:00"), (3, "e", "2026-01-02 12:00:00"), (4, "e", "2026-03-01 00:00:00"), (5, "f", "2026-01-05 00:00:00"), (6, "g", "2026-01-05 00:00:00")],
                               "id int, endpoint string, event_time string").withColumn("event_time", F.to_timestamp("event_time"))
     assert {x.id: x.version for x in lineage.lineage_asof(r, v).collect()} == {1: None, 2: "1", 3: "2", 4: "2", 5: "9", 6: None}
+
+
+def test_gathered_children_give_the_same_chunks(spark):
+    """One row per parent instead of one per lab: the same texts, with rows that come twice, nulls and labs of several parents."""
+    e = enc(spark, E1, E1, ("E2", *E1[1:]), ("E1", "P/9", *E1[2:]), ("E3", "P/2", "Wei Chen", "9", *E1[4:]), ("E4", "P/3", "No Mrn", None, *E1[4:]), (None, "P/1", *E1[2:]))
+    x = lab(spark, ("1234567", "E1", "GLU", "1", "N", "2026-10-01T00:00:00Z"), ("1234567", None, "NA", "2", "N", "2026-09-01T00:00:00Z"), ("1234567", None, "NA", "2", "N", "2026-09-01T00:00:00Z"),
+            ("1234567", "NOBODY", "CR", "3", "N", "t"), ("1234567", "E2", None, "3", "N", "t"), ("9", "E3", "HGB", "4", None, "t"), (None, None, "WBC", "5", "N", "t"), (None, "E4", "WBC", "5", "N", "t"))
+    wide, nested = gold.join_child_to_parent(e, x), gold.join_child_to_parent(e, x, gather=chunks.LAB_FIELDS)
+    assert nested.count() == 7 and nested.select(F.sum(F.size("children"))).first()[0] == wide.filter("lab_encounter_id is not null or test_code is not null").count()
+    rows = lambda g: sorted((tuple(r) for r in chunks.chunk_parents(g).collect()), key=str)
+    assert rows(nested) == rows(wide) and len(rows(nested)) == 5

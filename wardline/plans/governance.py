@@ -30,7 +30,7 @@ def refresh_chunks(encounters: DataFrame, labs: DataFrame, facilities: DataFrame
                    phi_path: str, general_path: str, indexed: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Replace both chunk tables and say what each index (if there is one) must do to follow."""
     spark = encounters.sparkSession
-    S.overwrite(chunks.chunk_parents(gold.join_child_to_parent(encounters, labs)), phi_path)
+    S.overwrite(chunks.chunk_parents(gold.join_child_to_parent(encounters, labs, gather=chunks.LAB_FIELDS)), phi_path)
     S.overwrite(chunks.chunk_general(facilities, policies, beds), general_path)
     now = {"phi": spark.read.parquet(phi_path), "general": spark.read.parquet(general_path)}
     return {name: chunks.sync_index(now[name], index) for name, index in (indexed or {}).items()}
