@@ -10,9 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline import fixed
+from wardline.session import spread
 
 QUERY_BYTES = 64 << 20      # query vectors up to this size travel to every task
 TILE = 1024                 # ... and meet the rows of a batch this many at a time
+ROWS = 2048                 # ... of which this many are scored at once
 DECIMALS = 9                # scores are rounded, so that equal vectors tie whatever block they stand in
 BLOCK_QUERIES = 4096        # beyond it they are joined in blocks of this many
 GROUP_ROWS = 50_000         # ... against groups of about this many base rows
@@ -27,15 +29,22 @@ def _unit(m: np.ndarray, metric: str) -> np.ndarray:
     return m
 
 
-def _best(scores: np.ndarray, same: np.ndarray | None, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """Per query (column) the rows that can be among its k best, boundary ties included."""
-    scores = np.round(scores, DECIMALS)
-    if same is not None:
-        scores = np.where(same, scores, -np.inf)
+def _products(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Scores of rows (down) and queries (across), laid out so that those of one query lie side by side."""
+    return (queries @ rows.T).T
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> pd.DataFrame:
+    """Per query (column) the rows that can be among its k best, boundary ties included. ``floor``: what its k-th best has already."""
     n = scores.shape[0]
-    edge = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.full(scores.shape[1], -np.inf)
-    row, q = np.nonzero((scores >= edge) & np.isfinite(scores))
-    return pd.DataFrame({"q": q, "id": ids[row], "score": scores[row, q]})
+    edge = floor
+    if edge is None:
+        edge = np.round(np.partition(scores, n - k, axis=0)[n - k], DECIMALS) if n > k else np.full(scores.shape[1], -np.inf)
+    # only rows near the edge are rounded
+    q, row = np.nonzero(scores.T >= (edge - 2 * 10.0**-DECIMALS)[:, None])
+    score = np.round(scores[row, q], DECIMALS)
+    keep = (score >= edge[q]) & np.isfinite(score)
+    return pd.DataFrame({"q": q[keep], "id": ids[row[keep]], "score": score[keep]})
 
 
 def _cut(df: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -66,31 +75,41 @@ def vector_topk(queries: DataFrame, base: DataFrame, k: int = fixed.TOP_K, metri
 
 def _broadcast_topk(q, b, k, metric, query_id, base_id, scope, out):
     rows = q.toPandas()         # at most query_bytes, measured by the caller
-    tiles = []                  # (dimension, ids, matrix, scopes)
-    for d, part in rows.groupby("_d"):
+    tiles = []                  # (dimension, ids, matrix, scope)
+    # rows without a scope meet each other where null is a value and not NaN
+    nulls = scope is not None and any(x is None for x in rows["_s"])
+    for key, part in rows.groupby(["_d", "_s"] if scope else ["_d"], dropna=not nulls):
         for i in range(0, len(part), TILE):
             t = part.iloc[i : i + TILE]
-            tiles.append((d, t[query_id].to_numpy(), _unit(np.stack(t["_v"].to_numpy()), metric).T, t["_s"].to_numpy() if scope else None))
+            tiles.append((key[0], t[query_id].to_numpy(), _unit(np.stack(t["_v"].to_numpy()), metric), key[1] if scope else None))
 
     def score(batches):
-        kept = [None] * len(tiles)
+        kept, floor = [None] * len(tiles), [None] * len(tiles)
         for batch in batches:
             dims = batch.column("_d").to_numpy()
-            for d in np.unique(dims):
-                part = batch.filter(pa.array(dims == d))
-                m = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), metric)
+            scopes = batch.column("_s").to_pandas() if scope else None
+            for d, s in dict.fromkeys((d, s) for d, _, _, s in tiles):
+                mine = dims == d
+                if scope:
+                    mine = mine & (scopes.isna() if pd.isna(s) else scopes == s).to_numpy(dtype=bool)
+                part = batch.filter(pa.array(mine))
+                m = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, d), metric)
                 ids = part.column(0).to_pandas().to_numpy()
-                for i, (qd, _, qm, qs) in enumerate(tiles):
-                    if qd == d:
-                        same = None if qs is None else (part.column("_s").to_pandas().to_numpy()[:, None] == qs[None, :])
-                        new = _best(m @ qm, same, ids, k)
-                        kept[i] = _cut(new if kept[i] is None else pd.concat([kept[i], new], ignore_index=True), k)
+                for r in range(0, len(m), ROWS):
+                    for i, (qd, qids, qm, qs) in enumerate(tiles):
+                        if qd == d and (not scope or qs == s or (pd.isna(qs) and pd.isna(s))):
+                            new = _best(_products(m[r : r + ROWS], qm), ids[r : r + ROWS], k, floor[i])
+                            if not len(new):
+                                continue
+                            kept[i] = _cut(new if kept[i] is None else pd.concat([kept[i], new], ignore_index=True), k)
+                            if len(kept[i]) == k * len(qids):
+                                floor[i] = kept[i]["score"].to_numpy()[k - 1 :: k]
         for (_, qids, _, _), best in zip(tiles, kept):
             if best is not None and len(best):
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({
                     query_id: qids[best["q"].to_numpy()], base_id: best["id"].to_numpy(), "score": best["score"].to_numpy()}), preserve_index=False)
 
-    return b.mapInArrow(score, out)
+    return spread(b).mapInArrow(score, out)
 
 
 def _blocked_topk(q, b, k, metric, query_id, base_id, scope, out):
@@ -107,7 +126,7 @@ def _blocked_topk(q, b, k, metric, query_id, base_id, scope, out):
         m, ids, out = _unit(np.stack(right["_v"].to_numpy()), metric), right[base_id].to_numpy(), []
         for i in range(0, len(left), PAIR_TILE):
             some = left.iloc[i : i + PAIR_TILE]
-            best = _cut(_best(m @ _unit(np.stack(some["_v"].to_numpy()), metric).T, None, ids, k), k)
+            best = _cut(_best(_products(m, _unit(np.stack(some["_v"].to_numpy()), metric)), ids, k), k)
             out.append(pd.DataFrame({query_id: some[query_id].to_numpy()[best["q"].to_numpy()], base_id: best["id"].to_numpy(), "score": best["score"].to_numpy()}))
         return pd.concat(out, ignore_index=True)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline import fixed
-from wardline.operators.vector import _best, _cut, _unit
+from wardline.operators.vector import _best, _cut, _products, _unit
 from wardline.session import cut
 
 MOST_CELLS = 4096           # centres of one scope and dimension
@@ -207,7 +207,7 @@ def _score(q: DataFrame, asked: DataFrame, index: Index, k: int, vec: str) -> Da
         ids = right[base_id].to_numpy()
         for i in range(0, len(left), BLOCK):
             some = left.iloc[i : i + BLOCK]
-            best = _cut(_best(b @ _unit(np.stack(some["_v"].to_numpy()), "cosine").T, None, ids, k), k)
+            best = _cut(_best(_products(b, _unit(np.stack(some["_v"].to_numpy()), "cosine")), ids, k), k)
             out.append(pd.DataFrame({"_q": some["_q"].to_numpy()[best["q"].to_numpy()], base_id: best["id"].to_numpy(), "score": best["score"].to_numpy()}))
         return pd.concat(out, ignore_index=True)
 
