@@ -81,7 +81,7 @@ def _broadcast_topk(q, b, k, metric, query_id, base_id, scope, out):
     for key, part in rows.groupby(["_d", "_s"] if scope else ["_d"], dropna=not nulls):
         for i in range(0, len(part), TILE):
             t = part.iloc[i : i + TILE]
-            tiles.append((key[0], t[query_id].to_numpy(), _unit(np.stack(t["_v"].to_numpy()), metric), key[1] if scope else None))
+            tiles.append((key[0], t[query_id].to_numpy(), _unit(np.stack(t["_v"].to_numpy()), metric), key[1] if scope and not pd.isna(key[1]) else None))
 
     def score(batches):
         kept, floor = [None] * len(tiles), [None] * len(tiles)
@@ -91,13 +91,13 @@ def _broadcast_topk(q, b, k, metric, query_id, base_id, scope, out):
             for d, s in dict.fromkeys((d, s) for d, _, _, s in tiles):
                 mine = dims == d
                 if scope:
-                    mine = mine & (scopes.isna() if pd.isna(s) else scopes == s).to_numpy(dtype=bool)
+                    mine = mine & (scopes.isna() if s is None else scopes == s).to_numpy(dtype=bool)
                 part = batch.filter(pa.array(mine))
                 m = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, d), metric)
                 ids = part.column(0).to_pandas().to_numpy()
                 for r in range(0, len(m), ROWS):
                     for i, (qd, qids, qm, qs) in enumerate(tiles):
-                        if qd == d and (not scope or qs == s or (pd.isna(qs) and pd.isna(s))):
+                        if qd == d and qs == s:
                             new = _best(_products(m[r : r + ROWS], qm), ids[r : r + ROWS], k, floor[i])
                             if not len(new):
                                 continue
