@@ -21,8 +21,8 @@ REMEMBERED = "30 days"
 
 
 def _append(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Run what has arrived since the last run into a Parquet table, then stop."""
-    q = (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    """Run what has arrived since the last run into a Parquet table, then stop. Raw texts repeat themselves, so they are written with zstd."""
+    q = (df.writeStream.format("parquet").option("compression", "zstd").option("path", path).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
 

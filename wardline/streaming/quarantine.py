@@ -81,7 +81,7 @@ def write_checked(rows: DataFrame, path: str, checkpoint: str, available_now: bo
         out = batch.withColumns({"outcome": outcome, "run": F.lit(run), "batch_id": F.lit(batch_id).cast("long")})
         out = out.observe(seen, F.count_if(F.col("outcome") == KEPT).alias(KEPT), F.count_if(F.col("outcome") == DROPPED).alias(DROPPED))
         folder = f"run={run}/batch_id={batch_id}"
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("outcome", "run", "batch_id").parquet(path)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("outcome", "run", "batch_id").parquet(path)
         # by rule from what was written: a row that fails two rules counts for both
         again = read_outcome(batch.sparkSession, path, batch.schema, DROPPED).filter((F.col("run") == run) & (F.col("batch_id") == batch_id))
         by_rule = again.select(named.alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("rows")) if seen.get[DROPPED] else None
