@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import op1_exact, op4_contamination, op5_near, op9_bpe, op10_toxic
-from wardline.llm.common import keep
+from wardline.llm.common import arrow_rows, keep, store
+
+#: texts that travel to a worker of the last stage at once
+ROWS = 256
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +38,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids (little-endian unsigned 32-bit) in place of the texts, with the digest of what they decode to."""
+    """Ids (little-endian unsigned 32-bit) in place of the texts, with the digest of what they decode to. Ids are a table before they are
+    decoded: in one stage every task would have a worker that encodes and one that decodes, and batches of both in memory. Both run here, a
+    few hundred rows at a time."""
     vocabulary = op9_bpe.Vocabulary.load(path("byte_bpe_50k.tiktoken"), PATTERN)
-    coded = op9_bpe.encode(docs, vocabulary).withColumn("_ids", F.col("ids"))
-    out = op9_bpe.decode(coded, vocabulary, "_ids", "_bytes").withColumn("decoded_sha256", F.sha2("_bytes", 256))
-    return out.drop("_bytes")
+    with arrow_rows(spark, ROWS):
+        coded = store(op9_bpe.encode(docs, vocabulary), compression="zstd")
+        out = op9_bpe.decode(coded, vocabulary, "ids", "_bytes", keep_ids=True).withColumn("decoded_sha256", F.sha2("_bytes", 256))
+        return store(out.drop("_bytes"), compression="zstd")
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("bpe", encode)]

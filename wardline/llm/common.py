@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,12 +41,26 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def store(df: DataFrame) -> DataFrame:
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Jobs that run inside send at most ``rows`` rows at a time to Python (or fewer, as the session has it). Long texts otherwise fill
+    buffers of tens of megabytes, once in the JVM and once in the worker of every task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    if int(was) <= 0 or int(was) > rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def store(df: DataFrame, **options: str) -> DataFrame:
     """Like ``keep``, as a Parquet table. For loops: a checkpoint inherits the size that was estimated for its plan, and joins multiply
     such sizes, so that after some rounds of joins the planner works on numbers of millions of digits. A table has its real size."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,7 +37,7 @@ class Vocabulary:
     """The ranks of a tiktoken file and the pattern that splits texts; sent to the workers as bytes."""
 
     def __init__(self, ranks: bytes, pattern: str):
-        self.ranks, self.pattern, self.ready = ranks, pattern, None
+        self.ranks, self.pattern, self.coder, self.table = ranks, pattern, None, None
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -48,29 +48,37 @@ class Vocabulary:
         return self.ranks, self.pattern
 
     def __setstate__(self, state):
-        self.ranks, self.pattern = state
-        self.ready = None
+        self.__init__(*state)
 
-    def _ready(self):
-        if self.ready is None:
+    def _pairs(self):
+        return ((base64.b64decode(a), int(b)) for a, b in map(bytes.split, self.ranks.splitlines()))
+
+    def _coder(self):
+        """What encoding needs; a worker that only decodes never builds it, nor one that encodes the table of tokens."""
+        if self.coder is None:
             import regex
             import tiktoken
 
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks.splitlines())}
-            piece = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+            piece = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=dict(self._pairs()), special_tokens={})
+            self.coder = regex.compile(self.pattern), piece, {}
+        return self.coder
+
+    def _table(self) -> list[bytes]:
+        if self.table is None:
+            ranks = dict(self._pairs())
             table = [b""] * (max(ranks.values()) + 1)
             for k, v in ranks.items():
                 table[v] = k
-            self.ready = regex.compile(self.pattern), piece, table, {}
-        return self.ready
+            self.table = table
+        return self.table
 
     def boundaries(self, text: str) -> list[int]:
         """Where the pre-tokens of ``text`` start, and its end."""
-        return [0, *(m.end() for m in self._ready()[0].finditer(text))]
+        return [0, *(m.end() for m in self._coder()[0].finditer(text))]
 
     def ids(self, text: str, stop: int | None = None) -> bytes:
         """Ids of ``text``, or of its pre-tokens up to the boundary ``stop``, as little-endian unsigned 32-bit integers."""
-        rx, piece, _, known = self._ready()
+        rx, piece, known = self._coder()
         words = rx.findall(text)
         if stop is not None:
             ends = list(accumulate(map(len, words)))
@@ -82,21 +90,21 @@ class Vocabulary:
         return b"".join(map(known.__getitem__, words))
 
     def text(self, ids: bytes) -> bytes:
-        table = self._ready()[2]
-        return b"".join(map(table.__getitem__, memoryview(ids).cast("I")))
+        return b"".join(map(self._table().__getitem__, memoryview(ids).cast("I")))
 
 
-def _map(df: DataFrame, columns: str | list[str], out: str, kind: pa.DataType, f, rows: int = 64) -> DataFrame:
-    """``df`` with ``columns`` replaced by ``out`` = f(values), a few rows at a time."""
+def _map(df: DataFrame, columns: str | list[str], out: str, kind: pa.DataType, f, rows: int = 64, keep_columns: bool = False) -> DataFrame:
+    """``df`` with ``columns`` replaced by ``out`` = f(values), or with ``out`` beside them, a few rows at a time."""
     columns = [columns] if isinstance(columns, str) else columns
-    schema = T.StructType([x for x in df.schema.fields if x.name not in columns] + [T.StructField(out, T.BinaryType() if kind == pa.binary() else T.ArrayType(T.IntegerType()))])
+    gone = [] if keep_columns else columns
+    schema = T.StructType([x for x in df.schema.fields if x.name not in gone] + [T.StructField(out, T.BinaryType() if kind == pa.binary() else T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, rows):
                 part = b.slice(i, rows)
                 new = pa.array(map(f, *(part.column(c).to_pylist() for c in columns)), kind)
-                names = [n for n in part.schema.names if n not in columns]
+                names = [n for n in part.schema.names if n not in gone]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [new], names=[*names, out])
 
     return df.mapInArrow(run, schema)
@@ -150,7 +158,7 @@ def _encode_long(texts: DataFrame, vocab, chunk: int, overlap: int) -> DataFrame
     return joined.unionByName(_map(whole, "_text", "_ids", pa.binary(), lambda t: vocab.value.ids(t), 1))
 
 
-def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the bytes of the ids in ``out`` in place of the ids."""
+def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded", keep_ids: bool = False) -> DataFrame:
+    """``df`` with the bytes of the ids in ``out`` in place of the ids, or beside them with ``keep_ids``."""
     vocab = df.sparkSession.sparkContext.broadcast(vocabulary)
-    return _map(df, ids_col, out, pa.binary(), lambda b: vocab.value.text(b))
+    return _map(df, ids_col, out, pa.binary(), lambda b: vocab.value.text(b), keep_columns=keep_ids)
