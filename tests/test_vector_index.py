@@ -67,3 +67,31 @@ def test_empty_sides(spark):
     q = base.select(F.col("vec_id").alias("query_id"), "embedding")
     assert vector_index.search(q, vector_index.build(none), exact=True).count() == 0
     assert vector_index.search(q.limit(0), vector_index.build(base)).count() == 0
+
+
+def test_a_vector_is_sent_once_a_group_and_not_once_a_cell(spark, monkeypatch):
+    """Vectors without clusters leave nearly all cells open; hot cells are dealt over groups; no row is lost or told twice."""
+    r = np.random.default_rng(7)
+    v = [[float(y) for y in x] for x in r.normal(size=(600, 12))]
+    v += [v[3]] * 150 + [[-y for y in v[4]]]
+    base = spark.createDataFrame([(i, x, "ab"[i % 2]) for i, x in enumerate(v)], SCHEMA)
+    q = base.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "grp")
+    sent = []
+    grouped = type(q).groupBy
+
+    def seen(df, *by):
+        if "_q" in df.columns and by[:2] == ("_s", "_d") and len(by) > 3:
+            sent.append(df.count() / 251)
+        return grouped(df, *by)
+
+    for name, value in (("LEAST", 100), ("GROUPS", 4), ("MOST", 200), ("SLAB", 64), ("BLOCK", 50), ("CHUNK", 40)):
+        monkeypatch.setattr(vector_index, name, value, raising=False)
+    for scope in (None, "grp"):
+        want = as_sets(vector.vector_topk(q, base, scope=scope))
+        index = vector_index.build(base, scope=scope)
+        with monkeypatch.context() as m:
+            m.setattr(type(q), "groupBy", seen)
+            got = vector_index.search(q, index, probes=2, exact=True, scope=scope)
+        rows = got.collect()
+        assert len(rows) == 251 * 5 and as_sets(got) == want and all(x.certified for x in rows)
+    assert sent and max(sent) < 8               # two cells first, in up to six chunks, then four groups at most; before: nearly all of 28 cells

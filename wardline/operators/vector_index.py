@@ -20,8 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline import fixed
-from wardline.operators.vector import _best, _cut, _products, _unit
-from wardline.session import cut
+from wardline.operators.vector import DECIMALS, _best, _cut, _products, _unit
+from wardline.session import cut, small_lookup
 
 MOST_CELLS = 4096           # centres of one scope and dimension
 MOST_VALUES = 8 << 20       # centres travel to every task: at most this many numbers in all, for the largest scopes first
@@ -30,6 +30,8 @@ SAMPLE_PER_CELL = 32        # ... learned from this many rows for each, chosen b
 ROUNDS = 8
 CHUNK, BLOCK = 8192, 1024   # a task scores at most this many rows of a cell against this many queries at once
 SLACK = 1e-6                # for rounding, on every bound
+LEAST, GROUPS, MOST = 2048, 16, 65_536      # the exact mode: cells are GROUPS groups and queries GROUPS blocks, of LEAST to MOST rows each
+SLAB = 2048                 # ... where a task scores this many rows at once
 
 
 @dataclass
@@ -151,45 +153,131 @@ def search(queries: DataFrame, index: Index, k: int = fixed.TOP_K, probes: int =
     ``certified`` where that is provably the exact answer. With ``exact`` every query goes on until it is."""
     q = cut(_with_keys(queries.select(query_id, vec, *([scope] if scope and scope != query_id else [])), vec, scope).select("_s", "_d", query_id, vec).withColumn("_q", F.monotonically_increasing_id()))
     stats: dict = {}
-    for r in index.cells.filter("_v IS NOT NULL").select("_s", "_d", "_c", "_r", "_v").toLocalIterator():        # MOST_VALUES numbers at most
-        stats.setdefault((r["_s"], r["_d"]), []).append((r["_c"], r["_r"], r["_v"]))
-    sent = q.sparkSession.sparkContext.broadcast({key: (np.array([c for c, *_ in v]), np.array([x for _, x, _ in v]), np.array([x for *_, x in v])) for key, v in stats.items()})
-
-    names = ["_q", "first", "rest", "low"]
+    for r in index.cells.filter("_v IS NOT NULL").select("_s", "_d", "_c", "_r", "_v", "_n").orderBy("_s", "_d", "_c").toLocalIterator():        # MOST_VALUES numbers at most
+        stats.setdefault((r["_s"], r["_d"]), []).append((r["_c"], r["_r"], r["_v"], r["_n"]))
+    sent = q.sparkSession.sparkContext.broadcast({key: (*(np.array([x[i] for x in v]) for i in range(3)), *_dealt(np.array([x[3] for x in v]))) for key, v in stats.items()})
 
     def plan(batches):
-        """The cells of each query, nearest first: its first ``probes`` ones, and the lower bounds of the rest."""
+        """The first ``probes`` cells of each query, nearest first."""
         for batch in batches:
             for key, part in _parts(batch):
-                known = sent.value.get(key)
-                if known is None:
-                    none, n = [[]] * part.num_rows, part.num_rows
-                    yield pa.RecordBatch.from_arrays([part.column("_q"), pa.array([[0]] * n, pa.list_(pa.int32())), pa.array(none, pa.list_(pa.int32())), pa.array(none, pa.list_(pa.float64()))], names=names)
-                    continue
-                cell, radius, centre = known
-                d = _distances(_points(_matrix(part.column(vec)), False), centre)
-                low = np.maximum(d - radius[None, :], 0) - SLACK
-                order = np.argsort(d, axis=1, kind="stable")
-                first, rest = order[:, :probes], order[:, probes:]
-                yield pa.RecordBatch.from_arrays([part.column("_q"), pa.array(cell[first].tolist(), pa.list_(pa.int32())), pa.array(cell[rest].tolist(), pa.list_(pa.int32())),
-                                                  pa.array(np.take_along_axis(low, rest, 1).tolist(), pa.list_(pa.float64()))], names=names)
-
-    planned = cut(q.select("_q", "_s", "_d", vec).mapInArrow(plan, "_q long, first array<int>, rest array<int>, low array<double>"))
+                known, n = sent.value.get(key), part.num_rows
+                first = [[0]] * n if known is None else known[0][np.argsort(_distances(_points(_matrix(part.column(vec)), False), known[2]), axis=1, kind="stable")[:, :probes]].tolist()
+                yield pa.RecordBatch.from_arrays([part.column("_q"), pa.array(first, pa.list_(pa.int32()))], names=["_q", "first"])
+
+    planned = cut(q.select("_q", "_s", "_d", vec).mapInArrow(plan, "_q long, first array<int>"))
     found = cut(_score(q, planned.select("_q", F.explode("first").alias("_c")), index, k, vec))
     worst = found.groupBy("_q").agg(F.min("score").alias("_w"), F.count(F.lit(1)).alias("_n"))
     # unit vectors: distance^2 = 2 - 2 score
-    reach = F.when(F.col("_n") >= k, F.sqrt(F.greatest(2 - 2 * F.col("_w"), F.lit(0.0))) + SLACK).otherwise(F.lit(float("inf")))
-    left = planned.join(worst, "_q", "left").select("_q", F.expr("transform(rest, (c, i) -> struct(c, low[i] AS low))").alias("rest"), F.coalesce(reach, F.lit(float("inf"))).alias("reach"))
-    left = cut(left.select("_q", F.filter("rest", lambda x: x["low"] <= F.col("reach")).alias("open")))
+    full = F.col("_n") >= k
+    reach = F.when(full, F.sqrt(F.greatest(2 - 2 * F.col("_w"), F.lit(0.0))) + SLACK).otherwise(F.lit(float("inf")))
+    left = q.select("_q", "_s", "_d", F.col(vec).alias("_v")).join(planned, "_q").join(worst, "_q", "left")
+    left = left.select("_q", "_s", "_d", "_v", "first", F.coalesce(reach, F.lit(float("inf"))).alias("reach"), F.coalesce(F.when(full, F.col("_w")), F.lit(float("-inf"))).alias("floor"))
+
+    def judge(batches):
+        """The groups in which a query has cells that its bound can't rule out."""
+        for batch in batches:
+            for key, part in _parts(batch):
+                groups, known = [[]] * part.num_rows, sent.value.get(key)
+                if known is not None:
+                    cell, radius, centre, g, n = known
+                    groups = []
+                    for row in _open(_matrix(part.column("_v")), part.column("first").to_pylist(), part.column("reach").to_numpy(), cell, radius, centre):
+                        at = np.flatnonzero(row)
+                        wide = at[n[at] > 1]
+                        groups.append(np.unique(np.concatenate([g[at], *(g[i] + np.arange(n[i]) for i in wide)])).tolist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(groups, pa.list_(pa.int32()))], names=[*part.schema.names, "groups"])
+
+    left = cut(left.mapInArrow(judge, f"_q long, _s string, _d int, _v {dict(q.dtypes)[vec]}, first array<int>, reach double, floor double, groups array<int>"))
     if exact:
-        more = _score(q, left.select("_q", F.explode("open.c").alias("_c")), index, k, vec)
-        found = found.unionByName(more)
+        found = found.unionByName(_rest(left.filter(F.size("groups") > 0), index, k, vec, sent))
     rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), index.base_id))
     top = found.withColumn("rank", rank).filter(F.col("rank") <= k)
-    sure = left.select("_q", (F.lit(exact) | (F.size("open") == 0)).alias("certified"))
+    sure = left.select("_q", (F.lit(exact) | (F.size("groups") == 0)).alias("certified"))
     return top.join(sure, "_q").join(q.select("_q", query_id), "_q").select(query_id, index.base_id, "score", "rank", "certified")
 
 
+def _shares(n: int) -> int:
+    """Into how many parts ``n`` rows are dealt: a fixed number, so that what is sent grows like the input, unless parts outgrow a task."""
+    return max(min(GROUPS, -(-n // LEAST)), -(-n // MOST), 1)
+
+
+def _dealt(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first group of each cell and over how many its chunks are dealt: one, unless the cell is larger than a group."""
+    total = int(sizes.sum())
+    parts = _shares(total)
+    many = np.clip(np.round(sizes * parts / total).astype(int), 1, parts)
+    return np.minimum((np.cumsum(sizes) - sizes) * parts // total, parts - many), many
+
+
+def _open(vectors: np.ndarray, first: list, reach: np.ndarray, cell: np.ndarray, radius: np.ndarray, centre: np.ndarray):
+    """For each query which cells other than its ``first`` ones may hold rows within its ``reach``."""
+    points = _points(vectors, False)
+    for i in range(0, len(points), BLOCK):
+        low = np.maximum(_distances(points[i : i + BLOCK], centre) - radius[None, :], 0) - SLACK
+        may = low <= reach[i : i + BLOCK, None]
+        for row, seen in zip(may, first[i : i + BLOCK]):
+            yield row & ~np.isin(cell, seen)
+
+
+def _rest(queries: DataFrame, index: Index, k: int, vec: str, sent) -> DataFrame:
+    """The rows of the open cells of ``queries`` that are among a query's k best. A group of cells meets a block of queries in one task, so a
+    vector is sent once for each group with an open cell, not once a cell; which cells those are is told again where they meet."""
+    base_id, spark = index.base_id, queries.sparkSession
+    key = ["_s", "_d", "_g", "_b"]
+    cells = [(s, d, int(c), int(g), int(n)) for (s, d), (cell, _, _, first, many) in sent.value.items() for c, g, n in zip(cell, first, many)]
+    cells = spark.createDataFrame(cells, "_s string, _d int, _c int, _g0 int, _gn int")
+    blocks = spark.createDataFrame([(r["_s"], r["_d"], _shares(r["n"])) for r in queries.groupBy("_s", "_d").agg(F.count(F.lit(1)).alias("n")).collect()], "_s string, _d int, _blocks int")
+    ask = queries.join(F.broadcast(blocks), ["_s", "_d"]).withColumn("_b", F.pmod(F.xxhash64("_q"), F.col("_blocks")).cast("int"))
+    ask = ask.select("_s", "_d", "_b", "_q", "_v", "first", "reach", "floor", F.explode("groups").alias("_g"))
+    rows = index.rows.join(small_lookup(cells), ["_s", "_d", "_c"]).withColumn("_g", (F.col("_g0") + F.pmod("_k", "_gn")).cast("int"))
+    met = ask.select("_s", "_d", "_g", F.col("_b").alias("_b")).distinct()
+    rows = rows.join(small_lookup(met), ["_s", "_d", "_g"]).select(*key, "_c", base_id, F.col(_vec_of(index)).alias("_v"))
+
+    def pair(at, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"_q": np.array([], "int64"), base_id: right[base_id].iloc[:0], "score": np.array([], "float64")})
+        if left.empty or right.empty:
+            return none
+        cell, radius, centre, *_ = sent.value[at[0], int(at[1])]
+        right = right.sort_values("_c", kind="stable")
+        b, ids = _unit(np.stack(right["_v"].to_numpy()), "cosine"), right[base_id].to_numpy()
+        here, of = np.unique(np.searchsorted(cell, right["_c"].to_numpy()), return_inverse=True)
+        out = [none]
+        for i in range(0, len(left), BLOCK):
+            some = left.iloc[i : i + BLOCK]
+            v, floor, kept = np.stack(some["_v"].to_numpy()), some["floor"].to_numpy().copy(), None
+            u = _unit(v, "cosine")
+            may = np.stack([*_open(v, some["first"].tolist(), some["reach"].to_numpy(), cell[here], radius[here], centre[here])])
+            for r in range(0, len(b), SLAB):
+                mine = of[r : r + SLAB]
+                asks = np.flatnonzero(may[:, mine[0] : mine[-1] + 1].any(1))
+                if not len(asks):
+                    continue
+                scores = _products(b[r : r + SLAB], u[asks])
+                scores[~may[asks][:, mine].T] = -np.inf
+                edge = floor[asks]
+                new = np.flatnonzero(np.isneginf(edge))
+                if len(new) and len(scores) > k:
+                    edge[new] = np.round(np.partition(scores[:, new], len(scores) - k, axis=0)[len(scores) - k], DECIMALS)
+                best = _best(scores, ids[r : r + SLAB], k, edge)
+                if len(best):
+                    best["q"] = asks[best["q"].to_numpy()]
+                    kept = _cut(best if kept is None else pd.concat([kept, best], ignore_index=True), k)
+                    last = kept.groupby("q")["score"].agg(["size", "min"])
+                    last = last[last["size"] == k]
+                    floor[last.index] = np.maximum(floor[last.index], last["min"])
+            if kept is not None:
+                out.append(pd.DataFrame({"_q": some["_q"].to_numpy()[kept["q"].to_numpy()], base_id: kept["id"].to_numpy(), "score": kept["score"].to_numpy()}))
+        return pd.concat(out, ignore_index=True)
+
+    return ask.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(pair, f"_q long, {base_id} {dict(index.rows.dtypes)[base_id]}, score double")
+
+
+def _vec_of(index: Index) -> str:
+    """The vector column of the index's rows."""
+    return next(c for c in index.rows.columns if c not in ("_s", "_d", "_c", "_k", index.base_id))
+
+
 def _score(q: DataFrame, asked: DataFrame, index: Index, k: int, vec: str) -> DataFrame:
     """The k best rows of each query in the cells that it asks for (_q, _c). Pairs are formed inside tasks only: chunks of a cell meet
     blocks of its queries, however many of either there are."""
@@ -211,7 +299,7 @@ def _score(q: DataFrame, asked: DataFrame, index: Index, k: int, vec: str) -> Da
             out.append(pd.DataFrame({"_q": some["_q"].to_numpy()[best["q"].to_numpy()], base_id: best["id"].to_numpy(), "score": best["score"].to_numpy()}))
         return pd.concat(out, ignore_index=True)
 
-    index_vec = [c for c in index.rows.columns if c not in ("_s", "_d", "_c", "_k", base_id)][0]
+    index_vec = _vec_of(index)
     got = ask.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(pair, f"_q long, {base_id} {dict(index.rows.dtypes)[base_id]}, score double")
     rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), base_id))
     return got.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
