@@ -34,3 +34,25 @@ def test_state_of_one_time_keys_is_removed(spark, tmp_path):
     assert sum(o.numRowsDroppedByWatermark for p in q.recentProgress for o in p.stateOperators) == 0
     got = {r.id: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert len(got) == 3005 and [got[i] for i in (1, 2, 3, 4, 5)] == [True, False, True, False, True]
+
+
+def test_python_is_called_once_a_bucket(spark, tmp_path, monkeypatch):
+    """Keys share buckets, and one bucket's keys are told apart; the verdicts are those of the batch form."""
+    from wardline.operators import ratelimit
+    from wardline.streaming import limits
+
+    monkeypatch.setattr(limits, "BUCKETS", 3, raising=False)
+    rows = spark.range(600).select("id", F.concat(F.lit("k"), F.col("id") % 40).alias("user"), F.timestamp_seconds(F.lit(1_767_355_200) + F.col("id") % 90).alias("ts"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(limits.Admission):
+        def handleInputRows(self, key, rows, timers):
+            calls.add(1)
+            return super().handleInputRows(key, rows, timers)
+
+    monkeypatch.setattr(limits, "Admission", Counted)
+    run(rate_limit_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "user", "ts", "id", 3, 60), str(tmp_path / "out"))
+    got = {r.id: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {r.id: r.admitted for r in ratelimit.rate_limit(rows, "user", "ts", "id", 3, 60).collect()} and not all(got.values())
+    assert 1 <= calls.value <= 3
