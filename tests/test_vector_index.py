@@ -95,3 +95,51 @@ def test_a_vector_is_sent_once_a_group_and_not_once_a_cell(spark, monkeypatch):
         rows = got.collect()
         assert len(rows) == 251 * 5 and as_sets(got) == want and all(x.certified for x in rows)
     assert sent and max(sent) < 8               # two cells first, in up to six chunks, then four groups at most; before: nearly all of 28 cells
+
+
+def sent_by(spark, monkeypatch, queries, index, **how):
+    """The result, and how many queries and rows were sent: for the first cells, then for the rest."""
+    kind, sent = type(spark.range(1)), []
+    grouped = kind.groupBy
+
+    def seen(df, *by):
+        if by[:2] == ("_s", "_d") and "_b" in by:
+            sent.append(df.count())
+        return grouped(df, *by)
+
+    with monkeypatch.context() as m:
+        m.setattr(kind, "groupBy", seen)
+        got = vector_index.search(queries, index, probes=2, exact=True, **how)
+    assert len(sent) == 4
+    return as_sets(got), sent
+
+
+@pytest.mark.parametrize("scope", [None, "grp"])
+def test_what_is_sent_grows_no_faster_than_the_input(spark, monkeypatch, scope):
+    """Four times the vectors, all cells open: as many copies of a vector as before, in two scopes half as many as in one."""
+    monkeypatch.setattr(vector_index, "LEAST", 64)
+    copies = []
+    for n in (600, 2400):
+        v = np.random.default_rng(n).normal(size=(n, 24))
+        base = spark.createDataFrame([(i, [float(y) for y in x], "ab"[i % 2]) for i, x in enumerate(v)], SCHEMA)
+        q = base.select(F.col("vec_id").alias("query_id"), "embedding", "grp")
+        got, sent = sent_by(spark, monkeypatch, q, vector_index.build(base, scope=scope), scope=scope)
+        assert got == as_sets(vector.vector_topk(q, base, scope=scope))
+        copies.append(sum(sent) / n)
+    assert copies[1] <= 1.1 * copies[0] and max(copies) <= 3 + (8 if scope else 16)
+
+
+@pytest.mark.parametrize("n, total, dim, parts", [(1, 1, 64, 1), (500, 1023, 64, 1), (5128, 10_256, 64, 4), (300_000, 600_000, 64, 4), (600_000, 600_000, 64, 8),
+                                                  (4 << 20, 4 << 20, 64, 32), (600_000, 600_000, 1024, 74), (100, 600_000, 64, 1)])
+def test_parts_are_a_fixed_number_unless_they_outgrow_a_task(n, total, dim, parts):
+    assert vector_index._shares(n, total, dim) == parts
+
+
+def test_a_hot_cell_is_sent_once_to_a_few_thousand_queries(spark, monkeypatch):
+    """Equal vectors fill one cell, which all of their queries ask for first."""
+    v = np.random.default_rng(2).normal(size=(200, 8))
+    base = spark.createDataFrame([(i, [float(y) for y in v[i if i < 200 else 0]], "a") for i in range(2700)], SCHEMA)
+    q = base.select(F.col("vec_id").alias("query_id"), "embedding")
+    got, sent = sent_by(spark, monkeypatch, q, vector_index.build(base))
+    assert got == as_sets(vector.vector_topk(q, base)) and len(got) == 2700 * 5
+    assert sent[:2] == [2 * 2700, 2700]

@@ -28,9 +28,10 @@ MOST_VALUES = 8 << 20       # centres travel to every task: at most this many nu
 MOST_SCOPES = 256           # ... and for at most this many scopes; the rest of them are one cell each
 SAMPLE_PER_CELL = 32        # ... learned from this many rows for each, chosen by a hash of the id
 ROUNDS = 8
-CHUNK, BLOCK = 8192, 1024   # a task scores at most this many rows of a cell against this many queries at once
+CHUNK, BLOCK = 8192, 1024   # a task takes at most this many rows of a cell and as many queries, and scores them against this many queries at once
 SLACK = 1e-6                # for rounding, on every bound
-LEAST, GROUPS, MOST = 2048, 16, 65_536      # the exact mode: cells are GROUPS groups and queries GROUPS blocks, of LEAST to MOST rows each
+LEAST, GROUPS, MOST = 1024, 8, 131_072      # the exact mode: cells are GROUPS groups and queries GROUPS blocks over all scopes, of LEAST to MOST rows each
+MOST_HELD = 8 << 20         # ... and of at most this many numbers
 SLAB = 2048                 # ... where a task scores this many rows at once
 
 
@@ -128,7 +129,7 @@ def build(base: DataFrame, base_id: str = "vec_id", vec: str = "embedding", scop
     # a scope without centres is one cell, which every query of it looks at
     found = rows.groupBy("_s", "_d", "_c").agg(F.count(F.lit(1)).alias("_n"), F.max("_dist").alias("_r"))
     cells_ = cut(found.join(centres, ["_s", "_d", "_c"], "left"))
-    rows = rows.join(found.select("_s", "_d", "_c", "_n"), ["_s", "_d", "_c"]).withColumn("_k", F.pmod(F.xxhash64(base_id), F.ceil(F.col("_n") / CHUNK)).cast("int")).drop("_n", "_dist")
+    rows = rows.join(small_lookup(cells_.select("_s", "_d", "_c", "_n")), ["_s", "_d", "_c"]).withColumn("_k", F.pmod(F.xxhash64(base_id), F.ceil(F.col("_n") / CHUNK)).cast("int")).drop("_n", "_dist")
     return Index(cut(rows), cells_, base_id)
 
 
@@ -151,28 +152,31 @@ def search(queries: DataFrame, index: Index, k: int = fixed.TOP_K, probes: int =
            vec: str = "embedding", scope: str | None = None) -> DataFrame:
     """``query_id, id, score, rank, certified``: the k most similar rows of each query, ties by id, from its ``probes`` nearest cells;
     ``certified`` where that is provably the exact answer. With ``exact`` every query goes on until it is."""
-    q = cut(_with_keys(queries.select(query_id, vec, *([scope] if scope and scope != query_id else [])), vec, scope).select("_s", "_d", query_id, vec).withColumn("_q", F.monotonically_increasing_id()))
     stats: dict = {}
     for r in index.cells.filter("_v IS NOT NULL").select("_s", "_d", "_c", "_r", "_v", "_n").orderBy("_s", "_d", "_c").toLocalIterator():        # MOST_VALUES numbers at most
         stats.setdefault((r["_s"], r["_d"]), []).append((r["_c"], r["_r"], r["_v"], r["_n"]))
-    sent = q.sparkSession.sparkContext.broadcast({key: (*(np.array([x[i] for x in v]) for i in range(3)), *_dealt(np.array([x[3] for x in v]))) for key, v in stats.items()})
+    total = sum(x[3] for v in stats.values() for x in v)
+    sent = queries.sparkSession.sparkContext.broadcast({key: (*(np.array([x[i] for x in v]) for i in range(3)), *_dealt(np.array([x[3] for x in v]), total, key[1])) for key, v in stats.items()})
+    q = _with_keys(queries.select(query_id, vec, *([scope] if scope and scope != query_id else [])), vec, scope)
+    q = q.select("_s", "_d", query_id, F.col(vec).alias("_v"), F.monotonically_increasing_id().alias("_q"))
+    fields = f"_s string, _d int, {query_id} {dict(q.dtypes)[query_id]}, _v {dict(q.dtypes)['_v']}, _q long, first array<int>"
 
     def plan(batches):
         """The first ``probes`` cells of each query, nearest first."""
         for batch in batches:
             for key, part in _parts(batch):
                 known, n = sent.value.get(key), part.num_rows
-                first = [[0]] * n if known is None else known[0][np.argsort(_distances(_points(_matrix(part.column(vec)), False), known[2]), axis=1, kind="stable")[:, :probes]].tolist()
-                yield pa.RecordBatch.from_arrays([part.column("_q"), pa.array(first, pa.list_(pa.int32()))], names=["_q", "first"])
+                first = [[0]] * n if known is None else known[0][np.argsort(_distances(_points(_matrix(part.column("_v")), False), known[2]), axis=1, kind="stable")[:, :probes]].tolist()
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(first, pa.list_(pa.int32()))], names=[*part.schema.names, "first"])
 
-    planned = cut(q.select("_q", "_s", "_d", vec).mapInArrow(plan, "_q long, first array<int>"))
-    found = cut(_score(q, planned.select("_q", F.explode("first").alias("_c")), index, k, vec))
+    # a query's vector goes on beside its cells, so that no join has to bring them together again
+    q = cut(q.mapInArrow(plan, fields))
+    found = cut(_score(q.select("_s", "_d", "_q", "_v", F.explode("first").alias("_c")), index, k))
     worst = found.groupBy("_q").agg(F.min("score").alias("_w"), F.count(F.lit(1)).alias("_n"))
     # unit vectors: distance^2 = 2 - 2 score
     full = F.col("_n") >= k
     reach = F.when(full, F.sqrt(F.greatest(2 - 2 * F.col("_w"), F.lit(0.0))) + SLACK).otherwise(F.lit(float("inf")))
-    left = q.select("_q", "_s", "_d", F.col(vec).alias("_v")).join(planned, "_q").join(worst, "_q", "left")
-    left = left.select("_q", "_s", "_d", "_v", "first", F.coalesce(reach, F.lit(float("inf"))).alias("reach"), F.coalesce(F.when(full, F.col("_w")), F.lit(float("-inf"))).alias("floor"))
+    left = q.join(worst, "_q", "left").select(*q.columns, F.coalesce(reach, F.lit(float("inf"))).alias("reach"), F.coalesce(F.when(full, F.col("_w")), F.lit(float("-inf"))).alias("floor"))
 
     def judge(batches):
         """The groups in which a query has cells that its bound can't rule out."""
@@ -188,24 +192,25 @@ def search(queries: DataFrame, index: Index, k: int = fixed.TOP_K, probes: int =
                         groups.append(np.unique(np.concatenate([g[at], *(g[i] + np.arange(n[i]) for i in wide)])).tolist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(groups, pa.list_(pa.int32()))], names=[*part.schema.names, "groups"])
 
-    left = cut(left.mapInArrow(judge, f"_q long, _s string, _d int, _v {dict(q.dtypes)[vec]}, first array<int>, reach double, floor double, groups array<int>"))
+    left = cut(left.mapInArrow(judge, f"{fields}, reach double, floor double, groups array<int>"))
     if exact:
-        found = found.unionByName(_rest(left.filter(F.size("groups") > 0), index, k, vec, sent))
+        found = found.unionByName(_rest(left.filter(F.size("groups") > 0), index, k, sent))
     rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), index.base_id))
     top = found.withColumn("rank", rank).filter(F.col("rank") <= k)
-    sure = left.select("_q", (F.lit(exact) | (F.size("groups") == 0)).alias("certified"))
-    return top.join(sure, "_q").join(q.select("_q", query_id), "_q").select(query_id, index.base_id, "score", "rank", "certified")
+    sure = left.select("_q", query_id, (F.lit(exact) | (F.size("groups") == 0)).alias("certified"))
+    return top.join(sure, "_q").select(query_id, index.base_id, "score", "rank", "certified")
 
 
-def _shares(n: int) -> int:
-    """Into how many parts ``n`` rows are dealt: a fixed number, so that what is sent grows like the input, unless parts outgrow a task."""
-    return max(min(GROUPS, -(-n // LEAST)), -(-n // MOST), 1)
+def _shares(n: int, total: int, dim: int) -> int:
+    """Into how many parts ``n`` of ``total`` rows are dealt: a fixed number in all scopes together, so that what is sent grows like the input,
+    unless parts outgrow a task."""
+    return max(round(n * min(GROUPS, total // LEAST) / total), -(-n // min(MOST, max(MOST_HELD // dim, 1))), 1)
 
 
-def _dealt(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _dealt(sizes: np.ndarray, every: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """The first group of each cell and over how many its chunks are dealt: one, unless the cell is larger than a group."""
     total = int(sizes.sum())
-    parts = _shares(total)
+    parts = _shares(total, every, dim)
     many = np.clip(np.round(sizes * parts / total).astype(int), 1, parts)
     return np.minimum((np.cumsum(sizes) - sizes) * parts // total, parts - many), many
 
@@ -220,14 +225,16 @@ def _open(vectors: np.ndarray, first: list, reach: np.ndarray, cell: np.ndarray,
             yield row & ~np.isin(cell, seen)
 
 
-def _rest(queries: DataFrame, index: Index, k: int, vec: str, sent) -> DataFrame:
+def _rest(queries: DataFrame, index: Index, k: int, sent) -> DataFrame:
     """The rows of the open cells of ``queries`` that are among a query's k best. A group of cells meets a block of queries in one task, so a
     vector is sent once for each group with an open cell, not once a cell; which cells those are is told again where they meet."""
     base_id, spark = index.base_id, queries.sparkSession
     key = ["_s", "_d", "_g", "_b"]
     cells = [(s, d, int(c), int(g), int(n)) for (s, d), (cell, _, _, first, many) in sent.value.items() for c, g, n in zip(cell, first, many)]
     cells = spark.createDataFrame(cells, "_s string, _d int, _c int, _g0 int, _gn int")
-    blocks = spark.createDataFrame([(r["_s"], r["_d"], _shares(r["n"])) for r in queries.groupBy("_s", "_d").agg(F.count(F.lit(1)).alias("n")).collect()], "_s string, _d int, _blocks int")
+    asked = queries.groupBy("_s", "_d").agg(F.count(F.lit(1)).alias("n")).collect()      # of scopes with centres: MOST_SCOPES at most
+    total = sum(r["n"] for r in asked)
+    blocks = spark.createDataFrame([(r["_s"], r["_d"], _shares(r["n"], total, r["_d"])) for r in asked], "_s string, _d int, _blocks int")
     ask = queries.join(F.broadcast(blocks), ["_s", "_d"]).withColumn("_b", F.pmod(F.xxhash64("_q"), F.col("_blocks")).cast("int"))
     ask = ask.select("_s", "_d", "_b", "_q", "_v", "first", "reach", "floor", F.explode("groups").alias("_g"))
     rows = index.rows.join(small_lookup(cells), ["_s", "_d", "_c"]).withColumn("_g", (F.col("_g0") + F.pmod("_k", "_gn")).cast("int"))
@@ -278,15 +285,15 @@ def _vec_of(index: Index) -> str:
     return next(c for c in index.rows.columns if c not in ("_s", "_d", "_c", "_k", index.base_id))
 
 
-def _score(q: DataFrame, asked: DataFrame, index: Index, k: int, vec: str) -> DataFrame:
-    """The k best rows of each query in the cells that it asks for (_q, _c). Pairs are formed inside tasks only: chunks of a cell meet
-    blocks of its queries, however many of either there are."""
+def _score(ask: DataFrame, index: Index, k: int) -> DataFrame:
+    """The k best rows of each query in the cells that it asks for (_s, _d, _q, _v, _c). Pairs are formed inside tasks only: chunks of a cell
+    meet blocks of its queries, however many of either there are."""
     base_id = index.base_id
-    key = ["_s", "_d", "_c", "_k", "_b"]
-    ask = q.select("_q", "_s", "_d", F.col(vec).alias("_v")).join(asked, "_q")
-    many = cut(ask.groupBy("_s", "_d", "_c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")).join(index.cells.select("_s", "_d", "_c", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks")), ["_s", "_d", "_c"]))
-    ask = ask.join(many, ["_s", "_d", "_c"]).withColumn("_b", F.pmod(F.xxhash64("_q"), F.col("_blocks")).cast("int")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_blocks", "_chunks")
-    rows = index.rows.join(many.drop("_chunks"), ["_s", "_d", "_c"]).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    cell, key = ["_s", "_d", "_c"], ["_s", "_d", "_c", "_k", "_b"]
+    many = cut(ask.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_blocks")).join(index.cells.select(*cell, F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks")), cell))
+    few = small_lookup(many)
+    ask = ask.join(few, cell).withColumn("_b", F.pmod(F.xxhash64("_q"), F.col("_blocks")).cast("int")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_blocks", "_chunks")
+    rows = index.rows.join(few.drop("_chunks"), cell).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
