@@ -31,7 +31,7 @@ HEX = r"[0-9a-f]{32,}"
 IDENT = r"(?<![A-Za-z0-9])(?i:user(?:name)?|login|client_?id|access_?key_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{4,}"
 KEY = r"(?<![A-Za-z0-9])(?i:pwd|pass|auth|signature|private_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8,}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_-])"
 #: a host starts where no longer one does, so that a run of labels is read once; its group is possessive, which Java matches in a loop
-HOST = r"(?<![a-z0-9-]|[a-z0-9-]\.)(?:(?<![A-Z_])|(?=-))[a-z0-9-]++(?:\.[a-z0-9-]++)++"
+HOST = r"(?<![a-z0-9-])(?<![a-z0-9-]\.)(?:(?<![A-Z_])|(?=-))[a-z0-9-]++(?:\.[a-z0-9-]++)++"
 ENDPOINT = rf"\b[a-z][a-z0-9+]{{1,15}}://[A-Za-z0-9.-]+(?::[0-9]+)?|{HOST}:[0-9]{{2,5}}\b"
 WINDOW = 256
 #: base kinds that serve a key as its identifier
